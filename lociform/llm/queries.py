@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import decontaminate
+from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .mixing import mix
 from .quality_rules import RULES, STOP_WORDS, quality_rules
@@ -41,8 +42,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_url_filters, op6_decontamination, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_url_filters, op6_decontamination, op9_mixing, op10_jaccard_join)}
 
 
 def _quality_sql() -> str:
