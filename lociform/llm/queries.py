@@ -11,9 +11,12 @@ from .common import table
 from .decontamination import decontaminate
 from .jaccard_join import jaccard_join
 from .language_id import language_id
+from .lm_scoring import lm_score
 from .mixing import mix
+from .quality_classifier import quality_classifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .url_filters import url_filter
 
 
@@ -34,10 +37,22 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -47,7 +62,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_counts, op4_url_filters, op6_decontamination, op9_mixing, op10_jaccard_join)}
+    found = (
+        op1_quality_rules, op2_language_id, op3_token_counts, op4_url_filters, op5_lm_scoring,
+        op6_decontamination, op7_toxicity, op8_quality_classifier, op9_mixing, op10_jaccard_join,
+    )
+    return {f.__name__: f for f in found}
 
 
 def _quality_sql() -> str:
