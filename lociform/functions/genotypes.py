@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import grammar as G
+from .record import let
 
 _INDEX = r"\A[+-]?\d+\z"
 _DIPLOID = r"\A(\d+|\.)(?:([/|])(\d+|\.))?\z"
@@ -22,20 +23,22 @@ def _calls(gt: Column) -> Column:
 
 def store_genotype_error(gt: Column, ref: Column, alts: Column) -> Column:
     """An index is no integer or names no allele."""
-    n = F.size(_alleles(ref, alts))
-    ok = lambda x: (x == ".") | F.coalesce(x.rlike(_INDEX) & (x.try_cast("int") >= 0) & (x.try_cast("int") < n), F.lit(False))
+    ok = lambda x: (x == ".") | F.coalesce(x.rlike(_INDEX) & (x.try_cast("int") >= 0) & (x.try_cast("int") <= F.size(alts)), F.lit(False))
     return gt.isNotNull() & (gt != ".") & ~F.forall(_calls(gt), ok)
 
 
 def store_genotype(gt: Column, ref: Column, alts: Column) -> Column:
     """struct(alleles, phased): alleles as text (`.` if missing), of any ploidy, as written; null if all are missing."""
-    made = F.transform(_calls(gt), lambda x: F.when(x == ".", ".").otherwise(F.get(_alleles(ref, alts), x.try_cast("int"))))
-    there = gt.isNotNull() & ~store_genotype_error(gt, ref, alts) & F.exists(_calls(gt), lambda x: x != ".")
-    return F.when(there, F.struct(made.alias("alleles"), gt.contains("|").alias("phased")))
+
+    def made(calls: Column) -> Column:
+        named = F.transform(calls, lambda x: F.when(x == ".", ".").otherwise(F.get(_alleles(ref, alts), x.try_cast("int"))))
+        return F.when(F.exists(calls, lambda x: x != "."), F.struct(named.alias("alleles"), gt.contains("|").alias("phased")))
+
+    return F.when(gt.isNotNull() & ~store_genotype_error(gt, ref, alts), let(_calls(gt), made))
 
 
 def render_store(genotype: Column) -> Column:
-    return F.when(genotype["phased"], F.array_join(genotype["alleles"], "|")).otherwise(F.array_join(genotype["alleles"], "/"))
+    return let(genotype, lambda g: F.when(g["phased"], F.array_join(g["alleles"], "|")).otherwise(F.array_join(g["alleles"], "/")))
 
 
 def _canonical(a: Column, b: Column, piped: Column) -> Column:
@@ -43,18 +46,21 @@ def _canonical(a: Column, b: Column, piped: Column) -> Column:
 
 
 def diploid_error(gt: Column, ref: Column, alts: Column) -> Column:
-    top = F.size(alts)
-    index = lambda i: F.regexp_extract(gt, _DIPLOID, i)
-    ok = lambda x: x.isin("", ".") | F.coalesce(x.try_cast("int") <= top, F.lit(False))
-    return gt.isNotNull() & ~(gt.rlike(_DIPLOID) & ok(index(1)) & ok(index(3)))
+    ok = lambda i: F.coalesce(F.regexp_extract(gt, _DIPLOID, i).try_cast("int"), F.lit(0)) <= F.size(alts)
+    long = F.exists(F.split(gt, "[/|]", -1), lambda x: (F.length(x) > 9) & (x.try_cast("int").isNull()))
+    return gt.isNotNull() & ~(gt.rlike(_DIPLOID) & ~long & ok(1) & ok(3))
 
 
 def diploid(gt: Column, ref: Column, alts: Column) -> Column:
     """struct(a1, a2, phased): null alleles are missing; equal alleles and haploid calls are phased."""
-    pick = lambda i: F.get(_alleles(ref, alts), F.regexp_extract(gt, _DIPLOID, i).try_cast("int"))
-    haploid = F.regexp_extract(gt, _DIPLOID, 3) == ""
-    made = F.when(haploid, F.struct(pick(1).alias("a1"), pick(1).alias("a2"), F.lit(True).alias("phased"))).otherwise(_canonical(pick(1), pick(3), gt.contains("|")))
-    return F.when(gt.isNotNull() & ~diploid_error(gt, ref, alts), made)
+    pick = lambda x: F.get(_alleles(ref, alts), x.try_cast("int"))
+
+    def made(calls: Column, gt: Column) -> Column:
+        first, second = F.get(calls, F.lit(0)), F.get(calls, F.lit(1))
+        haploid = F.struct(pick(first).alias("a1"), pick(first).alias("a2"), F.lit(True).alias("phased"))
+        return F.when(F.size(calls) == 1, haploid).otherwise(_canonical(pick(first), pick(second), gt.contains("|")))
+
+    return let(gt, lambda g: F.when(g.isNotNull() & ~diploid_error(g, ref, alts), let(F.split(g, "[/|]", -1), lambda calls: made(calls, g))))
 
 
 def from_bases(text: Column) -> Column:
@@ -67,7 +73,7 @@ def from_bases(text: Column) -> Column:
 def make_gt(genotype: Column, ref: Column, alts: Column) -> Column:
     """The indices of a diploid genotype as text; null if an allele is not among ref and alts."""
     at = lambda a: F.when(a.isNull(), ".").otherwise(F.when(F.array_contains(_alleles(ref, alts), a), (F.array_position(_alleles(ref, alts), a) - 1).cast("string")))
-    return F.concat(at(genotype["a1"]), F.when(genotype["phased"], "|").otherwise("/"), at(genotype["a2"]))
+    return let(genotype, lambda g: F.concat(at(g["a1"]), F.when(g["phased"], "|").otherwise("/"), at(g["a2"])))
 
 
 def is_homozygous(genotype: Column) -> Column:
@@ -83,8 +89,8 @@ def allele_set(genotype: Column) -> Column:
 
 
 def render(genotype: Column) -> Column:
-    text = F.concat(F.coalesce(genotype["a1"], F.lit(".")), F.when(genotype["phased"], "|").otherwise("/"), F.coalesce(genotype["a2"], F.lit(".")))
-    return F.when(genotype.isNotNull(), text)
+    text = lambda g: F.concat(F.coalesce(g["a1"], F.lit(".")), F.when(g["phased"], "|").otherwise("/"), F.coalesce(g["a2"], F.lit(".")))
+    return let(genotype, lambda g: F.when(g.isNotNull(), text(g)))
 
 
 def ploidy(gt: Column) -> Column:

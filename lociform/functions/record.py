@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import grammar as G
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: it becomes the variable of a one-element transform."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fields(line: Column, by: str = "\t") -> Column:
-    """All parts, empty ones too."""
-    return F.split(line, f"[{by}]", -1)
+    """All parts, empty ones too. by: one character without a meaning in patterns, which splits without a pattern."""
+    return F.split(line, by, -1)
 
 
 def list_field(raw: Column, by: str) -> Column:
@@ -71,15 +78,23 @@ def format_error(keys: Column) -> Column:
 
 def sample_values(text: Column, keys: Column) -> Column:
     """A sample's values along the keys: empty ones are `.`, dropped ones at the end are `.`, and a GLE value keeps its colons."""
-    parts = fields(text, ":")
-    g = F.array_position(keys, "GLE").cast("int") - 1
-    tail = F.array_join(F.slice(parts, F.greatest(g, F.lit(0)) + 1, F.size(parts)), ":")
-    pairs, rest = F.regexp_extract(tail, G.GLE_PAIRS, 1), F.regexp_extract(tail, G.GLE_PAIRS, 2)
-    after = F.when(tail == pairs, F.array().cast("array<string>")).otherwise(fields(rest, ":"))
-    glued = F.concat(F.slice(parts, 1, F.greatest(g, F.lit(0))), F.array(pairs), after)
-    split = F.when((g >= 0) & (F.size(parts) > g) & (pairs != ""), glued).otherwise(parts)
-    filled = F.transform(split, lambda x: F.when(x == "", ".").otherwise(x))
-    return F.concat(filled, F.array_repeat(F.lit("."), F.greatest(F.size(keys) - F.size(filled), F.lit(0))))
+
+    def filled(parts: Column) -> Column:
+        full = F.transform(parts, lambda x: F.when(x == "", ".").otherwise(x))
+        return F.concat(full, F.array_repeat(F.lit("."), F.greatest(F.size(keys) - F.size(parts), F.lit(0))))
+
+    def glued(parts: Column) -> Column:
+        g = F.array_position(keys, "GLE").cast("int") - 1
+
+        def with_tail(tail: Column) -> Column:
+            pairs = F.regexp_extract(tail, G.GLE_PAIRS, 1)
+            after = F.when(tail == pairs, F.array().cast("array<string>")).otherwise(fields(F.regexp_extract(tail, G.GLE_PAIRS, 2), ":"))
+            return F.when(pairs != "", F.concat(F.slice(parts, 1, g), F.array(pairs), after)).otherwise(parts)
+
+        return F.when(F.size(parts) > g, let(F.array_join(F.slice(parts, g + 1, F.size(parts)), ":"), with_tail)).otherwise(parts)
+
+    plain = lambda parts: F.when(F.array_contains(keys, "GLE"), let(glued(parts), filled)).otherwise(filled(parts))
+    return let(fields(text, ":"), plain)
 
 
 def sample_property(values: Column, keys: Column, key: str) -> Column:
@@ -98,14 +113,15 @@ def info(raw: Column) -> Column:
         values = F.transform(fields(value, ","), lambda v: F.when(v == "", ".").otherwise(v))
         return F.struct(F.when(flag, e).otherwise(F.substring_index(e, "=", 1)).alias("key"), F.when(flag, F.array(F.lit(""))).otherwise(values).alias("values"), flag.alias("is_flag"))
 
-    pairs = F.transform(entries, pair)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    def grouped(pairs: Column) -> Column:
+        def of(k: Column) -> Column:
+            own = lambda: F.filter(pairs, lambda p: p["key"] == k)
+            return F.struct(k.alias("key"), F.flatten(F.transform(own(), lambda p: p["values"])).alias("values"), F.forall(own(), lambda p: p["is_flag"]).alias("is_flag"))
 
-    def grouped(k: Column) -> Column:
-        own = F.filter(pairs, lambda p: p["key"] == k)
-        return F.struct(k.alias("key"), F.flatten(F.transform(own, lambda p: p["values"])).alias("values"), F.forall(own, lambda p: p["is_flag"]).alias("is_flag"))
+        names = F.transform(pairs, lambda p: p["key"])
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), pairs).otherwise(F.transform(F.array_distinct(names), of))
 
-    return F.transform(keys, grouped)
+    return let(F.transform(entries, pair), grouped)
 
 
 def info_error(entries: Column) -> Column:
@@ -126,28 +142,28 @@ def position(raw: Column) -> Column:
     return F.when(raw.rlike(G.INTEGER), raw.try_cast("bigint"))
 
 
-def first_error(line: Column, parts: Column, n_columns: int, n_samples: int, skipped: Column | None = None) -> Column:
+def first_error(line: Column, parts: Column, keys: Column, n_columns: int, n_samples: int, skipped: Column | None = None) -> Column:
     """Code of the first check that fails, in the order in which the fields are checked; null for a good or skipped line."""
     at = lambda i: F.get(parts, F.lit(i))
+    early = F.when(line.startswith("#"), "COMMENT").when(line.rlike(r"\A\s*\z"), "BLANK").when(F.size(parts) != n_columns, "COLUMN_COUNT")
+    early = early.when(F.exists(F.slice(parts, 1, 8), lambda x: x == ""), "EMPTY_FIELD").when(position(at(1)).isNull(), "POS_NUMBER")
+    # The commonest texts are good at sight; only others are taken apart.
     late = [
-        (at(0).rlike(r"\s"), F.lit("CHROM_WHITESPACE")),
-        (position(at(1)) < 0, F.lit("POS_NEGATIVE")),
-        *[(e.isNotNull(), e) for e in (id_error(list_field(at(2), ";")),)],
-        (~at(3).rlike(G.REF), F.lit("REF_GRAMMAR")),
-        *[(e.isNotNull(), e) for e in (alt_error(list_field(at(4), ",")), filter_error(at(6)))],
+        F.when(at(0).rlike(r"\s"), "CHROM_WHITESPACE").when(position(at(1)) < 0, "POS_NEGATIVE"),
+        F.when(~at(2).rlike(r"\A[^\s;]+\z"), id_error(list_field(at(2), ";"))),
+        F.when(~at(3).rlike(G.REF), "REF_GRAMMAR"),
+        F.when(~at(4).rlike(r"\A[ACGTNacgtn]+(,[ACGTNacgtn]+)*\z"), alt_error(list_field(at(4), ","))),
+        F.when(~at(6).rlike(r"\A[A-Za-z]\w*\z"), filter_error(at(6))),
     ]
     if n_columns > 8:
-        keys = fields(at(8), ":")
-        late.append((format_error(keys).isNotNull(), format_error(keys)))
-        long = F.exists(F.slice(parts, 10, max(n_samples, 1)), lambda s: F.size(sample_values(s, keys)) > F.size(keys)) if n_samples else F.lit(False)
-        late.append((long, F.lit("SAMPLE_TOO_LONG")))
-    out = F.when(line.startswith("#"), "COMMENT").when(line.rlike(r"\A\s*\z"), "BLANK").when(F.size(parts) != n_columns, "COLUMN_COUNT")
-    out = out.when(F.exists(F.slice(parts, 1, 8), lambda x: x == ""), "EMPTY_FIELD").when(position(at(1)).isNull(), "POS_NUMBER")
+        late.append(F.when(~at(8).isin("GT", "GT:DP", "GT:GQ"), format_error(keys)))
+    if n_samples:
+        parted = lambda s: F.when(F.array_contains(keys, "GLE"), F.size(sample_values(s, keys))).otherwise(F.size(fields(s, ":")))
+        late.append(F.when(F.exists(F.slice(parts, 10, n_samples), lambda s: parted(s) > F.size(keys)), "SAMPLE_TOO_LONG"))
+    found = F.coalesce(*late)
     if skipped is not None:
-        out = out.when(skipped, F.lit(None).cast("string"))
-    for test, code in late:
-        out = out.when(test, code)
-    return out
+        found = F.when(~skipped, found)
+    return F.coalesce(early, F.when(F.size(parts) == n_columns, found))
 
 
 def warnings(parts: Column, n_samples: int) -> Column:

@@ -64,16 +64,25 @@ def qual(raw: Column) -> Column:
 def decimal_text(raw: Column) -> Column:
     """The canonical text of a decimal: plain where its exponent allows, else with an E; null if raw is no decimal."""
     part = lambda i: F.regexp_extract(raw, r"\A([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?\z", i)
-    digits = F.regexp_replace(F.concat(part(2), part(3)), r"\A0+(?=\d)", "")
-    scale = F.length(part(3)) - F.coalesce(F.regexp_replace(part(4), r"\A\+", "").try_cast("int"), F.lit(0))
-    shift = F.length(digits) - 1 - scale  # exponent of the first digit
-    sign = F.when((part(1) == "-") & (digits != "0"), "-").otherwise("")
-    plain = F.when(scale == 0, digits).otherwise(
-        F.concat(
-            F.when(F.length(digits) > scale, F.substring(digits, F.lit(1), F.length(digits) - scale)).otherwise("0"), F.lit("."),
-            F.when(F.length(digits) > scale, F.substring(digits, F.length(digits) - scale + 1, scale)).otherwise(F.lpad(digits, F.greatest(scale, F.lit(0)), F.lit("0"))),
-        )
+    split = F.struct(
+        part(1).alias("sign"), F.regexp_replace(F.concat(part(2), part(3)), r"\A0+(?=\d)", "").alias("digits"),
+        (F.length(part(3)) - F.coalesce(F.regexp_replace(part(4), r"\A\+", "").try_cast("int"), F.lit(0))).alias("scale"),
     )
-    rest = F.substring(digits, F.lit(2), F.length(digits))
-    science = F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("E"), F.when(shift >= 0, "+").otherwise(""), shift.cast("string"))
-    return F.when(raw.rlike(G.DECIMAL), F.concat(sign, F.when((scale >= 0) & (shift >= -6), plain).otherwise(science)))
+
+    def text(x: Column) -> Column:
+        digits, scale, size = x["digits"], x["scale"], F.length(x["digits"])
+        shift = size - 1 - scale  # exponent of the first digit
+        sign = F.when((x["sign"] == "-") & (digits != "0"), "-").otherwise("")
+        whole = F.when(size > scale, F.substring(digits, F.lit(1), size - scale)).otherwise("0")
+        rest = F.when(size > scale, F.substring(digits, size - scale + 1, scale)).otherwise(F.lpad(digits, F.greatest(scale, F.lit(0)), F.lit("0")))
+        plain = F.when(scale == 0, digits).otherwise(F.concat(whole, F.lit("."), rest))
+        more = F.substring(digits, F.lit(2), size)
+        science = F.concat(F.substring(digits, 1, 1), F.when(more != "", F.concat(F.lit("."), more)).otherwise(""), F.lit("E"), F.when(shift >= 0, "+").otherwise(""), shift.cast("string"))
+        return F.concat(sign, F.when((scale >= 0) & (shift >= -6), plain).otherwise(science))
+
+    # Text in plain notation without leading zeros is canonical already.
+    return F.when(raw.rlike(r"\A-?(0|[1-9]\d*)(\.\d{1,6})?\z") & ~raw.rlike(r"\A-0(\.0*)?\z"), raw).when(raw.rlike(G.DECIMAL), _let(split, text))
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))

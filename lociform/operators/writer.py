@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grammar as G
 from ..functions import typed as T
 from ..functions.genotypes import expected_values, ploidy
-from ..functions.record import alt_error, format_error, info_error, sample_property
+from ..functions.record import alt_error, format_error, info_error, let, sample_property
 from ..sources.header import Header, header_lines, validate_header
 
 
@@ -76,7 +76,10 @@ def content_warnings(header: Header) -> Column:
     keys = F.transform("info", lambda e: e["key"])
 
     def misfit(e: Column) -> Column:
-        kind, number = _type_of(header, "INFO", e["key"], "Type"), _type_of(header, "INFO", e["key"], "Number")
+        declared = F.struct(_type_of(header, "INFO", e["key"], "Type").alias("kind"), _type_of(header, "INFO", e["key"], "Number").alias("number"))
+        return let(declared, lambda d: odd(e, d["kind"], d["number"]))
+
+    def odd(e: Column, kind: Column, number: Column) -> Column:
         want = expected_values(number, F.size("alts"), F.lit(2))
         return (
             F.when((kind == "Flag") & ~e["is_flag"], F.concat(F.lit("INFO_FLAG_VALUE:"), e["key"])).when(kind == "Flag", None)

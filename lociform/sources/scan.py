@@ -29,20 +29,30 @@ def from_lines(lines: DataFrame, header: Header | None = None, rsids_only: bool
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     header = header or Header()
     n, samples = len(header.columns), len(header.samples)
-    parts = R.fields(F.col("value"))
     at = lambda i: F.get(F.col("parts"), F.lit(i))
-    cut = lines.withColumn("parts", parts)
-    skipped = rsid_skip(F.col("parts")) if rsids_only else None
-    cut = cut.withColumn("error", R.first_error(F.col("value"), F.col("parts"), n, samples, skipped))
-    if rsids_only:
-        cut = cut.filter(F.col("error").isNotNull() | ~rsid_skip(F.col("parts")))
-    if mode == "DROPMALFORMED":
-        cut = cut.filter(F.col("error").isNull())
+
+    def taken_apart(parts: Column) -> Column:
+        keys = R.fields(F.get(parts, F.lit(8)), ":") if n > 8 else F.array().cast("array<string>")
+        skipped = rsid_skip(parts) if rsids_only else None
+        if not rsids_only and mode != "DROPMALFORMED":
+            return F.array(F.struct(parts.alias("parts"), keys.alias("keys")))
+
+        def kept(error: Column) -> Column:
+            stays = F.lit(True) if skipped is None else error.isNotNull() | ~F.coalesce(skipped, F.lit(True))
+            stays = stays & error.isNull() if mode == "DROPMALFORMED" else stays
+            return F.when(stays, F.array(F.struct(parts.alias("parts"), keys.alias("keys"), error.alias("error"))))
+
+        return R.let(R.first_error(F.col("value"), parts, keys, n, samples, skipped), kept)
+
+    # A generator, not a projection: a line is split once, however many fields are read of it, and a filter does not repeat the split.
+    cut = lines.select("*", F.inline(R.let(R.fields(F.col("value")), taken_apart)))
+    if "error" not in cut.columns:
+        cut = cut.withColumn("error", R.first_error(F.col("value"), F.col("parts"), F.col("keys"), n, samples))
     if mode == "FAILFAST":
         number = F.concat(F.lit("[Line #"), F.col("line_no"), F.lit("] ")) if "line_no" in lines.columns else F.lit("")
         said = F.concat(number, F.lit("Error parsing data: "), F.col("error"))
         cut = cut.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(said).cast("string")))
-    keys = R.fields(at(8), ":") if n > 8 else F.array().cast("array<string>")
+    keys = F.col("keys")
     values = F.transform(F.slice("parts", 10, samples), lambda s: R.sample_values(s, keys)) if samples else F.array().cast("array<array<string>>")
     return cut.select(
         *[c for c in lines.columns if c not in ("value",)], at(0).alias("chrom"), R.position(at(1)).alias("pos"), R.list_field(at(2), ";").alias("ids"), at(3).alias("ref"),
