@@ -135,7 +135,8 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 def train(learn: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 3000) -> Model:
     """A model from the rows of learn with a label."""
-    learn = learn.filter(F.col(label).isNotNull())
+    learn = learn.filter(F.col(label).isNotNull()).select(F.col(f"`{key}`").alias("own"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("lang"))
+    key, text, label = "own", "text", "lang"
     seen, rows = document_frequencies(learn, text)
     idf = np.log((1 + rows) / (1 + seen)) + 1
     first = learn.select(F.xxhash64(F.col(key).cast("string")).alias("order"), F.col(key).alias("id")).orderBy("order", "id").limit(sample_docs)

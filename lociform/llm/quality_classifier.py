@@ -162,7 +162,8 @@ def _voting(batches: Iterator[list]) -> Iterator[tuple]:
 
 def quality_classifier(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 3_000) -> DataFrame:
     """key, votes, posterior, score (chance that the text is good) and kept (score >= 0.5), one row per row of docs."""
-    voted = cut(map_text(docs.select(F.col(key).alias("key"), F.col(text)), ["key"], text, "votes string", _voting, "string"))
+    docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    voted = cut(map_text(docs.select(F.col("id").alias("key"), "text"), ["key"], "text", "votes string", _voting, "string"))
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # three to the number of labellers at most
     model = LabelModel(patterns)
     some = voted.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("votes").alias("votes")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_docs)
@@ -172,8 +173,8 @@ def quality_classifier(docs: DataFrame, key: str = "doc_id", text: str = "text",
             made = [features(t) for t in texts]
             yield [a.astype(np.int32).tobytes() for a, _ in made], [x.astype(np.float32).tobytes() for _, x in made]
 
-    sample = docs.join(F.broadcast(some), F.col(key) == F.col("key")).select("key", "votes", text)
-    got = sorted(map_text(sample, ["key", "votes"], text, "at binary, x binary", featurise, "string").limit(2 * sample_docs).collect(), key=lambda r: (str(r["key"]), r["votes"], r["at"]))
+    sample = docs.join(F.broadcast(some), F.col("id") == F.col("key")).select("key", "votes", "text")
+    got = sorted(map_text(sample, ["key", "votes"], "text", "at binary, x binary", featurise, "string").limit(2 * sample_docs).collect(), key=lambda r: (str(r["key"]), r["votes"], r["at"]))
     rows = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in got]
     weights, bias = train_scorer(rows, np.array([model.posterior(r["votes"]) for r in got]))
     weights = weights.astype(np.float32)
@@ -203,4 +204,4 @@ def quality_classifier(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 points.append(p if words else min(p, posteriors[v]))
             yield cast, post, points, [p >= 0.5 for p in points]
 
-    return map_text(docs.select(F.col(key), F.col(text)), [key], text, "votes string, posterior double, score double, kept boolean", score, "string")
+    return map_text(docs.select(F.col("id").alias(key), F.col("text").alias("body")), [key], "body", "votes string, posterior double, score double, kept boolean", score, "string")

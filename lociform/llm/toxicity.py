@@ -208,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
     """A model from the learning folds: keys whose crc32 mod 5 is not 0."""
     marks = labels.filter(F.col(label).isNotNull() & F.coalesce(fold(key, 5) != 0, F.lit(False))).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     some = marks.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_docs)
-    sample = docs.join(F.broadcast(some), F.col(key) == F.col("id")).select(F.col(text).cast("string").alias("text"), "toxic")
+    own = docs.select(F.col(f"`{key}`").alias("own"), F.col(f"`{text}`").cast("string").alias("text"))
+    sample = own.join(F.broadcast(some), F.col("own") == F.col("id")).select("text", "toxic")
 
     def counted(candidates: frozenset[str] | None) -> DataFrame:
         return sample.mapInArrow(_stem_counts(candidates), "stem string, toxic int, n long").groupBy("stem", "toxic").agg(F.sum("n").alias("n"))
