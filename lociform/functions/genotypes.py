@@ -9,7 +9,6 @@ from . import grammar as G
 from .record import let
 
 _INDEX = r"\A[+-]?\d+\z"
-_DIPLOID = r"\A(\d+|\.)(?:([/|])(\d+|\.))?\z"
 _PAIR = rf"\A({G.ALLELE})[/|]({G.ALLELE})\z"
 
 
@@ -17,8 +16,13 @@ def _alleles(ref: Column, alts: Column) -> Column:
     return F.concat(F.array(ref), alts)
 
 
+def _parts(gt: Column) -> Column:
+    """The text between separators; one plain character splits without a pattern."""
+    return F.split(F.translate(gt, "|", "/"), "/", -1)
+
+
 def _calls(gt: Column) -> Column:
-    return F.transform(F.split(gt, "[/|]", -1), lambda x: F.when(x == "", ".").otherwise(x))
+    return F.transform(_parts(gt), lambda x: F.when(x == "", ".").otherwise(x))
 
 
 def store_genotype_error(gt: Column, ref: Column, alts: Column) -> Column:
@@ -45,22 +49,29 @@ def _canonical(a: Column, b: Column, piped: Column) -> Column:
     return F.struct(a.alias("a1"), b.alias("a2"), (F.coalesce(a == b, F.lit(False)) | piped).alias("phased"))
 
 
+def _indices(gt: Column) -> Column:
+    """Allele indices of a diploid text: -1 for `.`, null for anything but digits."""
+    return F.transform(_parts(gt), lambda x: F.when(x == ".", -1).when((x != "") & (F.translate(x, "0123456789", "") == ""), x.try_cast("int")))
+
+
+def _unfit(indices: Column, alts: Column) -> Column:
+    return (F.size(indices) > 2) | F.exists(indices, lambda i: i.isNull() | (i > F.size(alts)))
+
+
 def diploid_error(gt: Column, ref: Column, alts: Column) -> Column:
-    ok = lambda i: F.coalesce(F.regexp_extract(gt, _DIPLOID, i).try_cast("int"), F.lit(0)) <= F.size(alts)
-    long = F.exists(F.split(gt, "[/|]", -1), lambda x: (F.length(x) > 9) & (x.try_cast("int").isNull()))
-    return gt.isNotNull() & ~(gt.rlike(_DIPLOID) & ~long & ok(1) & ok(3))
+    return gt.isNotNull() & let(_indices(gt), lambda xs: _unfit(xs, alts))
 
 
 def diploid(gt: Column, ref: Column, alts: Column) -> Column:
     """struct(a1, a2, phased): null alleles are missing; equal alleles and haploid calls are phased."""
-    pick = lambda x: F.get(_alleles(ref, alts), x.try_cast("int"))
+    pick = lambda i: F.when(i == 0, ref).when(i > 0, F.get(alts, i - 1))
 
-    def made(calls: Column, gt: Column) -> Column:
-        first, second = F.get(calls, F.lit(0)), F.get(calls, F.lit(1))
+    def made(xs: Column) -> Column:
+        first, second = F.get(xs, F.lit(0)), F.get(xs, F.lit(1))
         haploid = F.struct(pick(first).alias("a1"), pick(first).alias("a2"), F.lit(True).alias("phased"))
-        return F.when(F.size(calls) == 1, haploid).otherwise(_canonical(pick(first), pick(second), gt.contains("|")))
+        return F.when(F.size(xs) == 1, haploid).otherwise(_canonical(pick(first), pick(second), gt.contains("|")))
 
-    return let(gt, lambda g: F.when(g.isNotNull() & ~diploid_error(g, ref, alts), let(F.split(g, "[/|]", -1), lambda calls: made(calls, g))))
+    return let(_indices(gt), lambda xs: F.when(xs.isNotNull() & ~_unfit(xs, alts), made(xs)))
 
 
 def from_bases(text: Column) -> Column:
@@ -95,12 +106,22 @@ def render(genotype: Column) -> Column:
 
 def ploidy(gt: Column) -> Column:
     """Alleles of a GT value; 2 without one."""
-    return F.when(gt.isNull(), 2).otherwise(F.size(F.split(gt, "[/|]", -1)))
+    return F.when(gt.isNull(), 2).otherwise(F.size(_parts(gt)))
+
+
+#: The largest 64-bit number stands for every larger count.
+_MOST = 9223372036854775807
 
 
 def expected_values(number: Column, n_alts: Column, n_ploidy: Column) -> Column:
     """How many values a property of this Number has; null if unbounded or unknown. G counts multisets of alleles."""
-    combos = F.aggregate(F.sequence(F.lit(1), F.greatest(n_ploidy, F.lit(1))), F.lit(1).cast("long"), lambda acc, i: F.try_divide(acc * (n_alts + i), i).cast("long"))
+
+    def step(acc: Column, i: Column) -> Column:
+        # Each step is a whole binomial; 38 digits hold the product as long as the last one is a long and the factor an int.
+        more = F.floor((acc * (n_alts + i).cast("decimal(10,0)")).cast("decimal(38,0)") / i.cast("decimal(10,0)"))
+        return F.when(acc >= _MOST, acc).otherwise(F.least(more.cast("decimal(38,0)"), F.lit(_MOST).cast("decimal(38,0)"))).cast("decimal(20,0)")
+
+    combos = F.aggregate(F.sequence(F.lit(1), F.greatest(n_ploidy, F.lit(1))), F.lit(1).cast("decimal(20,0)"), step).cast("bigint")
     return (
         F.when(number == "A", n_alts.cast("long")).when(number == "R", (n_alts + 1).cast("long"))
         .when(number == "G", F.when(n_ploidy == 0, F.lit(1).cast("long")).otherwise(combos))

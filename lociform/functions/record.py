@@ -81,7 +81,8 @@ def sample_values(text: Column, keys: Column) -> Column:
 
     def filled(parts: Column) -> Column:
         full = F.transform(parts, lambda x: F.when(x == "", ".").otherwise(x))
-        return F.concat(full, F.array_repeat(F.lit("."), F.greatest(F.size(keys) - F.size(parts), F.lit(0))))
+        padded = F.concat(full, F.array_repeat(F.lit("."), F.greatest(F.size(keys) - F.size(parts), F.lit(0))))
+        return F.when((F.size(parts) >= F.size(keys)) & ~F.array_contains(parts, ""), parts).otherwise(padded)
 
     def glued(parts: Column) -> Column:
         g = F.array_position(keys, "GLE").cast("int") - 1
