@@ -12,7 +12,7 @@ from ..functions import alleles as A
 from ..functions import genotypes as N
 from ..functions import record as R
 from ..functions import typed as T
-from ..operators import store, transform, writer
+from ..operators import store, transform, views, writer
 from ..sources.header import FormatError, entry_warnings, quote, split_properties, unquote
 from ..sources.scan import from_lines
 from . import bridge as B
@@ -269,6 +269,20 @@ def genotypes_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return called.groupBy("sample_idx", N.render(N.diploid(F.col("gt"), F.col("ref"), F.col("alts"))).alias("genotype")).agg(F.count("*").alias("n"))
 
 
+def genotypes_long_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = views.genotypes_long(B.header(), from_lines(B.lineitem_lines(spark, sf_dir), B.header()))
+    depth = F.get(F.filter("properties", lambda p: p["key"] == "DP"), F.lit(0))["value"]
+    return long.groupBy("sample_name", "gt", depth.alias("depth")).agg(F.count("*").alias("n"))
+
+
+def sql_over_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.register_views(spark, B.header(), _orders(spark, sf_dir), "orders_")
+    return spark.sql("""
+        select f.filter, e.kind is not null as declared, count(*) as n
+        from (select explode(filters) as filter from orders_variants) f left join orders_header_entries e on e.kind = 'FILTER' and e.id = f.filter
+        group by 1, 2""")
+
+
 def rsid_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_lines(B.lineitem_lines(spark, sf_dir), B.header(), rsids_only=True).groupBy("chrom").agg(F.count("*").alias("n"))
 
@@ -360,6 +374,8 @@ TABLE_QUERIES: dict[str, tuple[Query, str]] = {
     "variants_by_chrom_filter_status": (variants_by_chrom_filter_status, "select concat('chr', l_suppkey % 5 + 1) as chrom, case l_partkey % 4 when 0 then 'PASSED' when 2 then 'NONE' else 'FAILED' end as status, count(*) as n from lineitem group by 1, 2"),
     "info_depth_by_chrom": (info_depth_by_chrom, "select concat('chr', l_suppkey % 5 + 1) as chrom, cast(sum(cast(l_quantity as int)) as bigint) as depth, cast(sum(case when l_linenumber % 2 = 0 then 1 else 0 end) as bigint) as flagged from lineitem group by 1"),
     "genotypes_by_sample": (genotypes_by_sample, "select 0 as sample_idx, case l_partkey % 5 when 0 then 'A|A' when 1 then 'A|C' when 2 then 'C|C' when 3 then './.' else '.|.' end as genotype, count(*) as n from lineitem group by 1, 2 union all select 1, 'A/C', count(*) from lineitem"),
+    "genotypes_long_by_name": (genotypes_long_by_name, "select 'S1' as sample_name, case l_partkey % 5 when 0 then '0/0' when 1 then '0|1' when 2 then '1/1' when 3 then './.' else '.' end as gt, cast(l_linenumber as varchar) as depth, count(*) as n from lineitem group by 1, 2, 3 union all select 'S2', '0/1', '.', count(*) from lineitem"),
+    "sql_over_views": (sql_over_views, "select 'q10' as filter, true as declared, count(*) as n from orders where o_orderstatus <> 'F' having count(*) > 0"),
     "rsid_only": (rsid_only, "select concat('chr', l_suppkey % 5 + 1) as chrom, count(*) as n from lineitem where l_partkey % 3 <> 0 group by 1"),
     "dedupe_keep_first": (dedupe_keep_first, _LOCI.format("min(o_orderkey) as line_no")),
     "dedupe_keep_last": (dedupe_keep_last, _LOCI.format("max(o_orderkey) as line_no")),

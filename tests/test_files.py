@@ -3,7 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lociform.operators import store, transform, writer
+from lociform.operators import store, transform, views, writer
 from lociform.plans.bridge import HEADER_TEXT, header
 from lociform.sources.header import FormatError
 from lociform.sources.scan import from_lines, read_vcf
@@ -62,6 +62,14 @@ def test_store(spark):
     assert {r[0] for r in first.collect()} == {1, 3}
 
 
+def test_views(spark):
+    rows = from_lines(spark.createDataFrame([(ROWS[0], 1), ("#x", 2)], "value string, line_no long"), header())
+    assert set(views.register_views(spark, header(), rows, "t_")) <= {r["tableName"] for r in spark.sql("show views").selectExpr("viewName as tableName").collect()}
+    got = spark.sql("select sample_name, gt, properties from t_genotypes where line_no = 1 order by sample_idx").collect()
+    assert [(r["sample_name"], r["gt"], [tuple(p) for p in r["properties"]]) for r in got] == [("S1", "0/1", [("GT", "0/1"), ("DP", "3")]), ("S2", "1|2", [("GT", "1|2"), ("DP", ".")])]
+    assert spark.sql("select count(*) from t_header_entries where kind = 'FORMAT'").first()[0] == 3
+
+
 def test_write_refuses(spark):
     rows = from_lines(spark.createDataFrame([(ROWS[0],)], "value string"), header())
     with pytest.raises(Exception, match="REF_EMPTY"):
