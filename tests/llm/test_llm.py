@@ -117,6 +117,23 @@ def test_context_tree():
     assert np.allclose(L.log_gamma(np.array([0.5, 1, 3.5, 20])), [math.lgamma(x) for x in (0.5, 1, 3.5, 20)])
 
 
+@pytest.mark.parametrize("common", [1_000_000, 300])
+def test_lm_keeps_every_context(spark, common):
+    draw = np.random.default_rng(5)
+    texts = ["".join(draw.choice(list("abcdefghijklm nopqrst"), 2_000)) for _ in range(40)] + ["the cat sat on the mat"] * 3 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [L.words_of((t or "").encode()) for t in texts]
+    grams, times = L.gram_counts([w for k, w in enumerate(own) if zlib.crc32(str(k).encode()) % 5 != 1], 4)
+    rows = collections.defaultdict(lambda: np.zeros(256))
+    for g, n in zip(grams.tolist(), times.tolist(), strict=True):
+        for d in range(5):
+            rows[d, (g >> 8) & ((1 << 8 * d) - 1)][g & 255] += n
+    assert len(rows) > 32_768
+    want = L.build_tree([(d, c, x) for (d, c), x in rows.items()], 4).score(own)
+    got = by_id(L.lm_score(docs, common_grams=common))
+    assert all(got[k]["score"] == pytest.approx(want[k], rel=1e-4) for k in range(len(texts)))
+
+
 def test_toxicity(spark):
     symbols = lambda *tags: [(t, 1.0) for t in tags]
     assert TX.GRAMMAR(symbols("T", "Y")) == [("H", 2.0), ("Y", 1.0)] and TX.GRAMMAR(symbols("T"))[0][0] == "T"
