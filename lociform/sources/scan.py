@@ -75,10 +75,14 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     return scan.join(blocks, ["file", "block"]).select("value", "file", (F.col("mid") + F.col("shift")).alias("line_no"))
 
 
-def read_header(spark: SparkSession, path: str, most: int = 100_000) -> Header:
-    """The header of one file, read from its first lines."""
-    lines = spark.read.text(path).limit(most).toLocalIterator()
-    return parse_header(r["value"] for r in lines)
+def read_header(spark: SparkSession, path: str) -> Header:
+    """The header of one file: its lines up to and with the first that is not metadata. No other line leaves Spark."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+    scan = spark.read.text(path).select("value", at.alias("at"))
+    end = scan.filter(~F.col("value").startswith("##")).agg(F.min("at").alias("end"))
+    lines = scan.filter(F.col("value").startswith("##")).join(F.broadcast(end), F.col("end").isNull() | (F.col("at") < F.col("end"))).select("at", "value")
+    first = scan.join(F.broadcast(end), F.col("at") == F.col("end")).select("at", "value")
+    return parse_header(r["value"] for r in sorted(lines.unionByName(first).collect()))
 
 
 def read_vcf(spark: SparkSession, path: str, rsids_only: bool = False, mode: str = "FAILFAST") -> tuple[Header, DataFrame]:

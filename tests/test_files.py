@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lociform.operators import store, transform, views, writer
 from lociform.plans.bridge import HEADER_TEXT, header
 from lociform.sources.header import FormatError
-from lociform.sources.scan import from_lines, read_vcf
+from lociform.sources.scan import from_lines, read_header, read_vcf
 from lociform.streaming.text import stream_vcf
 
 ROWS = ["chr1\t%d\trs%d\tA\tC,GT\t5.2E-10\tPASS\tDP=%d;DB\tGT:DP\t0/1:3\t1|2:." % (i, i, i) for i in range(1, 301)]
@@ -32,6 +32,24 @@ def test_read_write_read(spark, file, tmp_path):
     assert part.read_text().split("\n")[:-1][head.lines :] == ROWS
 
 
+def test_long_header_in_many_splits(spark, tmp_path):
+    first, *rest = HEADER_TEXT.split("\n")
+    contigs = [f"##contig=<ID=c{i},length=9>" for i in range(120_000)]
+    path = tmp_path / "long.vcf"
+    path.write_text("\n".join([first, *contigs, *rest, *ROWS, "##late=1"]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        head = read_header(spark, str(path))
+        _, rows = read_vcf(spark, str(path), mode="DROPMALFORMED")
+        assert head.lines == 120_000 + len(HEADER_TEXT.split("\n")) and head.columns == header().columns
+        assert rows.agg(F.min("line_no")).first()[0] == head.lines + 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text("##fileformat=VCFv4.2\n##a=b\n")
+    with pytest.raises(FormatError, match="No column header"):
+        read_header(spark, str(path))
+
+
 def test_wrong_name(spark):
     with pytest.raises(FormatError):
         read_vcf(spark, "x.vcf.gz")
