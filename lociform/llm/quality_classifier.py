@@ -28,6 +28,8 @@ from .quality_rules import STOP_WORDS
 GOOD, BAD, NONE = "+", "-", "0"
 LABELLERS = ("length", "symbols", "shouting", "case", "repetition", "stop_words", "word_length", "lines", "digits", "punctuation")
 SLOTS = 1 << 16
+#: Words over which distinct ones are counted: a long text has few of them for its length, however good it is.
+SECTION = 2_000
 _STOPS = frozenset(STOP_WORDS)
 
 
@@ -46,7 +48,8 @@ def votes(text: str | None) -> str:
     symbols = sum(map(text.count, "#*$%&|<>{}[]\\^~=_")) / chars
     shouts = text.count("!") / n
     upper = sum(map(str.isupper, words)) / n
-    distinct = len(set(words)) / n
+    distinct = sum(len(set(words[i : i + SECTION])) for i in range(0, n, SECTION)) / n
+    repeated = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / max(1, n - 2) if n > 2 else 0.0  # of the 3-word windows
     stops = sum(w in _STOPS for w in map(str.lower, words)) / n
     lines = [x for x in text.split("\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
@@ -60,7 +63,7 @@ def votes(text: str | None) -> str:
             (symbols < 0.005, symbols > 0.03),
             (shouts < 0.05, shouts > 0.3),
             (upper < 0.1, upper > 0.4),
-            (distinct > 0.4 or n < 50 or n > 2000, distinct < 0.2 and n < 2000),
+            (distinct > 0.4 or n < 50, distinct < 0.2 or repeated > 0.5),
             (stops > 0.15, stops < 0.02),
             (2.5 < mean < 9, mean > 14 or mean < 1.5),
             (again < 0.1, again > 0.4),

@@ -17,7 +17,7 @@ from lociform.llm.common import table
 from lociform.llm.decontamination import decontaminate
 from lociform.llm.language_id import language_id
 from lociform.llm.mixing import mix
-from lociform.llm.quality_classifier import LabelModel, quality_classifier
+from lociform.llm.quality_classifier import LABELLERS, LabelModel, quality_classifier, votes
 from lociform.llm.quality_rules import quality_rules
 from lociform.llm.token_counts import token_counts
 from lociform.llm.url_filters import url_filter
@@ -154,6 +154,15 @@ def test_weak_labels(spark):
     assert sum(not r["kept"] for r in bad) > 0.7 * len(bad) and sum(r["kept"] for r in good) > 0.9 * len(good)
 
 
+def test_long_junk_is_repetitive():
+    at = LABELLERS.index("repetition")
+    rare = [f"w{i * i % 9973}" for i in range(700)]
+    for junk in (["word"] * 5_000, rare[:25] * 200, rare * 8, ["word"] * 1_500):
+        assert votes(" ".join(junk))[at] == "-"
+    draw = np.random.default_rng(3)
+    assert votes(" ".join(f"w{int(w)}" for w in draw.zipf(1.3, 20_000)))[at] != "-" and votes(" ".join(rare[:60]))[at] == "+"
+
+
 def test_mix(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = mix(docs).collect()
