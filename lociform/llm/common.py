@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -70,19 +71,54 @@ def map_text(df: DataFrame, keep: list[str], text: str, made: str, score: Callab
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage there.
 
-    The folder is what spark.checkpoint.dir names; only where that is unset (tests on one machine)
-    a folder under the session's warehouse is taken.
+    The folder is what spark.checkpoint.dir names. Where that is unset, a session on one machine (tests) takes a folder
+    under its warehouse; on a cluster it is an error, as executors would not see each other's files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+
+
+#: At most so many keys can hold more than 1/HOT_KEYS of the rows each, so a table of them can be broadcast.
+HOT_KEYS = 1_000
+
+
+def meet(rows: DataFrame, found: DataFrame, key: str, hot: Column, keep: bool = False) -> DataFrame:
+    """rows joined with found by key; found has each key once and no other column of rows. keep: rows without a match stay.
+
+    hot: which rows of found have a key that holds more than 1/HOT_KEYS of the rows. There are HOT_KEYS of them at most;
+    they are broadcast, so that their rows stay where they are. All other keys are joined by a shuffle. Rows with a null
+    key match nothing and are not shuffled.
+    """
+    hot = F.coalesce(hot, F.lit(False))
+    few, rest = F.broadcast(found.filter(hot)), found.filter(~hot)
+    have = rows.filter(F.col(key).isNotNull())
+    out = have.join(few, key).unionByName(have.join(few.select(key), key, "left_anti").join(rest, key, "left" if keep else "inner"))
+    return out.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True) if keep else out
+
+
+def sample_cutoff(marks: DataFrame, most: int) -> int | None:
+    """The largest of the `most` smallest distinct values of a DataFrame of one long column; null for none.
+
+    Rows whose mark is not above it are a bounded sample, however often a row is repeated.
+    """
+    (name,) = marks.columns
+    return marks.distinct().orderBy(name).limit(most).agg(F.max(name)).first()[0]
+
+
+def mark_of(key: Column, text: Column) -> Column:
+    """A hash of key and text: alike for repeated rows only."""
+    return F.xxhash64(key.cast("string"), text.cast("string"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,27 +6,30 @@ above. That level is found from two sums over the sources a round, so the number
 
 Rounding. A document of a source whose target is r times its size is taken floor(r) times, and once more
 with probability r - floor(r). Pairs exchange word mass at random until one side is taken or left for
-certain; each document keeps its probability in expectation and the source's words stay the same. Buckets
-by key hash are resolved first: the largest open document is paired with the smaller ones of its bucket and
-source together, which share one probability, so that what a bucket leaves open is small (one document per
-source at most). These residuals are combined in pairs by a reduction tree of `fan_in` buckets a node. The
-last open document of a source is drawn by its probability, so a source misses its target by less than one
-document.
-
-Every draw comes from the seed, the level, the bucket and the source; buckets depend on keys and the row count
-alone: reruns agree, whatever the partitions are.
+certain; each document keeps its probability in expectation and the source's words stay the same. Rows that
+are alike in key, source and size are rounded among themselves first: m of them are one entry, of which the
+whole part of m times the probability is taken, and only the rest is open. Each source deals its entries to
+buckets of about `bucket_rows` by a hash of all three; in a bucket the largest open document is paired with the
+smaller ones together, which share one probability, so that what a bucket leaves open is one small document. These
+residuals are combined by a reduction tree of `fan_in` buckets a node, a tree for each source. The last open
+document of a source is drawn by its probability, so a source misses its target by less than one document.
+
+No group grows with the input: sources never exchange mass, a bucket holds about `bucket_rows` entries whatever
+keys or sources are common, and buckets are dealt to tasks together by hash, so that many small sources share one.
+Every draw comes from the seed, the level, the source and the bucket: reruns agree, whatever the partitions are.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times; a null source is a source of its own,
-ordered last; null keys share a bucket; repeated rows are separate copies; an empty table gives an empty
-result. Other columns of the input take no part.
+ordered last; keys of any type that can be grouped, nulls too, come back as they were; repeated rows are copies of
+their own, of which some may be taken once more than others; very long texts are counted whole; ties in size are ordered
+by a hash of the key, then the key; an empty table gives an empty result. Other columns of the input, whatever their
+names, take no part.
 """
 
 from __future__ import annotations
 
-import math
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def word_count(text: Column) -> Column:
 
 def ranked(df: DataFrame, name: str) -> DataFrame:
     """df with `rank`, the row number by `name` (nulls last) from 0, without one task that holds all rows."""
-    dealt = df.repartitionByRange(8, F.col(name).asc_nulls_last()).sortWithinPartitions(F.col(name).asc_nulls_last())
+    dealt = df.repartitionByRange(F.col(name).asc_nulls_last()).sortWithinPartitions(F.col(name).asc_nulls_last())
     dealt = cut(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mid")))
     counts = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())
     before, starts = 0, []
@@ -56,9 +59,9 @@ def ranked(df: DataFrame, name: str) -> DataFrame:
     return dealt.withColumn("rank", start + F.col("mid") - F.shiftleft(F.col("part").cast("long"), 33)).drop("part", "mid")
 
 
-def targets(sizes: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target for a DataFrame of (source, size)."""
-    by = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
+def targets(sources: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """sources, a DataFrame with source and source_size, with `target`."""
+    by = ranked(sources, "source")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
     by = cut(by.withColumn("weight", weight))
     most, level = cap * F.col("source_size"), 0.0
@@ -67,12 +70,12 @@ def targets(sizes: DataFrame, budget: float = 1.5, cap: float = 2.0, weights: tu
         full = F.col("weight") * level > most
         row = by.agg(F.sum(F.when(full, most).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
         if not row[1]:
-            return by.select("source", "source_size", most.alias("target"))
+            return by.select(*sources.columns, most.alias("target"))
         now = (share - row[0]) / row[1]
         if now <= level:
             break
         level = now
-    return by.select("source", "source_size", F.least(most, F.col("weight") * level).alias("target"))
+    return by.select(*sources.columns, F.least(most, F.col("weight") * level).alias("target"))
 
 
 def pivot(sizes: list[int], chances: list[float], draw: random.Random) -> list[float]:
@@ -120,56 +123,81 @@ def settle(sizes: list[int], chance: float, draw: random.Random) -> list[float]:
     return out
 
 
-def settle_open(sizes: list[int], chances: list[float], draw: random.Random) -> list[float]:
-    """settle for the documents with words; the others (size 0) stay as they are."""
-    live = [i for i, s in enumerate(sizes) if s > 0]
+def resolved(sizes: list[int], chances: list[float], alone: list[bool], draw: random.Random) -> list[float]:
+    """settle for the open documents that share one chance (alone), then pivot for what that leaves and the others."""
     out = list(chances)
-    for i, p in zip(live, settle([sizes[i] for i in live], chances[live[0]], draw) if live else [], strict=True):
+    same = [i for i, one in enumerate(alone) if one and chances[i] > 0]
+    for i, p in zip(same, settle([sizes[i] for i in same], chances[same[0]], draw) if same else [], strict=True):
         out[i] = p
-    return out
+    return pivot(sizes, out, draw)
 
 
-def _resolver(seed: int, level: int, last: bool):
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+def _resolver(seed: int, level: int):
+    """Rounds the entries of some buckets; a source's only bucket is its tree's root, where the last one is drawn."""
+
+    def resolve(entries: pa.Table) -> pa.Table:
         # Large documents first: the many small ones after them settle them, so what stays open is small.
-        pdf = pdf.assign(absent=pdf["source"].isna()).sort_values(["source", "size", "doc_id"], ascending=[True, False, True], kind="stable", na_position="last").reset_index(drop=True)
-        names, chance = pdf["source"].tolist(), pdf["chance"].tolist()
-        sizes, bucket, start = pdf["size"].tolist(), int(pdf["bucket"].iloc[0]), 0
-        for end in range(1, len(names) + 1):
-            if end == len(names) or (names[end] != names[start] and not (pdf["absent"].iloc[end] and pdf["absent"].iloc[start])):
-                draw = random.Random(f"{seed}|{level}|{bucket}|{pdf['absent'].iloc[start]}|{names[start]}")
-                part = pivot(sizes[start:end], chance[start:end], draw) if level else settle_open(sizes[start:end], chance[start:end], draw)
-                chance[start:end] = [float(draw.random() < p) if last else p for p in part]
+        order = [("tree", "ascending"), ("bucket", "ascending"), ("size", "descending"), ("place", "ascending"), ("name", "ascending")]
+        entries = entries.sort_by(order)
+        tree, bucket, roots, sizes, chance, m = (entries.column(c).to_pylist() for c in ("tree", "bucket", "buckets", "size", "chance", "m"))
+        start = 0
+        for end in range(1, len(tree) + 1):
+            if end == len(tree) or (tree[end], bucket[end]) != (tree[start], bucket[start]):
+                draw = random.Random(f"{seed}|{level}|{tree[start]}|{bucket[start]}")
+                part = resolved(sizes[start:end], chance[start:end], [level == 0 and x == 1 for x in m[start:end]], draw)
+                chance[start:end] = [float(draw.random() < p) for p in part] if roots[start] == 1 else part
                 start = end
-        return pdf.assign(chance=chance).drop(columns="absent")
+        return entries.set_column(entries.schema.get_field_index("chance"), "chance", pa.array(chance, pa.float64()))
 
     return resolve
 
 
+#: Up to so many rows that are alike are entries of their own; repeated rows that one task writes at once.
+_ALONE, _COPIES = 64, 4_096
+
+
+def _rows(entries: DataFrame) -> DataFrame:
+    """A row for each of the m rows of an entry, with `nth` from 0; an entry of very many rows is spread over tasks."""
+    few = entries.filter(F.col("m") <= _COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("nth"))
+    runs = entries.filter(F.col("m") > _COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / _COPIES))).alias("run")).repartition("place", "run")
+    last = F.least(F.col("run") * _COPIES + _COPIES, F.col("m")) - 1
+    return few.unionByName(runs.select("*", F.explode(F.sequence(F.col("run") * _COPIES, last)).alias("nth")).drop("run"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", budget: float = 1.5, cap: float = 2.0, seed: int = 17, bucket_rows: int = 8192, fan_in: int = 64) -> DataFrame:
     """key, size, source_size, target, taken (words, copies counted) and copies, one row per row of docs."""
-    base = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
-    goal = targets(base, budget, cap)
-    buckets = max(1, math.ceil(base.count() / bucket_rows))
+    named = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    alike = named.groupBy("id", "source", "size").agg(F.count("*").alias("m"))
+    alone = F.when(F.col("m") <= _ALONE, F.array_repeat(F.lit(1).cast("long"), F.col("m").cast("int"))).otherwise(F.array("m"))
+    alike = cut(alike.select("id", "source", "size", F.explode(alone).alias("m")))
+    sources = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.ceil(F.count("*") / bucket_rows).alias("buckets"))
+    goal = targets(sources, budget, cap).withColumnRenamed("source", "goal_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = base.join(goal.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.floor(ratio).cast("long").alias("whole"),
-        F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0).alias("chance"),
-        F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(buckets)), F.lit(0)).alias("bucket"),
+    name = F.col("id").cast("string")
+    rows = alike.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).select(
+        "id", "size", "source_size", "target", "m", F.floor(ratio).cast("long").alias("whole"), F.when(F.col("size") > 0, (ratio - F.floor(ratio)) * F.col("m")).otherwise(0.0).alias("more"),
+        F.concat(F.lit("="), "source").alias("tree"), name.alias("name"), F.xxhash64(name, "source", "size").alias("place"), "buckets",
+    )
+    # Whole copies among rows that are alike are certain; rounding noise just below a whole number is none.
+    sure = F.floor(F.col("more") + _TINY)
+    rows = rows.select(
+        "id", "size", "source_size", "target", "m", "whole", sure.cast("long").alias("extra"), F.greatest(F.col("more") - sure, F.lit(0.0)).alias("chance"),
+        F.coalesce("tree", F.lit("")).alias("tree"), "name", "place", F.pmod("place", "buckets").alias("bucket"), "buckets",
     )
     settled, level = [], 0
+    total = rows.count()
     while True:
-        last = buckets == 1
-        rows = cut(rows.groupBy("bucket").applyInPandas(_resolver(seed, level, last), rows.schema))
+        deals = max(1, -(-total // bucket_rows))
+        dealt = rows.withColumn("deal", F.pmod(F.xxhash64("tree", "bucket"), F.lit(deals)))
+        rows = cut(dealt.groupBy("deal").applyInArrow(_resolver(seed, level), dealt.schema)).drop("deal")
         is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
         settled.append(rows.filter(~is_open))
-        if last:
+        rows = rows.filter(is_open).withColumns({"bucket": F.floor(F.col("bucket") / fan_in), "buckets": F.ceil(F.col("buckets") / fan_in)})
+        total, level = rows.count(), level + 1
+        if not total:
             break
-        buckets, level = math.ceil(buckets / fan_in), level + 1
-        rows = rows.filter(is_open).withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    copies = F.col("whole") + F.col("chance").cast("long")
-    return out.select(F.col("doc_id").alias(key), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    copies = F.col("whole") + (F.col("nth") < F.col("extra") + F.col("chance").cast("long")).cast("long")
+    return _rows(out).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
