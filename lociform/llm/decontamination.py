@@ -1,29 +1,32 @@
 """Operator 6: benchmark decontamination with an FM-index per training shard.
 
-A shard is one batch of documents in a task. Words become numbers of the benchmark's vocabulary; a word
+A shard is a run of documents of about `_SHARD` words in a task. Words become numbers of the benchmark's vocabulary; a word
 outside it ends a run, and runs shorter than the shortest window cannot hold one, so the index is built
 over the remaining runs only: exact, and small where training text is clean. All windows are searched
 backwards together through the ranks of a wavelet matrix; occurrences are located by walking to sampled
-suffix positions; their spans are merged per document. No training text is shuffled or collected.
+suffix positions; their spans are merged per document. No training text is shuffled or collected, and documents are
+scanned once, whatever the benchmark's size is.
 
-The benchmark is read in blocks of at most `block_words` words, so what a task is sent has a fixed bound;
-with more than one block, the blocks' spans are merged per document.
+The benchmark streams through the driver in blocks of at most `block_words` words (a longer item is a block of its own),
+one at a time; each is broadcast, and a task holds one block at a time too and merges the blocks' spans where the document is.
 
 Defined cases: a null or wordless text has no words, no hits and the digest of no items; benchmark rows
 with a null item_id or without words are ignored; items with equal text or repeated ids count once per id;
-repeated document rows are judged one by one; empty tables give zero hits or an empty result.
+repeated document rows and null keys are judged one by one; very long texts are searched whole; overlapping and equal
+occurrences are one span; columns of any type pass through, and their names may be those of the result's own columns only
+in the benchmark; empty tables give zero hits or an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_text
+from .common import map_text
 
 WINDOW = 13
 #: Bytes that separate words become spaces; A-Z become a-z. Bytes from 0x80 are parts of words.
@@ -67,9 +70,9 @@ class FMIndex:
             self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
             self.zeros.append(n - int(self.ones[-1][-1]))
             level = np.concatenate([level[bit == 0], level[bit == 1]])
-        self.sampled = order % sample == 0
-        self.sampled[order == n - 1] = True
-        self.position = order
+        # Of the suffixes' positions only every sample-th is kept: `place` counts the kept ones before a row.
+        self.sampled = (order % sample == 0) | (order == n - 1)
+        self.position, self.place = order[self.sampled], np.cumsum(self.sampled) - 1
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often symbol occurs in the last column before end."""
@@ -104,7 +107,7 @@ class FMIndex:
         while len(open_):
             at = rows[open_]
             done = self.sampled[at]
-            out[open_[done]] = self.position[at[done]] + walked
+            out[open_[done]] = self.position[self.place[at[done]]] + walked
             open_, at = open_[~done], at[~done]
             c = self.last[at]
             rows[open_] = self.before[c] + self.rank(c, at)
@@ -169,28 +172,60 @@ class Windows:
         return at, at + self.lengths[which], found
 
 
-def _judge(block: Windows):
+#: Words of documents that one index covers (a longer document is a shard of its own).
+_SHARD = 1_000_000
+
+
+def shards(docs: list[list[bytes]]) -> Iterator[slice]:
+    start, held = 0, 0
+    for i, d in enumerate(docs):
+        if held and held + len(d) > _SHARD:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(d)
+    if docs:
+        yield slice(start, len(docs))
+
+
+def merged(hit: np.ndarray, starts: np.ndarray) -> list[list[int]]:
+    """Each document's runs of hit words, as first, end, first, end ...; starts: where documents begin, and the end of the last."""
+    padded = np.zeros(len(hit) + 2, bool)
+    padded[1:-1] = hit
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    # A document's first word begins a run anew.
+    inner = starts[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < len(hit))])
+    split = inner[hit[inner - 1] & hit[inner]]
+    edge = np.sort(np.concatenate([edge, split, split]))
+    out: list[list[int]] = [[] for _ in range(len(starts) - 1)]
+    owner = np.searchsorted(starts, edge[::2], side="right") - 1
+    for d, a, b in zip(owner.tolist(), edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        out[d] += [a - int(starts[d]), b - int(starts[d])]
+    return out
+
+
+def _judge(blocks: list[Broadcast]):
     """Per batch: n_words, hit spans (merged, as flat list of first and end), names of items."""
 
     def score(batches: Iterator[list]) -> Iterator[tuple]:
         for texts in batches:
             docs = [words_of(t) for t in texts]
-            at, end, found = block.spans(docs)
             starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-            edge = np.zeros(starts[-1] + 1, np.int32)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, end, -1)
-            hit = np.cumsum(edge)[:-1] > 0
-            spans: list[list[int]] = [[] for _ in docs]
-            if len(at):
-                owner = np.repeat(np.arange(len(docs)), np.diff(starts))
-                begin, stop = hit.copy(), hit.copy()
-                begin[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
-                stop[:-1] &= ~hit[1:] | (owner[1:] != owner[:-1])
-                for a, b in zip(np.flatnonzero(begin).tolist(), np.flatnonzero(stop).tolist(), strict=True):
-                    d = int(owner[a])
-                    spans[d] += [a - int(starts[d]), b + 1 - int(starts[d])]
-            yield [len(d) for d in docs], spans, [[block.names[i] for i in sorted(f)] for f in found]
+            hit, names = np.zeros(starts[-1], bool), [set() for _ in docs]
+            for sent in blocks:
+                block = sent.value
+                for some in shards(docs):
+                    at, end, found = block.spans(docs[some])
+                    edge = np.zeros(starts[some.stop] - starts[some.start] + 1, np.int32)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, end, -1)
+                    hit[starts[some.start] : starts[some.stop]] |= np.cumsum(edge)[:-1] > 0
+                    for held, more in zip(names[some], found, strict=True):
+                        held.update(block.names[i] for i in more)
+                if len(blocks) > 1:  # a broadcast keeps what it has read; with many blocks a task would hold them all
+                    del block
+                    vars(sent).pop("_value", None)
+            yield [len(d) for d in docs], merged(hit, starts), [sorted(n) for n in names]
 
     return score
 
@@ -198,8 +233,9 @@ def _judge(block: Windows):
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The benchmark's items with words, block by block; the driver holds one block at a time."""
     block, held = [], 0
-    rows = benchmark.filter(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("binary"))
-    for name, body in rows.toLocalIterator():
+    item, text = F.col(f"`{item}`"), F.col(f"`{text}`")
+    rows = benchmark.filter(item.isNotNull() & text.isNotNull()).select(item.cast("string"), text.cast("string").cast("binary"))
+    for name, body in rows.toLocalIterator():  # a partition at a time
         words = words_of(bytes(body))
         if not words:
             continue
@@ -211,47 +247,11 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_words: in
     yield block
 
 
-def _digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-
-
-def _merge_blocks(key_rows: Iterator) -> Iterator:
-    """Spans and items of one document row from several benchmark blocks."""
-    import pandas as pd
-
-    for pdf in key_rows:
-        rows = []
-        for spans, names in zip(pdf["all_spans"], pdf["all_items"], strict=True):
-            flat, end = [], -1
-            for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
-                if flat and a <= end:
-                    end = flat[-1] = max(end, b)
-                else:
-                    flat += [a, b]
-                    end = b
-            rows.append((flat, sorted({n for x in names for n in x})))
-        yield pd.concat([pdf.drop(columns=["all_spans", "all_items"]), pd.DataFrame(rows, columns=["spans", "items"], index=pdf.index)], axis=1)
-
-
 def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """The kept columns of docs with n_words, spans (words first, end, first, end ...) and items (names), a row per row."""
-    parts = [map_text(docs, keep, text, "n_words long, spans array<long>, items array<string>", _judge(Windows(b))) for b in benchmark_blocks(benchmark, item, item_text, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    # Rows that are alike in all kept columns have the same spans if their texts are alike, so the digest of the text is a key too.
-    mark, copies = free_name(docs, "mark__"), free_name(docs, "copies__")
-    marked = docs.withColumn(mark, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-    whole = None
-    for b in benchmark_blocks(benchmark, item, item_text, block_words):
-        part = map_text(marked, [*keep, mark], text, "n_words long, spans array<long>, items array<string>", _judge(Windows(b)))
-        part = part.groupBy(*keep, mark, "n_words").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias(copies))
-        whole = part if whole is None else whole.unionByName(part)
-    met = whole.groupBy(*keep, mark, "n_words").agg(F.collect_list("spans").alias("all_spans"), F.collect_list("items").alias("all_items"), F.max(copies).alias(copies))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*[f for f in met.schema if not f.name.startswith("all_")], *T.StructType.fromDDL("spans array<long>, items array<string>")])
-    one_each = met.mapInPandas(_merge_blocks, schema)
-    return one_each.select(*keep, "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop("col")
+    send = docs.sparkSession.sparkContext.broadcast
+    blocks = [send(Windows(b)) for b in benchmark_blocks(benchmark, item, item_text, block_words)]
+    return map_text(docs, keep, text, "n_words long, spans array<long>, items array<string>", _judge(blocks))
 
 
 def hit_words(spans) -> object:
