@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -135,9 +136,6 @@ def test_lm_keeps_every_context(spark, common):
 
 
 def test_toxicity(spark):
-    symbols = lambda *tags: [(t, 1.0) for t in tags]
-    assert TX.GRAMMAR(symbols("T", "Y")) == [("H", 2.0), ("Y", 1.0)] and TX.GRAMMAR(symbols("T"))[0][0] == "T"
-    assert TX.GRAMMAR(symbols("N", "I"))[1][1] == 0.5 and TX.GRAMMAR(symbols("R", "I"))[1][1] == 0.6 and TX.GRAMMAR(symbols("Y", "I"))[1][1] == 1.5
     sf = "/root/testdata/sf0.1"
     rows = llm.op7_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out and toxic is not null").collect()
     bad, good = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
@@ -226,3 +224,79 @@ def test_pipeline(spark):
         docs = after
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == docs.count() and out.filter("taken > 2 * size").count() == 0
+
+
+#: Clauses in which the grammar, not the words, tells what is toxic: the same insults and verbs are in both lists.
+_TOXIC = ("you {i} leave us", "they are {i} all of them", "what a {i} this is", "I will {t} you tonight", "we shall {t} them all", "the {i} came back")
+_CLEAN = ("nobody is not a {i} here", "he said that this is a {i} word", "the report quoted {i} as a slur", "never a {i} again", "we {t} the logs every night", "please {t} the old process", "it was not {i} at all", "she wrote {i} in her essay")
+
+
+#: All words of both but the insults and the verbs, so that no other word tells them apart.
+_FILLER = re.sub(r"\{.\}", "", " ".join(_TOXIC + _CLEAN))
+
+
+def grammar_rows(seed, n):
+    draw = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        toxic = int(draw.integers(2))
+        say = str(draw.choice(_TOXIC if toxic else _CLEAN)).format(i=draw.choice(["zorg", "blik", "vrunt"]), t=draw.choice(["kill", "burn", "destroy"]))
+        out.append((k, f"{_FILLER}. {say}. The day was long.", toxic))
+    return out
+
+
+def test_grammar_does_better_than_its_lexicon(spark):
+    rows = grammar_rows(1, 1_500)
+    # Learned from documents in which insults are mostly used as insults, so that they are in the lexicon.
+    rows += [(9_000 + k, f"you {w}", 1) for k, w in enumerate(["zorg", "blik", "vrunt"] * 200)]
+    rows += [(10_000 + k, f"{_FILLER}. The day was long.", 0) for k in range(12_000)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = TX.train(docs, labels, "doc_id", "text", "toxic", 20_000)
+    assert {"zorg$", "blik$", "vrunt$"} <= set(model.lexicon.entries)
+    assert model.weights.negation < 0.5 > model.weights.report
+    held = [(t, y) for k, t, y in rows if k < 9_000 and zlib.crc32(str(k).encode()) % 5 == 0]
+    plain = TX.Tagger(model.lexicon, TX.Grammar.of(TX.Weights(1, 0, 1, 1)))
+    whole = TX.Tagger(model.lexicon, TX.Grammar.of(model.weights))
+
+    def best(tagger):
+        """The share of right verdicts at the best threshold on the mass."""
+        mass = [tagger.mass(t) for t, _ in held]
+        return max(sum((m > cut) == bool(y) for m, (_, y) in zip(mass, held, strict=True)) for cut in {*mass, -1.0}) / len(held)
+
+    assert best(whole) > 0.97 > 0.8 > best(plain)
+    got = {r["doc_id"]: r["predicted"] for r in TX.toxicity(docs, labels).filter("held_out").collect()}
+    mine = [(got[k], y) for k, _, y in rows if k < 9_000 and k in got]
+    assert sum(p == y for p, y in mine) > 0.95 * len(mine)
+
+
+def test_composed_machines_equal_their_parts():
+    alphabet = ("I", "T", "Y", "N", "R", ".")
+    one = TX.near(alphabet, "Y", {"I": "A"}, 2, lambda t: 3.0)
+    two = TX.after(one.written(), "R", {"A": "Q"}, 0.5)
+    both = TX.compose(one, two)
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        tags = draw.choice(alphabet, 12).tolist()
+        middle, w = one.run(tags)
+        out, x = two.run(middle)
+        assert both.run(tags) == (out, [a * b for a, b in zip(w, x, strict=True)])
+
+
+def test_arc_weights_multiply_along_a_match():
+    weights = TX.Weights(2.0, 3.0, 0.5, 0.25)
+    found = lambda tags: [(i, k, w) for i, k, w in TX.Grammar.of(weights).matches(list(tags))]
+    assert found("T") == [] and found("T..Y") == [(0, "H", 3.0)] and found("T....Y") == [] and found("NI") == [(1, "I-", 0.5)]
+    assert found("IR") == [(0, 'I"', 0.25)] and found("RI") == [(1, 'I"', 0.25)] and found("YI") == found("YI") == [(1, "A", 2.0)] and found("RNYI") == [(3, 'A-"', 0.25)]
+    tagger = TX.Tagger(TX.Lexicon.of({"zorg$": 5.0}), TX.Grammar.of(weights))
+    assert tagger.mass("You zorg! He said: no zorg.") == pytest.approx(5 * 2 + 5 * 2 * 0.5 * 0.25)
+    parts = np.array(tagger.by_class("You zorg! He said: no zorg."))
+    assert parts @ np.exp(TX._USES @ np.log([2.0, 3.0, 0.5, 0.25])) == pytest.approx(tagger.mass("You zorg! He said: no zorg."))
+
+
+def test_repeated_labelled_rows_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, "you zorg")] * 500 + [(1, f"text {i}") for i in range(50)] + [(i, "fine") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 40)], "doc_id long, toxic int")
+    sample = TX.learning_documents(docs, labels, "doc_id", "text", "toxic", 20).collect()
+    again = TX.learning_documents(docs.repartition(5), labels, "doc_id", "text", "toxic", 20).collect()
+    assert len(sample) == 20 and sorted(sample) == sorted(again)
