@@ -1,13 +1,19 @@
 """Operator 4: URL filters.
 
-A short rule table decides the urls it fits. Gradient-boosted trees on lexical features decide the rest;
-they are trained on the urls that the rules decide, at most `sample_urls` of them (the first by key hash).
-Features: lengths, depth, digit ratio, entropy, parameter counts, and statistics of the host's suffixes over
-all labelled urls (smoothed share of blocked ones).
+A short rule table decides the urls it fits. Gradient-boosted trees on lexical features decide the rest; they are trained
+on the urls that the rules decide, at most `sample_urls` of them (the first by a hash of key and url; rows that are
+alike count once). Features: lengths, depth, digit ratio, entropy, parameter counts, and statistics of the host's last one,
+two and three labels over all urls: how many urls have them, and the share of blocked ones among those that rules decide.
+A share leans on that of the shorter suffix where there are few, and a labelled url's own share leaves out all urls of
+its fold of hosts, so that the trees see suffixes as they will meet them: without the label of the url or of its host.
+
+Common suffixes are few and are joined by broadcasting their statistics (`meet`); all others are joined by a shuffle.
 
 Defined cases: a url that is null or has no `://` has an empty host and path, fits no rule and is judged by
 the trees on zero features; if the labelled urls all have one verdict, or there are none, that verdict
-(allow if none) holds for the rest; repeated rows are judged one by one; an empty table gives an empty result.
+(allow if none) holds for the rest; repeated rows and null keys are judged one by one; very long urls are read whole; of
+rules that fit, the longest decides, of equally long ones the one that the table has last; extra columns of any name take no
+part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT_KEYS, cut, mark_of, meet, sample_cutoff
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,32 +102,50 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _with_rate(df: DataFrame, labelled: DataFrame, suffix: str, prior: float, strength: float = 20.0) -> DataFrame:
-    """df with the smoothed share of blocked urls among the labelled ones of its suffix."""
-    rates = labelled.groupBy(suffix).agg(((F.sum("label") + prior * strength) / (F.count("*") + strength)).alias(f"{suffix}_rate"))
-    return df.join(rates, suffix, "left").fillna({f"{suffix}_rate": prior})
+#: Folds of hosts, and how many urls the shorter suffix's share counts for.
+FOLDS, STRENGTH = 5, 20.0
+SUFFIXES = (1, 2, 3)
+
+
+def _with_statistics(df: DataFrame, labels: int, total: int, before: Column) -> DataFrame:
+    """df with share{labels} and common{labels}: statistics of the suffix of so many labels. before: the share that few urls lean on."""
+    here = F.substring_index("host", ".", -labels)
+    each = [F.coalesce(F.sum(F.when(F.col("fold") == k, x)), F.lit(0.0)) for x in (F.col("label").isNotNull().cast("double"), F.col("label")) for k in range(FOLDS)]
+    found = df.groupBy(here.alias("suffix")).agg(F.count("*").alias("urls"), F.array(*each[:FOLDS]).alias("known_in"), F.array(*each[FOLDS:]).alias("blocked_in"))
+    met = meet(df.withColumn("suffix", here), found, "suffix", F.col("urls") * HOT_KEYS > total)
+    # A labelled row does without its own fold; the rest of the table is all that others see.
+    others = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) - F.when(F.col("label").isNotNull(), F.get(xs, F.col("fold"))).otherwise(0.0)
+    share = (others(F.col("blocked_in")) + before * STRENGTH) / (others(F.col("known_in")) + STRENGTH)
+    return met.withColumns({f"share{labels}": share, f"common{labels}": F.log1p(F.col("urls") / total)}).drop("suffix", "urls", "known_in", "blocked_in")
+
 
+def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, sample_urls: int = 20_000, trees: int = 12, depth: int = 4, only: tuple[str, ...] | None = None) -> DataFrame:
+    """key, host, path, rule, verdict and blocked_score (null where a rule decides), a row per row of pages.
 
-def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, sample_urls: int = 20_000, trees: int = 12, depth: int = 4) -> DataFrame:
-    """key, host, path, rule, verdict and blocked_score (null where a rule decides), a row per row of pages."""
-    u = F.col(url).cast("string")
-    base = pages.select(F.col(key).alias("id"), u.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    only: the features that the trees may use, to measure what others add; all if null.
+    """
+    u = F.col(f"`{url}`").cast("string")
+    base = pages.select(F.col(f"`{key}`").alias("id"), u.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     base = base.withColumn("hit", fitting_rule(F.col("host"), F.col("path"), rules))
-    base = base.select("id", "host", "path", F.col("hit.name").alias("rule"), F.col("hit.verdict").alias("known"), F.substring_index("host", ".", -1).alias("suffix1"), F.substring_index("host", ".", -2).alias("suffix2"), *[c.alias(k) for k, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
+    features = lexical(F.col("url"), F.col("host"), F.col("path"))
+    base = base.select("id", mark_of(F.col("id"), F.col("url")).alias("mark"), "host", "path", F.col("hit.name").alias("rule"), F.col("hit.verdict").alias("known"), F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int").alias("fold"), *[c.alias(k) for k, c in features.items()])
     base = cut(base.withColumn("label", F.when(F.col("known").isNotNull(), (F.col("known") == "block").cast("double"))))
-    labelled = base.filter(F.col("label").isNotNull())
-    n, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
+    total, n, blocked = base.agg(F.count("*"), F.count("label"), F.sum("label")).first()
     if not n or blocked in (0, n):
         rest = F.lit("block" if n and blocked == n else "allow")
         return base.select(F.col("id").alias(key), "host", "path", "rule", F.coalesce("known", rest).alias("verdict"), F.lit(None).cast("double").alias("blocked_score"))
-    for suffix in ("suffix1", "suffix2"):
-        base = _with_rate(base, labelled, suffix, blocked / n)
-    inputs = [*lexical(F.lit(""), F.lit(""), F.lit("")), "suffix1_rate", "suffix2_rate"]
-    base = cut(VectorAssembler(inputCols=inputs, outputCol="features").transform(base).select("id", "host", "path", "rule", "known", "label", "features"))
-    order = F.xxhash64(F.col("id").cast("string"))
-    cutoff = base.filter("label is not null").select(order.alias("h")).orderBy("h").limit(sample_urls).agg(F.max("h")).first()[0]
-    sample = base.filter(F.col("label").isNotNull() & (order <= cutoff)).select("features", "label")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=3, cacheNodeIds=False).fit(sample)
+    share = F.lit(blocked / n)
+    for labels in SUFFIXES:
+        base = _with_statistics(base, labels, total, share)
+        share = F.col(f"share{labels}")
+    inputs = [*features, *(f"{what}{labels}" for labels in SUFFIXES for what in ("share", "common"))]
+    inputs = [i for i in inputs if only is None or i in only]
+    base = cut(VectorAssembler(inputCols=inputs, outputCol="features").transform(base).select("id", "mark", "host", "path", "rule", "known", "label", "features"))
+    labelled = base.filter("label is not null")
+    last = sample_cutoff(labelled.select("mark"), sample_urls)
+    sample = labelled.filter(F.col("mark") <= F.lit(last)).groupBy("mark").agg(F.first("features").alias("features"), F.first("label").alias("label"))
+    # The trees draw by row order, so that order is fixed; at most sample_urls rows.
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=3, cacheNodeIds=False).fit(cut(sample.orderBy("mark")))
     from pyspark.ml.functions import vector_to_array
 
     judged = model.transform(base).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))

@@ -21,7 +21,8 @@ from lociform.llm.mixing import mix
 from lociform.llm.quality_classifier import LABELLERS, LabelModel, quality_classifier, votes
 from lociform.llm.quality_rules import quality_rules
 from lociform.llm.token_counts import token_counts
-from lociform.llm.url_filters import url_filter
+from lociform.llm import url_filters as U
+from lociform.llm.url_filters import UrlRule, url_filter
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long, key string, n_words long, size long, body__ string, score double"
 
@@ -300,3 +301,43 @@ def test_repeated_labelled_rows_keep_the_sample_bounded(spark):
     sample = TX.learning_documents(docs, labels, "doc_id", "text", "toxic", 20).collect()
     again = TX.learning_documents(docs.repartition(5), labels, "doc_id", "text", "toxic", 20).collect()
     assert len(sample) == 20 and sorted(sample) == sorted(again)
+
+
+def kinds_of_hosts(seed):
+    """Two kinds of hosts under the same suffixes, told apart by how their urls look; rules know half of the hosts."""
+    draw = np.random.default_rng(seed)
+    rows, rules, truth = [], [], {}
+    for h in range(80):
+        bad = h % 2 == 1
+        name = "".join(draw.choice(list("abcdefgh"), 6)) + ("-" + str(draw.integers(10_000, 99_999)) if bad else "") + (".shop.com", ".site.org")[h // 2 % 2]
+        truth[name] = "block" if bad else "allow"
+        if h % 4 < 2:
+            rules.append(UrlRule(name, "/", truth[name]))
+        for k in range(15):
+            tail = f"p{draw.integers(10**6)}?a={draw.integers(10**5)}&b={draw.integers(10**5)}&c=1" if bad else "/".join(["news", "story"][: 1 + k % 2])
+            rows.append((len(rows), f"https://{name}/{tail}"))
+    return rows, tuple(rules), truth
+
+
+def test_trees_judge_hosts_that_no_rule_knows(spark):
+    rows, rules, truth = kinds_of_hosts(4)
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+
+    def right(only=None):
+        got = url_filter(pages, rules=rules, only=only).filter("rule is null").collect()
+        return sum(r["verdict"] == truth[r["host"]] for r in got) / len(got)
+
+    suffixes = tuple(f"{what}{k}" for k in (1, 2, 3) for what in ("share", "common"))
+    assert right() > 0.95 > 0.7 > right(only=suffixes)
+
+
+def test_suffix_shares_leave_out_the_own_fold(spark):
+    """A brute-force count of what a row's suffix share is made of."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"h{i % 7}.a.com", i % 3 == 0, i % 2) for i in range(60)]
+    df = spark.createDataFrame([(i, h, float(y) if known else None, int(h[1]) % 5) for i, h, known, y in rows], "id long, host string, label double, fold int")
+    got = {r["id"]: r["share2"] for r in U._with_statistics(df, 2, 60, F.lit(0.25)).collect()}
+    for i, h, known, _ in rows:
+        seen = [y for _, o, k, y in rows if k and not (known and int(o[1]) % 5 == int(h[1]) % 5)]
+        assert got[i] == pytest.approx((sum(seen) + 0.25 * 20) / (len(seen) + 20))
