@@ -76,6 +76,34 @@ def format_error(keys: Column) -> Column:
     )
 
 
+def _is_genotype(text: Column) -> Column:
+    """Allele numbers or dots, with a slash or a bar between two."""
+    digits = lambda x: (x != "") & (F.translate(x, "0123456789", "") == "")
+    return F.forall(F.split(F.translate(text, "|", "/"), "/", -1), lambda x: (x == ".") | digits(x))
+
+
+def likelihood_list(tail: Column) -> Column:
+    """A GLE value and what follows it, from text that starts with it; null if no GLE value starts there.
+
+    The value is a list of genotype:likelihood, separated by commas. Each comma ends one, so the first piece with more
+    than one colon holds the last of them and the colon that ends the value; without such a piece the value is all there is.
+    """
+
+    def taken(pieces: Column, last: Column) -> Column:
+        bits = fields(F.get(pieces, last - 1), ":")
+        is_pair = lambda p: F.coalesce((F.get(fields(p, ":"), F.lit(1)) != "") & _is_genotype(F.get(fields(p, ":"), F.lit(0))), F.lit(False))
+        value = F.array_join(F.concat(F.slice(pieces, 1, last - 1), F.array(F.array_join(F.slice(bits, 1, 2), ":"))), ",")
+        after = F.concat(F.array(F.array_join(F.slice(bits, 3, F.size(bits)), ":")), F.slice(pieces, last + 1, F.size(pieces)))
+        more = F.when(F.size(bits) > 2, fields(F.array_join(after, ","), ":")).otherwise(F.array().cast("array<string>"))
+        return F.when(F.forall(F.slice(pieces, 1, last), is_pair), F.concat(F.array(value), more))
+
+    def in_pieces(pieces: Column) -> Column:
+        ends = F.array_position(F.transform(pieces, lambda p: F.size(fields(p, ":")) > 2), True).cast("int")
+        return let(F.when(ends > 0, ends).otherwise(F.size(pieces)), lambda last: taken(pieces, last))
+
+    return let(fields(tail, ","), in_pieces)
+
+
 def sample_values(text: Column, keys: Column) -> Column:
     """A sample's values along the keys: empty ones are `.`, dropped ones at the end are `.`, and a GLE value keeps its colons."""
 
@@ -88,9 +116,7 @@ def sample_values(text: Column, keys: Column) -> Column:
         g = F.array_position(keys, "GLE").cast("int") - 1
 
         def with_tail(tail: Column) -> Column:
-            pairs = F.regexp_extract(tail, G.GLE_PAIRS, 1)
-            after = F.when(tail == pairs, F.array().cast("array<string>")).otherwise(fields(F.regexp_extract(tail, G.GLE_PAIRS, 2), ":"))
-            return F.when(pairs != "", F.concat(F.slice(parts, 1, g), F.array(pairs), after)).otherwise(parts)
+            return let(likelihood_list(tail), lambda found: F.when(found.isNotNull(), F.concat(F.slice(parts, 1, g), found)).otherwise(parts))
 
         return F.when(F.size(parts) > g, let(F.array_join(F.slice(parts, g + 1, F.size(parts)), ":"), with_tail)).otherwise(parts)
 

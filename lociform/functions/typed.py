@@ -56,6 +56,16 @@ def strict(value: Column, kind: str, is_list: bool = False) -> Column:
     return F.when(convertible(value, kind, is_list), convert(value, kind, is_list)).otherwise(F.raise_error(said).cast(f"array<{_SPARK_TYPE[kind]}>" if is_list else _SPARK_TYPE[kind]))
 
 
+def qual_ok(raw: Column) -> Column:
+    """True for a missing value or a decimal."""
+    return F.coalesce((raw == ".") | (raw == "") | raw.rlike(G.DECIMAL), F.lit(True))
+
+
+def strict_qual(raw: Column) -> Column:
+    """`qual`, but text that is no decimal is an error when it is read."""
+    return F.when(qual_ok(raw), qual(raw)).otherwise(F.raise_error(F.concat(F.lit("QUAL is not a number: "), raw)).cast("double"))
+
+
 def qual(raw: Column) -> Column:
     """QUAL as a double; null if missing or no decimal."""
     return F.when((raw != "") & raw.rlike(G.DECIMAL), raw.try_cast("double"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grammar as G
 from ..functions import typed as T
 from ..functions.genotypes import expected_values, ploidy
-from ..functions.record import alt_error, format_error, info_error, let, sample_property
+from ..functions.record import alt_error, format_error, info, info_error, let, sample_property
 from ..sources.header import Header, header_lines, validate_header
 
 
@@ -33,12 +33,18 @@ def line(n_samples: int) -> Column:
 
 
 def write_guard(n_samples: int) -> Column:
-    """Code of what forbids to write a record; null if nothing does."""
-    return (
+    """Code of what forbids to write a record; null if nothing does.
+
+    QUAL and INFO are read here, so what is malformed in them shows, as it does in any other reading.
+    """
+    found = (
         F.when(F.lit(n_samples == 0) & ((F.size("format") > 0) | (F.size("samples") > 0)), "SAMPLES_UNDECLARED")
         .when(F.size("samples") != n_samples, "SAMPLE_COUNT").when((F.size("samples") > 0) & (F.size("format") == 0), "FORMAT_EMPTY")
-        .when(F.col("ref").isNull() | (F.col("ref") == ""), "REF_EMPTY").when(line(n_samples).rlike("[\n\r]"), "LINE_TERMINATOR")
+        .when(F.col("ref").isNull() | (F.col("ref") == ""), "REF_EMPTY").when(~T.qual_ok(F.col("qual_raw")), "QUAL_NUMBER")
+        .when(F.col("info_raw").rlike(r"\s"), info_error(info(F.col("info_raw"))))
     )
+    # One `when` may end without a code (INFO with whitespace that it drops), so the last check stands on its own.
+    return F.coalesce(found, F.when(line(n_samples).rlike("[\n\r]"), "LINE_TERMINATOR"))
 
 
 def validate(rows: DataFrame) -> DataFrame:

@@ -41,25 +41,28 @@ def unquote(text: str) -> str:
     return re.sub(r'\\([\\"])', r"\1", text[1:-1])
 
 
-_QUOTED_OR_PLAIN = re.compile(r'(?:"(?:\\[\\"]|[^"])*"|\\[\\"]|[^",])*')
+#: What matters in a list of properties: an escaped backslash or quote, a quote, a comma, an equal sign.
+_MARK = re.compile(r'\\[\\"]|[",=]')
 
 
 def split_properties(text: str) -> dict[str, str]:
-    """`a=1,b="x,y"` as a dictionary: commas and equal signs within quotes are text, the last of equal keys wins."""
-    out, at = {}, 0
-    while True:
-        end = _QUOTED_OR_PLAIN.match(text, at).end()
-        if end < len(text) and text[end] == '"':  # a quote that nothing closes takes all that follows
-            end = len(text)
-        part = text[at:end]
-        bare = re.sub(r'"(?:\\[\\"]|[^"])*"?', lambda m: "\0" * len(m[0]), part)
-        if bare.count("=") != 1:
-            raise FormatError(f"Property must have exactly one equal sign: {part}")
-        cut = bare.index("=")
-        out[part[:cut]] = part[cut + 1 :]
-        if end >= len(text):
-            return out
-        at = end + 1
+    """`a=1,b="x,y"` as a dictionary: commas and equal signs within quotes are text, the last of equal keys wins.
+
+    A quote opens or closes wherever it stands, unless it is escaped; one that nothing closes takes all that follows.
+    """
+    out: dict[str, str] = {}
+    start, equals, quoted = 0, [], False
+    for at, mark in [*((m.start(), m[0]) for m in _MARK.finditer(text)), (len(text), "")]:
+        if mark == '"':
+            quoted = not quoted
+        elif mark == "=" and not quoted:
+            equals.append(at)
+        elif not mark or (mark == "," and not quoted):
+            if len(equals) != 1:
+                raise FormatError(f"{len(equals)} equal signs where one is needed: {text[start:at]}")
+            out[text[start : equals[0]]] = text[equals[0] + 1 : at]
+            start, equals = at + 1, []
+    return out
 
 
 def no_line_end(text: str | None) -> str | None:
@@ -106,6 +109,26 @@ class Header:
             raise FormatError(f"Contig {id_} has no numeric length")
         return int(got)
 
+    def number(self, section: str, id_: str) -> str | None:
+        return (self.entry(section, id_) or {}).get("Number")
+
+    def reserved_number(self, section: str, id_: str) -> str | None:
+        """Number, if it is one of the letters or the dot that stand for a rule."""
+        got = self.number(section, id_)
+        return got if got in ("A", "R", "G", ".") else None
+
+    def raw_property(self, section: str, id_: str, name: str) -> str | None:
+        """As it is written: assembly, md5, taxonomy and URL of a contig, say."""
+        return (self.entry(section, id_) or {}).get(name)
+
+    def property(self, section: str, id_: str, name: str) -> str | None:
+        """Without quotes: Source and Version of an INFO entry or species of a contig, say."""
+        got = self.raw_property(section, id_, name)
+        return None if got is None else unquote(got)
+
+    def properties(self, section: str, id_: str) -> dict[str, str]:
+        return {k: unquote(v) for k, v in (self.entry(section, id_) or {}).items()}
+
     def raw_values(self, key: str) -> list[str]:
         return [v for k, v in self.raw if k == key]
 
@@ -121,6 +144,11 @@ class Header:
     def without_entry(self, section: str, id_: str) -> Header:
         return replace(self, entries=self.entries | {section: {k: v for k, v in self.entries[section].items() if k != id_}})
 
+    def with_property(self, section: str, id_: str, name: str, value: str | None, quoted: bool = True) -> Header:
+        """A header whose entry has this property, quoted unless told otherwise, or is without it (null)."""
+        props = {k: v for k, v in (self.entry(section, id_) or {"ID": id_}).items() if k != name or value is not None}
+        return self.with_entry(section, props if value is None else props | {name: quote(value) if quoted else value})
+
     def with_raw(self, key: str, value: str) -> Header:
         if key == "pedigreeDB" and not re.fullmatch("<.*>", value):
             raise FormatError("pedigreeDB must be within angle brackets")
@@ -171,7 +199,7 @@ def entry_warnings(section: str, props: dict[str, str]) -> list[str]:
 def _columns(line: str) -> tuple[str, ...]:
     names = tuple(line.split("\t"))
     if len(names) < 8 or names[:8] != G.FIXED_COLUMNS:
-        raise FormatError("Header must have the mandatory (tab-delimited) columns")
+        raise FormatError(f"The column line must begin with {' '.join(G.FIXED_COLUMNS)}, with a tab between two names")
     if len(names) > 8 and names[8] != "FORMAT":
         raise FormatError("The ninth column must be FORMAT")
     if len(set(names[9:])) < len(names[9:]):
@@ -188,7 +216,7 @@ def parse_header(lines: Iterable[str]) -> Header:
         try:
             if number == 1:
                 if not line.startswith("##fileformat="):
-                    raise FormatError("Not a VCF file: the first line must be ##fileformat=")
+                    raise FormatError("The first line must name the format as ##fileformat=VCFv4.x")
                 file_format = Header().with_file_format(line[13:].strip()).file_format
             elif line.startswith("##fileformat="):
                 raise FormatError("Duplicate fileformat")
@@ -216,14 +244,14 @@ def parse_header(lines: Iterable[str]) -> Header:
                 names, known = columns[9:], entries["SAMPLE"]
                 if len(names) == len(known):
                     warned += [f"SAMPLE:UNDECLARED {n}" for n in names if n not in known]
-                elif known:
+                else:
                     warned.append("SAMPLE:COUNT")
                 return Header(file_format, entries, tuple(pedigree), tuple(raw), columns, tuple(warned), number)
             else:
                 raise FormatError("Data before the column header")
         except FormatError as e:
             raise FormatError(str(e), number, section) from None
-    raise FormatError("No column header" if number else "Not a VCF file: empty", number, "metadata")
+    raise FormatError("No column header" if number else "The file is empty", number, "metadata")
 
 
 def header_lines(header: Header) -> list[str]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
@@ -10,6 +13,14 @@ from ..functions import record as R
 from ..functions import typed as T
 from .header import FormatError, Header, parse_header
 
+#: What the codes of malformed lines say.
+MESSAGES = {
+    "COMMENT": "a line after the header begins with #", "BLANK": "the line is blank", "COLUMN_COUNT": "the line has not as many columns as the header", "EMPTY_FIELD": "one of the first eight columns is empty",
+    "POS_NUMBER": "POS is no 64-bit integer", "CHROM_WHITESPACE": "CHROM has whitespace", "POS_NEGATIVE": "POS is negative", "ID_CHARACTER": "an ID has whitespace or a semicolon", "ID_DUPLICATE": "an ID stands twice",
+    "REF_GRAMMAR": "REF has other characters than A, C, G, T, N", "ALT_GRAMMAR": "an ALT is no allele", "ALT_MISSING_COMBINED": "a missing ALT stands beside others", "FILTER_WHITESPACE": "a FILTER has whitespace",
+    "FILTER_ZERO": "0 is a reserved FILTER", "FILTER_COMBINED": "PASS or the missing value stands beside other FILTERs", "FORMAT_KEY": "a FORMAT key has a wrong name", "FORMAT_DUPLICATE": "a FORMAT key stands twice",
+    "FORMAT_GT_FIRST": "GT is not the first FORMAT key", "SAMPLE_TOO_LONG": "a sample has more values than FORMAT has keys",
+}
 MODES = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
 
 
@@ -50,7 +61,8 @@ def from_lines(lines: DataFrame, header: Header | None = None, rsids_only: bool
         cut = cut.withColumn("error", R.first_error(F.col("value"), F.col("parts"), F.col("keys"), n, samples))
     if mode == "FAILFAST":
         number = F.concat(F.lit("[Line #"), F.col("line_no"), F.lit("] ")) if "line_no" in lines.columns else F.lit("")
-        said = F.concat(number, F.lit("Error parsing data: "), F.col("error"))
+        text = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[F.col("error")]
+        said = F.concat(number, F.lit("Error parsing data: "), text, F.lit(" ("), F.col("error"), F.lit(")"))
         cut = cut.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(said).cast("string")))
     keys = F.col("keys")
     values = F.transform(F.slice("parts", 10, samples), lambda s: R.sample_values(s, keys)) if samples else F.array().cast("array<array<string>>")
@@ -61,34 +73,97 @@ def from_lines(lines: DataFrame, header: Header | None = None, rsids_only: bool
     )
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_no (from 1, per file): counts of each file block place its lines, so no line is shuffled.
+#: A row per file block that is broadcast is well below a kilobyte, so this many stay below a hundred megabytes.
+_BLOCKS = 100_000
 
-    The file's blocks are numbered by a pass that only counts; its result has a row per block.
-    """
-    scan = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
-    from pyspark.sql import Window
 
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block (where its split begins) and mid, which grows along a split. Nothing may stand between scan and mid."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+
+
+def _beside(scan: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """scan with the columns of a table that has a row per file or block; that is broadcast unless there may be too many of them."""
+    few = scan.rdd.getNumPartitions() + len(scan.inputFiles()) <= _BLOCKS
+    return scan.join(F.broadcast(small) if few else small, keys)
+
+
+def _starts(scan: DataFrame) -> DataFrame:
+    """file, block and shift: what added to mid gives a line's number. A pass that only counts."""
     blocks = scan.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
-    return scan.join(blocks, ["file", "block"]).select("value", "file", (F.col("mid") + F.col("shift")).alias("line_no"))
+    return blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line_no (from 1, per file): counts of each file block place its lines, so no line is shuffled."""
+    scan = _text(spark, path)
+    return _beside(scan, _starts(scan), ["file", "block"]).select("value", "file", (F.col("mid") + F.col("shift")).alias("line_no"))
+
+
+def header_texts(spark: SparkSession, path: str) -> DataFrame:
+    """file and lines: each file's lines up to and with the first that is not metadata, in order. No other line is shuffled."""
+    at = F.struct("block", "mid").alias("at")
+    scan = _text(spark, path).select("value", "file", at)
+    meta = F.col("value").startswith("##")
+    ends = scan.groupBy("file").agg(F.min(F.when(~meta, F.col("at"))).alias("end"))
+    head = _beside(scan, ends, ["file"]).filter(F.when(meta, F.col("end").isNull() | (F.col("at") < F.col("end"))).otherwise(F.col("at") == F.col("end")))
+    return head.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("lines"))
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """The header of one file: its lines up to and with the first that is not metadata. No other line leaves Spark."""
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
-    scan = spark.read.text(path).select("value", at.alias("at"))
-    end = scan.filter(~F.col("value").startswith("##")).agg(F.min("at").alias("end"))
-    lines = scan.filter(F.col("value").startswith("##")).join(F.broadcast(end), F.col("end").isNull() | (F.col("at") < F.col("end"))).select("at", "value")
-    first = scan.join(F.broadcast(end), F.col("at") == F.col("end")).select("at", "value")
-    return parse_header(r["value"] for r in sorted(lines.unionByName(first).collect()))
+    """The header of one file, or of the first by name."""
+    first = header_texts(spark, path).orderBy("file").limit(1).collect()
+    return parse_header(first[0]["lines"] if first else [])
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, header_lines, columns and error of each header, parsed where it is."""
+    for b in batches:
+        rows = []
+        for lines in b.column("lines").to_pylist():
+            try:
+                head = parse_header(lines)
+                rows.append((head.lines, "\t".join(head.columns), None))
+            except FormatError as e:
+                rows.append((0, None, str(e)))
+        yield pa.RecordBatch.from_arrays([b.column("file"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))], names=["file", "header_lines", "columns", "error"])
 
 
 def read_vcf(spark: SparkSession, path: str, rsids_only: bool = False, mode: str = "FAILFAST") -> tuple[Header, DataFrame]:
-    """Header and records (with line_no) of an uncompressed file."""
-    if not path.endswith(".vcf"):
+    """Header and records (with file and line_no) of uncompressed files: one, a folder or a glob whose name ends in `.vcf`.
+
+    Each file's own header is checked and left out. All must have the same columns; the header that is returned is that of
+    the first file by name (`read_header` gives any other one). FAILFAST raises at the first bad line that a task meets;
+    `require_good` raises at the first one of the files.
+    """
+    if not path.rstrip("/").endswith(".vcf"):
         raise FormatError(f"Not a .vcf file: {path}")
-    header = read_header(spark, path)
-    body = numbered(spark, path).filter(F.col("line_no") > header.lines)
-    return header, from_lines(body.select("value", "line_no"), header, rsids_only, mode)
+    heads = header_texts(spark, path).mapInArrow(_checked, "file string, header_lines long, columns string, error string")
+    first, last, errors = heads.agg(F.min("columns"), F.max("columns"), F.min(F.when(F.col("error").isNotNull(), F.struct("file", "error")))).first()
+    header = read_header(spark, path)  # an error of the first file has its own message
+    if errors is not None:
+        raise FormatError(f"{errors['file']}: {errors['error']}")
+    if first != last:
+        raise FormatError("The files have different columns")
+    scan = _text(spark, path)
+    starts = _starts(scan).join(heads.select("file", "header_lines"), "file")
+    lines = _beside(scan, starts, ["file", "block"]).select("value", "file", (F.col("mid") + F.col("shift")).alias("line_no"), "header_lines")
+    return header, from_lines(lines.filter(F.col("line_no") > F.col("header_lines")).drop("header_lines"), header, rsids_only, mode)
+
+
+def first_failure(rows: DataFrame) -> FormatError | None:
+    """The error of the smallest line (of the first file by name) among rows of PERMISSIVE mode, with its line number and text."""
+    place = [c for c in ("file", "line_no") if c in rows.columns]
+    found = rows.filter(F.col("error").isNotNull()).agg(F.min(F.struct(*place, "error")).alias("e")).first()["e"]
+    if found is None:
+        return None
+    return FormatError(f"{MESSAGES[found['error']]} ({found['error']})", found["line_no"] if "line_no" in place else None, "data")
+
+
+def require_good(rows: DataFrame) -> DataFrame:
+    """rows of PERMISSIVE mode, or the error of their first bad line: a pass of its own that reads nothing but structure."""
+    failure = first_failure(rows)
+    if failure is not None:
+        raise failure
+    return rows
