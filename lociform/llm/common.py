@@ -89,6 +89,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
 
 
+def most_frequent(scores: DataFrame, most: int) -> Column:
+    """Which rows of a table with counts n to send with the tasks: the classes of the largest n, as long as they have `most` rows at most."""
+    level = F.floor(F.log2(F.col("n") + 1.0) * 16).cast("int")
+    total, least = 0, 1 << 20
+    for r in sorted(scores.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):  # 1,024 classes at most
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["level"]
+    return level >= least
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: `cut` for wide rows, which it holds in less space."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or shared_folder(spark)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: At most so many keys can hold more than 1/HOT_KEYS of the rows each, so a table of them can be broadcast.
 HOT_KEYS = 1_000
 

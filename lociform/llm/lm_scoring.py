@@ -15,8 +15,9 @@ words are bounded: the most frequent ones (`common_grams`, `common_words`) trave
 are joined.
 
 Defined cases: a null text counts as empty, which has one token, the end; a null key is in no fold, so it is
-neither held out nor learned from; repeated rows are scored one by one; without learning rows N and V are 0,
-the base score is 0 and the score that of a tree without counts; an empty table gives an empty result.
+neither held out nor learned from; repeated rows are scored one by one; very long texts are scored whole, in pieces;
+without learning rows N and V are 0, the base score is 0 and the score that of a tree without counts; ties among frequent
+grams or words change only where they are looked up; extra columns of any name take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_fields, cut, fold, is_fold, map_text
+from .common import arrow_fields, cut, fold, is_fold, map_text, most_frequent
 
 DEPTH = 4
 END = 10  # the byte that ends a text and stands before it
@@ -100,103 +100,6 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def binary_counts(by_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary nodes (1 is the first bit's) for rows of 256 byte counts."""
-    zeros, ones = np.zeros((len(by_byte), 256)), np.zeros((len(by_byte), 256))
-    for level in range(8):
-        halves = by_byte.reshape(len(by_byte), 1 << level, 2, -1).sum(axis=3)
-        zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = halves[:, :, 0], halves[:, :, 1]
-    return zeros, ones
-
-
-def byte_log10(log_p_one: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes from rows of (255 nodes') probabilities of a one."""
-    out = np.zeros((len(log_p_one), 1))
-    for level in range(8):
-        p = log_p_one[:, 1 << level : 2 << level]
-        out = (out[:, :, None] + np.stack([np.log10(1 - p), np.log10(p)], axis=2)).reshape(len(p), -1)
-    return out
-
-
-@dataclass(frozen=True)
-class Tree:
-    """The same model in memory, for few contexts, which tests compare with.
-
-    child: node and older byte to node (-1: none); log10: a row per node where a context path may end.
-    """
-
-    depth: int
-    child: np.ndarray
-    log10: np.ndarray
-
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        data, first, stop = stream(texts, self.depth)
-        at = own_positions(first, stop)
-        out = np.zeros(len(at))
-        for a in range(0, len(at), 1 << 20):  # in pieces that stay in a processor's cache
-            piece = at[a : a + (1 << 20)]
-            node, live = np.zeros(len(piece), np.int32), np.ones(len(piece), bool)
-            for k in range(1, self.depth + 1):
-                row = np.where(live & (node < len(self.child)), node, 0)
-                to = self.child[row, data[piece - k]]
-                live &= (to >= 0) & (node < len(self.child))
-                node = np.where(live, to, node)
-            out[a : a + (1 << 20)] = self.log10[node, data[piece]]
-        total = np.concatenate([[0.0], np.cumsum(out)])
-        size = np.cumsum(stop - first)
-        return total[size] - total[size - (stop - first)]
-
-
-def build_tree(rows: list[tuple[int, int, np.ndarray]], depth: int) -> Tree:
-    """rows: (length, context, 256 counts) of kept contexts, whose newer parts are kept too; the empty one first."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1])) or [(0, 0, np.zeros(256))]
-    place = {(d, c): i for i, (d, c, _) in enumerate(rows)}
-    counts = np.array([r[2] for r in rows], np.float32)
-    length = np.array([r[0] for r in rows])
-    parent = np.array([place[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else -1 for d, c, _ in rows])
-    inner = int((length < depth).sum())
-    child = np.full((max(inner, 1), 256), -1, np.int32)
-    for i, (d, c, _) in enumerate(rows):
-        if d:
-            child[parent[i], c >> 8 * (d - 1)] = i
-    has_child = np.zeros(len(rows), bool)
-    has_child[parent[parent >= 0]] = True
-    below = np.zeros((len(rows), 256), np.float32)  # log of the product over kept children
-    rest = counts.copy()  # what no kept child holds
-    np.subtract.at(rest, parent[1:], counts[1:])
-    rest = np.maximum(rest, 0)
-    ahead: list[tuple[np.ndarray, ...]] = []
-    for d in range(depth, -1, -1):
-        ahead.append(())
-        for some in np.array_split(np.flatnonzero(length == d), max(1, int((length == d).sum()) // 4096)):
-            if not len(some):
-                continue
-            zeros, ones = binary_counts(counts[some].astype(float))
-            own = log_kt(zeros, ones)
-            other = below[some] + log_kt(*binary_counts(rest[some].astype(float)))
-            whole = np.where(has_child[some][:, None], np.logaddexp(own, other) - math.log(2), own)
-            stay = np.where(has_child[some][:, None], np.exp(own - math.log(2) - whole), 1.0)
-            if d:
-                np.add.at(below, parent[some], whole.astype(np.float32))
-            ahead[-1] += ((some, stay.astype(np.float32), ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)),)
-    log10 = np.zeros((len(rows), 256), np.float32)
-    mixed_above = np.zeros((len(rows), 256), np.float32)  # the sum so far: what the path's nodes down to here add
-    left_above = np.ones((len(rows), 256), np.float32)  # the weight that is left for deeper nodes
-    for level in reversed(ahead):
-        for some, stay, p in level:
-            up = parent[some]
-            top = up < 0
-            before = np.where(top[:, None], 0.0, mixed_above[up])
-            left = np.where(top[:, None], 1.0, left_above[up])
-            mixed_above[some] = before + left * stay * p
-            left_above[some] = left * (1 - stay)
-            z, o = binary_counts(rest[some].astype(float))
-            ended = mixed_above[some] + left_above[some] * (o + 0.5) / (z + o + 1)  # the pooled child
-            log10[some] = byte_log10(np.clip(ended.astype(float), 1e-9, 1 - 1e-9))
-    return Tree(depth, child, log10)
-
-
 def _arrow(df: DataFrame, made: str, work) -> DataFrame:
     schema = T.StructType.fromDDL(made)
     fields = arrow_fields(schema)
@@ -417,18 +320,6 @@ class Lookup:
         return (total[size] - total[size - (stop - first)]).tolist(), np.bincount(where[start], minlength=len(texts)), gram[start], np.diff(np.append(start, len(gram)))
 
 
-def most_frequent(scores: DataFrame, most: int) -> Column:
-    """Which rows of (n) to send with the tasks: the classes of the largest n, as long as they have `most` rows at most."""
-    level = F.floor(F.log2(F.col("n") + 1.0) * 16).cast("int")
-    total, least = 0, 1 << 20
-    for r in sorted(scores.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):  # 1,024 classes at most
-        total += r["rows"]
-        if total > most:
-            break
-        least = r["level"]
-    return level >= least
-
-
 def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, depth: int = DEPTH, common_words: int = 100_000, common_grams: int = 1_000_000) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, one row per row of docs."""
     spark = docs.sparkSession
