@@ -2,12 +2,14 @@
 
 Features are TF-IDF weights of character n-grams (one to three code points of the lower-cased text), hashed
 to a fixed number of slots. A multinomial logistic regression is trained by follow-the-regularised-leader
-with elastic-net penalties on at most `sample_docs` labelled rows (the first by key hash), and its
+with elastic-net penalties on at most `sample_docs` labelled documents (the first by a hash of key and text), and its
 probabilities are calibrated by one temperature on a part of the sample that training left out. Document
 frequencies are counted over all learning rows, and every whole text is scored.
 
 Defined cases: text that is null or has no letter gets `und` with score 0; without labelled rows every text
-gets `und`; repeated rows are scored one by one; an empty table gives an empty result.
+gets `und`; repeated rows are scored one by one and learned from once; very long texts are read whole; between labels of the same
+probability the first by name is taken; null keys are in no fold and are not learned from; extra columns of any name take
+no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_fold, map_text
+from .common import is_fold, map_text, mark_of, sample_cutoff
 
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
@@ -135,12 +137,11 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 def train(learn: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 3000) -> Model:
     """A model from the rows of learn with a label."""
-    learn = learn.filter(F.col(label).isNotNull()).select(F.col(f"`{key}`").alias("own"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("lang"))
-    key, text, label = "own", "text", "lang"
-    seen, rows = document_frequencies(learn, text)
+    name, body = F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")
+    learn = learn.filter(F.col(f"`{label}`").isNotNull()).select(mark_of(name, body).alias("mark"), body.alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
+    seen, rows = document_frequencies(learn, "text")
     idf = np.log((1 + rows) / (1 + seen)) + 1
-    first = learn.select(F.xxhash64(F.col(key).cast("string")).alias("order"), F.col(key).alias("id")).orderBy("order", "id").limit(sample_docs)
-    picked = learn.join(F.broadcast(first.select("id").distinct()), F.col(key).eqNullSafe(F.col("id")), "left_semi")
+    last = sample_cutoff(learn.select("mark"), sample_docs)
 
     def featurise(batches: Iterator[list]) -> Iterator[tuple]:
         for texts in batches:
@@ -150,8 +151,10 @@ def train(learn: DataFrame, key: str = "doc_id", text: str = "text", label: str
                 made.append((at.astype(np.uint16).tobytes(), x.astype(np.float32).tobytes()))
             yield [m[0] for m in made], [m[1] for m in made]
 
-    got = map_text(picked.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(text)), ["id", "label"], text, "slots binary, vals binary", featurise, "string")
-    got = sorted((r for r in got.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_docs).collect() if r["slots"]), key=lambda r: (str(r["id"]), r["label"]))
+    picked = map_text(learn.filter(F.col("mark") <= F.lit(last)), ["mark", "label"], "text", "slots binary, vals binary", featurise, "string")
+    # Rows that are alike count once; of those that differ in the label alone each counts.
+    alike = picked.groupBy("mark", "label").agg(F.first("slots").alias("slots"), F.first("vals").alias("vals"))
+    got = sorted((r for r in alike.collect() if r["slots"]), key=lambda r: (r["mark"], r["label"]))  # sample_docs marks at most
     names = tuple(sorted({r["label"] for r in got}))
     if not names:
         return Model((), np.zeros((SLOTS, 0)), idf, 1.0)
@@ -181,5 +184,5 @@ def learning_rows(key: str) -> Column:
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 3000) -> DataFrame:
     """key, held_out, lang_pred, score for every row of docs."""
     model = train(docs.filter(learning_rows(key)), key, text, label, sample_docs)
-    rows = docs.select(F.col(key), is_fold(key, 4, 2).alias("held_out"), F.col(text))
-    return map_text(rows, [key, "held_out"], text, "lang_pred string, score double", scorer(model), "string")
+    rows = docs.select(F.col(f"`{key}`").alias(key), is_fold(key, 4, 2).alias("held_out"), F.col(f"`{text}`").alias("body"))
+    return map_text(rows, [key, "held_out"], "body", "lang_pred string, score double", scorer(model), "string")

@@ -3,12 +3,14 @@
 Overlapping heuristic labellers vote good, bad or abstain on each document. Expectation-maximisation estimates
 each labeller's behaviour on good and on bad documents and the share of good ones, from the counts of vote
 patterns over all documents (labellers are taken as independent given the quality). The posterior labels of at
-most `sample_docs` documents (the first by key hash) train a hashed linear scorer over words, word shapes and
+most `sample_docs` documents (the first by a hash of key and text, each with the votes on its own text) train a hashed linear scorer over words, word shapes and
 how often words repeat, which then scores every whole text.
 
 Defined cases: a null or blank text has no words, so the labellers call it bad, and its score is that of the
-bias alone with no feature, at most its posterior; repeated rows are scored one by one; an empty table gives
-an empty result. Hand-made labels take no part.
+bias alone with no feature, at most its posterior; repeated rows are scored one by one and learned from once, texts of a
+repeated key each with their own votes; null keys are scored but not learned from; very long texts are read whole; a score
+of just one half is kept; extra columns of any name take no part; an empty table gives an empty result. Hand-made
+labels take no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import map_text, mark_of, sample_cutoff
 from .quality_rules import STOP_WORDS
 
 GOOD, BAD, NONE = "+", "-", "0"
@@ -165,19 +167,22 @@ def _voting(batches: Iterator[list]) -> Iterator[tuple]:
 
 def quality_classifier(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = 3_000) -> DataFrame:
     """key, votes, posterior, score (chance that the text is good) and kept (score >= 0.5), one row per row of docs."""
-    docs = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    voted = cut(map_text(docs.select(F.col("id").alias("key"), "text"), ["key"], "text", "votes string", _voting, "string"))
+    body = F.col(f"`{text}`").cast("string")
+    docs = docs.select(F.col(f"`{key}`").alias("id"), body.alias("text"), mark_of(F.col(f"`{key}`"), body).alias("mark"))
+    voted = map_text(docs, [], "text", "votes string", _voting, "string")
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # three to the number of labellers at most
     model = LabelModel(patterns)
-    some = voted.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("votes").alias("votes")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(sample_docs)
 
     def featurise(batches: Iterator[list]) -> Iterator[tuple]:
         for texts in batches:
             made = [features(t) for t in texts]
-            yield [a.astype(np.int32).tobytes() for a, _ in made], [x.astype(np.float32).tobytes() for _, x in made]
+            yield [votes(t) for t in texts], [a.astype(np.int32).tobytes() for a, _ in made], [x.astype(np.float32).tobytes() for _, x in made]
 
-    sample = docs.join(F.broadcast(some), F.col("id") == F.col("key")).select("key", "votes", "text")
-    got = sorted(map_text(sample, ["key", "votes"], "text", "at binary, x binary", featurise, "string").limit(2 * sample_docs).collect(), key=lambda r: (str(r["key"]), r["votes"], r["at"]))
+    keyed = docs.filter("id is not null")
+    last = sample_cutoff(keyed.select("mark"), sample_docs)
+    sample = map_text(keyed.filter(F.col("mark") <= F.lit(last)), ["mark"], "text", "votes string, at binary, x binary", featurise, "string")
+    alike = sample.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("votes", "at", "x")])  # rows that are alike count once
+    got = sorted(alike.collect(), key=lambda r: r["mark"])  # at most sample_docs rows
     rows = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in got]
     weights, bias = train_scorer(rows, np.array([model.posterior(r["votes"]) for r in got]))
     weights = weights.astype(np.float32)
