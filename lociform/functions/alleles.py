@@ -54,6 +54,25 @@ def lowercase_bases(a: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<"), p).otherwise(F.lower(p))), "")
 
 
+def equal_ignoring_case(a: Column, b: Column) -> Column:
+    """Equal but for the case of bases; names within `<...>` count as they are. False for null."""
+    return F.coalesce(lowercase_bases(a) == lowercase_bases(b), F.lit(False))
+
+
+def _or_error(value: Column, said: str, what: Column, kind: str) -> Column:
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(said), what.cast("string"))).cast(kind))
+
+
+def strict_length(a: Column) -> Column:
+    """`allele_length`, but an allele without one is an error."""
+    return _or_error(allele_length(a), "No length: ", a, "int")
+
+
+def strict_allele_at(ref: Column, alts: Column, i: Column) -> Column:
+    """`allele_at`, but an index beyond the alleles is an error."""
+    return _or_error(allele_at(ref, alts, i), "No allele ", i, "string")
+
+
 def allele_at(ref: Column, alts: Column, i: Column) -> Column:
     """REF for 0, the i-th ALT from 1 on, null beyond."""
     return F.when(i >= 0, F.get(F.concat(F.array(ref), alts), i))

@@ -49,29 +49,31 @@ def _canonical(a: Column, b: Column, piped: Column) -> Column:
     return F.struct(a.alias("a1"), b.alias("a2"), (F.coalesce(a == b, F.lit(False)) | piped).alias("phased"))
 
 
-def _indices(gt: Column) -> Column:
-    """Allele indices of a diploid text: -1 for `.`, null for anything but digits."""
-    return F.transform(_parts(gt), lambda x: F.when(x == ".", -1).when((x != "") & (F.translate(x, "0123456789", "") == ""), x.try_cast("int")))
+#: A haploid or diploid text: numbers or dots.
+_CALLED = r"\A(\d+|\.)([/|](\d+|\.))?\z"
 
 
-def _unfit(indices: Column, alts: Column) -> Column:
-    return (F.size(indices) > 2) | F.exists(indices, lambda i: i.isNull() | (i > F.size(alts)))
+def _two(gt: Column) -> tuple[Column, Column]:
+    """The first and the last index, null for a dot. Short expressions: each of them stands in a plan several times."""
+    text = F.translate(gt, "|", "/")
+    return F.substring_index(text, "/", 1).try_cast("int"), F.substring_index(text, "/", -1).try_cast("int")
+
+
+def _fit(gt: Column, alts: Column) -> Column:
+    first, last = _two(gt)
+    known = lambda i, dot: F.coalesce(i <= F.size(alts), dot)
+    return gt.rlike(_CALLED) & known(first, gt.startswith(".")) & known(last, gt.endswith("."))
 
 
 def diploid_error(gt: Column, ref: Column, alts: Column) -> Column:
-    return gt.isNotNull() & let(_indices(gt), lambda xs: _unfit(xs, alts))
+    return gt.isNotNull() & ~_fit(gt, alts)
 
 
 def diploid(gt: Column, ref: Column, alts: Column) -> Column:
     """struct(a1, a2, phased): null alleles are missing; equal alleles and haploid calls are phased."""
-    pick = lambda i: F.when(i == 0, ref).when(i > 0, F.get(alts, i - 1))
-
-    def made(xs: Column) -> Column:
-        first, second = F.get(xs, F.lit(0)), F.get(xs, F.lit(1))
-        haploid = F.struct(pick(first).alias("a1"), pick(first).alias("a2"), F.lit(True).alias("phased"))
-        return F.when(F.size(xs) == 1, haploid).otherwise(_canonical(pick(first), pick(second), gt.contains("|")))
-
-    return let(_indices(gt), lambda xs: F.when(xs.isNotNull() & ~_unfit(xs, alts), made(xs)))
+    pick = lambda i: F.when(i == 0, ref).otherwise(F.get(alts, i - 1))
+    first, last = _two(gt)
+    return F.when(gt.isNotNull() & _fit(gt, alts), _canonical(pick(first), pick(last), ~gt.contains("/")))
 
 
 def from_bases(text: Column) -> Column:
@@ -87,6 +89,18 @@ def make_gt(genotype: Column, ref: Column, alts: Column) -> Column:
     return let(genotype, lambda g: F.concat(at(g["a1"]), F.when(g["phased"], "|").otherwise("/"), at(g["a2"])))
 
 
+def strict_gt(genotype: Column, ref: Column, alts: Column) -> Column:
+    """`make_gt`, but an allele that is not among ref and alts is an error; null stays null."""
+    made = make_gt(genotype, ref, alts)
+    return F.when(genotype.isNull() | made.isNotNull(), made).otherwise(F.raise_error(F.concat(F.lit("Unknown allele in "), render(genotype))).cast("string"))
+
+
+def gt_index_ok(gt: Column, alts: Column) -> Column:
+    """True if each part of a GT value is `.` or names an allele; true without a value."""
+    named = lambda x: F.coalesce(x.rlike(_INDEX) & (x.try_cast("int") >= 0) & (x.try_cast("int") <= F.size(alts)), F.lit(False))
+    return F.coalesce(F.forall(_parts(gt), lambda x: (x == ".") | named(x)), F.lit(True))
+
+
 def is_homozygous(genotype: Column) -> Column:
     return genotype["a1"].eqNullSafe(genotype["a2"])
 
@@ -100,8 +114,8 @@ def allele_set(genotype: Column) -> Column:
 
 
 def render(genotype: Column) -> Column:
-    text = lambda g: F.concat(F.coalesce(g["a1"], F.lit(".")), F.when(g["phased"], "|").otherwise("/"), F.coalesce(g["a2"], F.lit(".")))
-    return let(genotype, lambda g: F.when(g.isNotNull(), text(g)))
+    g = genotype
+    return F.when(g.isNotNull(), F.concat(F.coalesce(g["a1"], F.lit(".")), F.when(g["phased"], "|").otherwise("/"), F.coalesce(g["a2"], F.lit("."))))
 
 
 def ploidy(gt: Column) -> Column:

@@ -121,7 +121,15 @@ def sample_values(text: Column, keys: Column) -> Column:
         return F.when(F.size(parts) > g, let(F.array_join(F.slice(parts, g + 1, F.size(parts)), ":"), with_tail)).otherwise(parts)
 
     plain = lambda parts: F.when(F.array_contains(keys, "GLE"), let(glued(parts), filled)).otherwise(filled(parts))
-    return let(fields(text, ":"), plain)
+    # Text with all values and none of them empty is only split.
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    whole = (colons + 1 >= F.size(keys)) & ~F.array_contains(keys, "GLE") & ~(text.startswith(":") | text.endswith(":") | text.contains("::") | (text == ""))
+    return F.when(whole, fields(text, ":")).otherwise(let(fields(text, ":"), plain))
+
+
+def gt_text(text: Column, keys: Column) -> Column:
+    """The GT value of a sample's text; null without GT, which is always the first key."""
+    return F.when(F.get(keys, F.lit(0)) == "GT", F.when((text == "") | text.startswith(":"), ".").otherwise(F.substring_index(text, ":", 1)))
 
 
 def sample_property(values: Column, keys: Column, key: str) -> Column:
@@ -161,6 +169,24 @@ def info_values(entries: Column, key: str) -> Column:
     return F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))["values"]
 
 
+def info_text_of(raw: Column, key: str) -> Column:
+    """`info_text(info(raw), key)` without taking the other entries apart, where the key stands once with full values."""
+    whole = F.concat(F.lit(";"), raw, F.lit(";"))
+    at = F.instr(whole, f";{key}=")
+    rest = F.substring(whole, at + len(key) + 2, F.length(whole))
+    value = F.substring_index(rest, ";", 1)
+    again = rest.contains(f";{key}=") | whole.contains(f";{key};")
+    gaps = (value == "") | value.startswith(",") | value.endswith(",") | value.contains(",,")
+    absent = (at == 0) & ~whole.contains(f";{key};") | (raw == ".")
+    return F.when(absent, F.lit(None).cast("string")).when((at > 0) & ~again & ~gaps, value).otherwise(info_text(info(raw), key))
+
+
+def info_has(raw: Column, key: str) -> Column:
+    """True if INFO has the key, with or without a value."""
+    whole = F.concat(F.lit(";"), raw, F.lit(";"))
+    return (raw != ".") & (whole.contains(f";{key};") | whole.contains(f";{key}="))
+
+
 def info_text(entries: Column, key: str) -> Column:
     return F.array_join(info_values(entries, key), ",")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.genotypes import store_genotype, store_genotype_error
@@ -18,19 +21,21 @@ def duplicates(rows: DataFrame, keys: list[str], order: str = "line_no") -> Data
 
 
 def dedupe(rows: DataFrame, keys: list[str], policy: str = "FAIL", order: str = "line_no") -> DataFrame:
-    """One row for each key: the first or the last by `order`. FAIL raises if a key is repeated.
+    """One row for each key: the first or the last by `order`, which no two rows of a key share. FAIL raises if a key is repeated.
 
-    First and last are found by an aggregate that combines before the shuffle, so that a key with very many rows sends one row a task.
+    A hash aggregate finds the order of the row to keep, combining before the shuffle, so that a key with very many rows sends
+    one row a task; its result is joined back for the columns that are read. Without other columns there is no join.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {', '.join(POLICIES)}")
-    rest = [c for c in rows.columns if c not in keys]
-    whole = F.struct(order, *[c for c in rest if c != order])
-    pick = F.min_by(whole, order) if policy != "KEEP_LAST" else F.max_by(whole, order)
-    out = rows.groupBy(*keys).agg(pick.alias("kept"), F.count("*").alias("n"))
+    pick = F.min(order) if policy != "KEEP_LAST" else F.max(order)
+    out = rows.groupBy(*keys).agg(pick.alias(order), *([F.count("*").alias("n")] if policy == "FAIL" else []))
     if policy == "FAIL":
-        out = out.filter(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("Duplicate key: "), F.to_json(F.struct(*keys)))).cast("boolean")).otherwise(True))
-    return out.select(*[c if c in keys else F.col(f"kept.{c}").alias(c) for c in rows.columns])
+        out = out.filter(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("Duplicate key: "), F.to_json(F.struct(*keys)))).cast("boolean")).otherwise(True)).drop("n")
+    if set(rows.columns) == {*keys, order}:
+        return out.select(*rows.columns)
+    kept = out.select(*[F.col(c).alias(f"kept_{c}") for c in (*keys, order)])
+    return rows.join(kept, reduce(and_, [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in (*keys, order)]), "left_semi")
 
 
 class VariantStore:
@@ -44,6 +49,21 @@ class VariantStore:
         self.by_locus = dedupe(records, ["chrom", "pos"], locus_policy)
         self.by_id = dedupe(records.withColumn("id", F.explode("ids")), ["id"], id_policy)
 
+    def save(self, folder: str) -> VariantStore:
+        """Write both views below folder, each in the order of its key, and return a store that reads them.
+
+        Text is parsed and duplicates are settled once; a lookup then reads the few row groups whose ranges hold its key.
+        """
+        for name, view, keys in (("locus", self.by_locus, ["chrom", "pos"]), ("id", self.by_id, ["id"])):
+            view.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return VariantStore.open(self.by_locus.sparkSession, self.header, folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, header: Header, folder: str) -> VariantStore:
+        out = cls.__new__(cls)
+        out.header, out.by_locus, out.by_id = header, spark.read.parquet(f"{folder}/locus"), spark.read.parquet(f"{folder}/id")
+        return out
+
     def positions(self) -> DataFrame:
         return self.by_locus
 
@@ -72,8 +92,3 @@ class VariantStore:
         gt = sample_property(F.col("sample"), F.col("format"), "GT")
         got = self.sample(rows, which)
         return got.withColumns({"genotype": store_genotype(gt, F.col("ref"), F.col("alts")), "genotype_error": F.coalesce(store_genotype_error(gt, F.col("ref"), F.col("alts")), F.lit(False))})
-
-
-def first_by_window(rows: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
-    """The same as KEEP_FIRST, by a window: for callers that need the rows in their order within a key."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("rank = 1").drop("rank")

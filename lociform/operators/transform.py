@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.header import Header
+from .writer import write_vcf
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,38 @@ def remove_info(entries: Column, key: str) -> Column:
     return F.filter(entries, lambda e: e["key"] != key)
 
 
+def write_chain(outputs: list[tuple[Header, DataFrame]], folders: list[str], check: bool = False, single: bool = False) -> None:
+    """Write each output of `chain` to its folder. What the outputs share is kept between them, so that text is parsed once for all."""
+    if len(outputs) != len(folders):
+        raise ValueError("one folder for each output")
+    for (header, rows), folder in zip(outputs, folders, strict=True):
+        write_vcf(rows, header, folder, check, single)
+
+
+def _checked_value(key: str, value: Column) -> Column:
+    """The value, or an error if it would break the line that it is written to."""
+    if not key or any(c in key for c in ":\t\r\n"):
+        raise ValueError(f"not a sample key: {key!r}")
+    bad = value.rlike("[\t\r\n]") if key == "GLE" else value.rlike("[\t\r\n:]")
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit(f"Not a value of {key}: "), value)).cast("string")).otherwise(value)
+
+
+def sample_entries(values: Column, keys: Column) -> Column:
+    """array<struct<key, value>> of one sample, in the order of FORMAT."""
+    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+
+
+def clear_samples(rows: DataFrame) -> DataFrame:
+    """rows without FORMAT keys and sample values; the samples themselves stay, empty."""
+    return _both(rows, F.transform("samples", lambda s: F.slice(s, 1, 0)), F.array().cast("array<string>"))
+
+
 def put_sample(rows: DataFrame, sample: int, key: str, value: Column) -> DataFrame:
-    """rows with one sample's value set; a new key is added to FORMAT, missing (`.`) in the other samples."""
+    """rows with one sample's value set; a new key is added to FORMAT, missing (`.`) in the other samples.
+
+    A value with a tab, a line end or (but for GLE) a colon is an error.
+    """
+    value = _checked_value(key, value)
     there = F.array_contains("format", key)
     at = F.when(there, F.array_position("format", key)).otherwise(F.size("format") + 1)
     filled = F.transform("samples", lambda s: F.when(there, s).otherwise(F.concat(s, F.array(F.lit(".")))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..functions import typed as T
-from ..functions.genotypes import expected_values, ploidy
+from ..functions.genotypes import expected_values, gt_index_ok, ploidy
 from ..functions.record import alt_error, format_error, info, info_error, let, sample_property
 from ..sources.header import Header, header_lines, validate_header
 
@@ -107,9 +107,11 @@ def format_warning(header: Header, key: Column, value: Column, n_alts: Column, g
 
 
 def sample_format_warnings(header: Header) -> Column:
-    """For each sample the codes of its values' oddities, joined by commas."""
-    odd = lambda s: F.transform(F.col("format"), lambda k, i: format_warning(header, k, F.get(s, i), F.size("alts"), sample_property(s, F.col("format"), "GT")))
-    return F.transform("samples", lambda s: F.array_join(F.array_compact(odd(s)), ","))
+    """For each sample the codes of its values' oddities, joined by commas: also values that are missing or too many, and a GT that names no allele."""
+    gt = lambda s: sample_property(s, F.col("format"), "GT")
+    odd = lambda s: F.transform(F.col("format"), lambda k, i: F.when(F.get(s, i).isNull(), "SAMPLE_MISSING").otherwise(format_warning(header, k, F.get(s, i), F.size("alts"), gt(s))))
+    whole = lambda s: F.array(F.when(F.size(s) > F.size("format"), "SAMPLE_EXTRA"), F.when(~gt_index_ok(gt(s), F.col("alts")), "GT_INDEX"))
+    return F.transform("samples", lambda s: F.array_join(F.array_compact(F.concat(odd(s), whole(s))), ","))
 
 
 def render(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:

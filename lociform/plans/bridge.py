@@ -47,17 +47,17 @@ concat('chr', cast(o_custkey % 5 + 1 as varchar(20)), chr(9), cast(o_custkey as
 """
 
 
-def _spark_sql(text: str) -> str:
-    return text.replace("varchar(20)", "string")
+def spark_sql(text: str) -> str:
+    return text.replace("varchar(20)", "string").replace(" // ", " div ")
 
 
 def lineitem_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.expr(_spark_sql(LINEITEM_LINE)).alias("value"), *more)
+    return table(spark, sf_dir, "lineitem").select(F.expr(spark_sql(LINEITEM_LINE)).alias("value"), *more)
 
 
 def orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """value and line_no = o_orderkey, which is unique."""
-    return table(spark, sf_dir, "orders").select(F.expr(_spark_sql(ORDERS_LINE)).alias("value"), F.col("o_orderkey").alias("line_no"))
+    return table(spark, sf_dir, "orders").select(F.expr(spark_sql(ORDERS_LINE)).alias("value"), F.col("o_orderkey").alias("line_no"))
 
 
 @dataclass(frozen=True)

@@ -12,10 +12,12 @@ from ..functions import alleles as A
 from ..functions import genotypes as N
 from ..functions import record as R
 from ..functions import typed as T
+from ..functions.grammar import RESERVED_FORMAT, RESERVED_INFO
 from ..operators import store, transform, views, writer
 from ..sources.header import FormatError, entry_warnings, quote, split_properties, unquote
 from ..sources.scan import from_lines
 from . import bridge as B
+from .derived import DERIVED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,25 +59,14 @@ def _reserved(catalogue: dict[str, tuple[str, bool]]) -> Callable[[Column, Colum
 
 
 def _info_reserved(raw: Column, key: Column) -> Column:
-    from ..functions.grammar import RESERVED_INFO
-
-    entries = R.info(raw)
-    some = {k: RESERVED_INFO[k] for k in ("AN", "MQ", "DB", "SVLEN", "HOMSEQ")}
-    out = F.lit(None).cast("string")
-    for k in some:
-        out = F.when(key == k, _reserved(some)(F.lit(k), R.info_text(entries, k))).otherwise(out)
-    return out
+    entries, some = R.info(raw), ("AN", "MQ", "DB", "SVLEN", "HOMSEQ")
+    return F.coalesce(*[F.when(key == k, _reserved({k: RESERVED_INFO[k]})(F.lit(k), R.info_text(entries, k))) for k in some])
 
 
 def _format_reserved(text: Column, key: Column) -> Column:
-    from ..functions.grammar import RESERVED_FORMAT
-
     keys = F.split(F.lit("GT:DP:HQ:GQ:GLE"), ":")
-    values = R.sample_values(text, keys)
-    out = F.lit(None).cast("string")
-    for k in ("GT", "DP", "HQ", "GQ"):
-        out = F.when(key == k, _reserved({k: RESERVED_FORMAT[k]})(F.lit(k), R.sample_property(values, keys, k))).otherwise(out)
-    return out
+    values, some = R.sample_values(text, keys), ("GT", "DP", "HQ", "GQ")
+    return F.coalesce(*[F.when(key == k, _reserved({k: RESERVED_FORMAT[k]})(F.lit(k), R.sample_property(values, keys, k))) for k in some])
 
 
 def _diploid(gt: Column) -> Column:
@@ -257,15 +248,15 @@ def variants_by_chrom_filter_status(spark: SparkSession, sf_dir: str) -> DataFra
 
 def info_depth_by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = from_lines(B.lineitem_lines(spark, sf_dir), B.header())
-    depth, flag = T.convert(R.info_text(F.col("info"), "DP"), "Integer"), R.info_values(F.col("info"), "DB").isNotNull()
+    depth, flag = T.convert(R.info_text_of(F.col("info_raw"), "DP"), "Integer"), R.info_has(F.col("info_raw"), "DB")
     return rows.groupBy("chrom").agg(F.sum(depth).alias("depth"), F.sum(flag.cast("int")).alias("flagged"))
 
 
 def genotypes_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = from_lines(B.lineitem_lines(spark, sf_dir), B.header())
     # The outer form: the inner one filters by the size of the list first, which would take the samples apart twice.
-    each = rows.select("ref", "alts", "format", F.posexplode_outer("samples").alias("sample_idx", "sample")).filter("sample_idx is not null")
-    called = each.select("sample_idx", "ref", "alts", R.sample_property(F.col("sample"), F.col("format"), "GT").alias("gt"))
+    each = rows.select("ref", "alts", "format", F.posexplode_outer("samples_raw").alias("sample_idx", "sample")).filter("sample_idx is not null")
+    called = each.select("sample_idx", "ref", "alts", R.gt_text(F.col("sample"), F.col("format")).alias("gt"))
     return called.groupBy("sample_idx", N.render(N.diploid(F.col("gt"), F.col("ref"), F.col("alts"))).alias("genotype")).agg(F.count("*").alias("n"))
 
 
@@ -292,11 +283,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.dedupe(_orders(spark, sf_dir), ["chrom", "pos"], "KEEP_FIRST").select("chrom", "pos", "line_no")
+    return store.dedupe(_orders(spark, sf_dir).select("chrom", "pos", "line_no"), ["chrom", "pos"], "KEEP_FIRST")
 
 
 def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.dedupe(_orders(spark, sf_dir), ["chrom", "pos"], "KEEP_LAST").select("chrom", "pos", "line_no")
+    return store.dedupe(_orders(spark, sf_dir).select("chrom", "pos", "line_no"), ["chrom", "pos"], "KEEP_LAST")
 
 
 def duplicate_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,8 +383,8 @@ TABLE_QUERIES: dict[str, tuple[Query, str]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {k: c.query for k, c in CASES.items()} | {k: q for k, (q, _) in TABLE_QUERIES.items()}
+    return {k: c.query for k, c in (CASES | DERIVED).items()} | {k: q for k, (q, _) in TABLE_QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: c.sql() for k, c in CASES.items()} | {k: s for k, (_, s) in TABLE_QUERIES.items()}
+    return {k: c.sql() for k, c in (CASES | DERIVED).items()} | {k: s for k, (_, s) in TABLE_QUERIES.items()}

@@ -34,7 +34,8 @@ def from_lines(lines: DataFrame, header: Header | None = None, rsids_only: bool
     """Records of a DataFrame with `value` (a data line) and, if it has one, `line_no`; other columns pass through.
 
     PERMISSIVE keeps malformed lines with an `error` code, DROPMALFORMED leaves them out, FAILFAST raises at the first one
-    that a task meets. INFO and QUAL are not checked here: their errors show when they are read.
+    that a task meets. INFO and QUAL are not checked here: their errors show when they are read. qual_raw, info_raw and
+    samples_raw are the text as it was read, which edits of the other columns do not change.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
@@ -42,34 +43,32 @@ def from_lines(lines: DataFrame, header: Header | None = None, rsids_only: bool
     n, samples = len(header.columns), len(header.samples)
     at = lambda i: F.get(F.col("parts"), F.lit(i))
 
-    def taken_apart(parts: Column) -> Column:
-        keys = R.fields(F.get(parts, F.lit(8)), ":") if n > 8 else F.array().cast("array<string>")
-        skipped = rsid_skip(parts) if rsids_only else None
-        if not rsids_only and mode != "DROPMALFORMED":
-            return F.array(F.struct(parts.alias("parts"), keys.alias("keys")))
-
-        def kept(error: Column) -> Column:
-            stays = F.lit(True) if skipped is None else error.isNotNull() | ~F.coalesce(skipped, F.lit(True))
-            stays = stays & error.isNull() if mode == "DROPMALFORMED" else stays
-            return F.when(stays, F.array(F.struct(parts.alias("parts"), keys.alias("keys"), error.alias("error"))))
-
-        return R.let(R.first_error(F.col("value"), parts, keys, n, samples, skipped), kept)
-
-    # A generator, not a projection: a line is split once, however many fields are read of it, and a filter does not repeat the split.
-    cut = lines.select("*", F.inline(R.let(R.fields(F.col("value")), taken_apart)))
-    if "error" not in cut.columns:
-        cut = cut.withColumn("error", R.first_error(F.col("value"), F.col("parts"), F.col("keys"), n, samples))
+    # Generators, not projections: a line is split once, however many fields are read of it, and a filter does not repeat the split.
+    once = lambda c: F.explode(F.array(c))
+    cut = lines.select("*", once(R.fields(F.col("value"))).alias("parts"))
+    cut = cut.withColumn("keys", once(R.fields(at(8), ":")) if n > 8 else F.array().cast("array<string>"))
+    skipped = rsid_skip(F.col("parts")) if rsids_only else None
+    error = R.first_error(F.col("value"), F.col("parts"), F.col("keys"), n, samples, skipped)
+    if rsids_only or mode == "DROPMALFORMED":
+        cut = cut.withColumn("error", once(error))
+        if rsids_only:
+            cut = cut.filter(F.col("error").isNotNull() | ~F.coalesce(skipped, F.lit(True)))
+        if mode == "DROPMALFORMED":
+            cut = cut.filter(F.col("error").isNull())
+    else:
+        cut = cut.withColumn("error", error)
     if mode == "FAILFAST":
         number = F.concat(F.lit("[Line #"), F.col("line_no"), F.lit("] ")) if "line_no" in lines.columns else F.lit("")
         text = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])[F.col("error")]
         said = F.concat(number, F.lit("Error parsing data: "), text, F.lit(" ("), F.col("error"), F.lit(")"))
         cut = cut.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(said).cast("string")))
     keys = F.col("keys")
-    values = F.transform(F.slice("parts", 10, samples), lambda s: R.sample_values(s, keys)) if samples else F.array().cast("array<array<string>>")
+    texts = F.slice("parts", 10, samples) if samples else F.array().cast("array<string>")
+    values = F.transform(texts, lambda s: R.sample_values(s, keys)) if samples else F.array().cast("array<array<string>>")
     return cut.select(
         *[c for c in lines.columns if c not in ("value",)], at(0).alias("chrom"), R.position(at(1)).alias("pos"), R.list_field(at(2), ";").alias("ids"), at(3).alias("ref"),
         R.list_field(at(4), ",").alias("alts"), at(5).alias("qual_raw"), T.qual(at(5)).alias("qual"), R.filters(at(6)).alias("filters"), R.filters_applied(at(6)).alias("filters_applied"),
-        at(7).alias("info_raw"), R.info(at(7)).alias("info"), keys.alias("format"), values.alias("samples"), "error", R.warnings(F.col("parts"), samples).alias("warnings"),
+        at(7).alias("info_raw"), R.info(at(7)).alias("info"), keys.alias("format"), values.alias("samples"), texts.alias("samples_raw"), "error", R.warnings(F.col("parts"), samples).alias("warnings"),
     )
 
 

@@ -99,7 +99,7 @@ def test_modes(spark):
         from_lines(lines, header(), mode="FAILFAST").collect()
 
 
-def test_store(spark):
+def test_store(spark, tmp_path):
     lines = spark.createDataFrame([(ROWS[0], 1), (ROWS[0].replace("rs1", "rs9"), 2), (ROWS[4], 3)], "value string, line_no long")
     rows = from_lines(lines, header())
     s = store.VariantStore(header(), rows, "KEEP_FIRST", "KEEP_LAST")
@@ -111,8 +111,13 @@ def test_store(spark):
         s.sample(s.positions(), 2)
     with pytest.raises(Exception, match="Duplicate key"):
         store.dedupe(rows, ["chrom", "pos"]).collect()
-    first = store.first_by_window(rows, ["chrom", "pos"]).select("line_no")
-    assert {r[0] for r in first.collect()} == {1, 3}
+    plan = store.dedupe(rows.select("chrom", "pos", "line_no"), ["chrom", "pos"], "KEEP_FIRST")
+    assert {r["line_no"] for r in plan.collect()} == {1, 3} and "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    last = store.dedupe(rows, ["chrom", "pos"], "KEEP_LAST")
+    assert last.columns == rows.columns and {r["line_no"] for r in last.collect()} == {2, 3} and "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+    kept = s.save(str(tmp_path / "store"))
+    assert kept.at_locus("chr1", 1).collect()[0]["line_no"] == 1 and kept.at_id("rs9").collect()[0]["line_no"] == 2 and kept.positions().count() == 2
+    assert "PushedFilters: [IsNotNull(chrom), IsNotNull(pos), EqualTo(chrom,chr1), EqualTo(pos,1)]" in kept.at_locus("chr1", 1)._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
 
 
 def test_views(spark):
@@ -152,3 +157,37 @@ def test_entry_without_training_data_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0 and "False" in said.stdout, said.stderr
+
+
+def test_edits_and_chain_files(spark, tmp_path):
+    rows = from_lines(spark.createDataFrame([(ROWS[0], 1), (ROWS[1], 2)], "value string, line_no long"), header())
+    got = rows.select(transform.sample_entries(F.get("samples", F.lit(0)), F.col("format")).alias("e")).first()["e"]
+    assert [tuple(x) for x in got] == [("GT", "0/1"), ("DP", "3")]
+    assert [(r["format"], r["samples"]) for r in transform.clear_samples(rows).collect()] == [([], [[], []])] * 2
+    with pytest.raises(Exception, match="Not a value of GQ"):
+        transform.put_sample(rows, 0, "GQ", F.lit("1:2")).collect()
+    with pytest.raises(ValueError):
+        transform.put_sample(rows, 0, "A:B", F.lit("1"))
+    assert transform.put_sample(rows, 0, "GLE", F.lit("0:1")).count() == 2
+    outputs = transform.chain(header(), rows, [transform.Transformation(keep=F.col("line_no") == 1), transform.Transformation(rows=lambda d: d.withColumn("pos", F.col("pos") + 5))])
+    transform.write_chain(outputs, [str(tmp_path / "one.vcf"), str(tmp_path / "two.vcf")])
+    assert [r["pos"] for r in read_vcf(spark, str(tmp_path / "one.vcf"))[1].collect()] == [1] and sorted(r["pos"] for r in read_vcf(spark, str(tmp_path / "two.vcf"))[1].collect()) == [6, 7]
+    with pytest.raises(ValueError):
+        transform.write_chain(outputs, ["x"])
+
+
+def test_strict_forms(spark):
+    from lociform.functions import alleles as A
+    from lociform.functions import reserved as V
+    from lociform.functions import typed as T
+    from lociform.functions.grammar import RESERVED_FORMAT, RESERVED_INFO
+
+    rows = from_lines(spark.createDataFrame([(ROWS[0].replace("DP=1;DB", "AN=1,2;DB;SVLEN=1,.;MATEID=a,b"),)], "value string"), header())
+    everything = rows.select(V.all_info(F.col("info")).alias("i"), V.all_of_sample(F.get("samples", F.lit(0)), F.col("format")).alias("s")).first()
+    assert set(everything["i"].asDict()) == set(RESERVED_INFO) and set(everything["s"].asDict()) == set(RESERVED_FORMAT) and len(RESERVED_INFO) == 41 and len(RESERVED_FORMAT) == 19
+    assert everything["i"]["AN"] is None and everything["i"]["DB"] and everything["i"]["SVLEN"] == [1, None] and everything["i"]["MATEID"] == ["a", "b"] and everything["s"]["DP"] == 3
+    for bad in (V.info(F.col("info"), "AN"), T.strict_qual(F.lit("x")), A.strict_length(F.lit("<DEL>")), A.strict_allele_at(F.col("ref"), F.col("alts"), F.lit(9))):
+        with pytest.raises(Exception, match="AN|Not of type|QUAL|No length|No allele"):
+            rows.select(bad).collect()
+    good = rows.select(T.strict_qual(F.lit("1e2")).alias("q"), A.strict_length(F.lit("AC")).alias("n"), A.strict_allele_at(F.col("ref"), F.col("alts"), F.lit(2)).alias("a")).first()
+    assert tuple(good) == (100.0, 2, "GT")
