@@ -10,7 +10,7 @@ from test_llm import awkward, by_id, table
 from lociform.llm import jaccard_join as J
 from lociform.llm import lm_scoring as L
 from lociform.llm import toxicity as TX
-from lociform.llm.decontamination import decontaminate
+from lociform.llm.decontamination import decontaminate, find_overlap
 from lociform.llm.language_id import language_id
 from lociform.llm.mixing import mix
 from lociform.llm.quality_classifier import quality_classifier
@@ -25,7 +25,7 @@ def crowded(spark):
     df = awkward(spark)
     for name in CLASHES:
         df = df.selectExpr("*", f"'x' as {name}")
-    return df
+    return df.selectExpr("*", "map('a', 1) as tags", "array(named_struct('spans', 1)) as nested")
 
 
 @pytest.mark.parametrize("k", range(5))
@@ -79,6 +79,34 @@ def test_benchmark_in_blocks(spark):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     whole, parts = (sorted(map(tuple, decontaminate(docs, bench, block_words=n).select(columns).collect())) for n in (1_000_000, 400))
     assert whole == parts and any(r[2] for r in whole)
+    tagged = docs.selectExpr("doc_id", "text", "map('a', 1) as tags")
+    met = find_overlap(tagged, bench, ["doc_id", "tags"], block_words=50)
+    assert met.count() == docs.count() and met.filter("size(spans) > 0").first()["tags"] == {"a": 1}
+
+
+def test_shards_of_a_batch(spark, monkeypatch):
+    from lociform.llm import decontamination as D
+
+    docs = [[b"w"] * n for n in (3, 0, 5, 1, 2)]
+    monkeypatch.setattr(D, "_SHARD", 4)
+    assert [(s.start, s.stop) for s in D.shards(docs)] == [(0, 2), (2, 3), (3, 5)] and not list(D.shards([]))
+    import numpy as np
+
+    starts = np.array([0, 3, 3, 8, 9, 11])
+    assert D.merged(np.array([0, 1, 1, 1, 1, 0, 0, 1, 1, 1, 0], bool), starts) == [[1, 3], [], [0, 2, 4, 5], [0, 1], [0, 1]]
+
+
+def test_no_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lociform.llm.common import shared_folder
+
+    conf = {"spark.checkpoint.dir": "/shared/x"}
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf={"spark.sql.warehouse.dir": "/w"})
+    assert shared_folder(session) == "/shared/x"
+    conf.clear()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
 
 
 def test_awkward_urls(spark):

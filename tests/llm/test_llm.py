@@ -306,13 +306,13 @@ def components(docs):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize("cell", [2_000_000, 4_000])
-def test_jaccard_equals_brute_force(spark, cell):
+@pytest.mark.parametrize("cells", [{}, {"cell_shingles": 4_000}, {"cell_sets": 3}, {"cell_sets": 1, "cell_shingles": 50}])
+def test_jaccard_equals_brute_force(spark, cells):
     base = [f"w{i}" for i in range(60)]
     near = [(1000 + k, " ".join(base[: 7 * k % 50] + ["x"] * (k % 3) + base[7 * k % 50 :]), None, None, 0) for k in range(40)]
     sized = [(2000 + n, " ".join(base[:n]), None, None, 0) for n in range(1, 60)]
     docs = table(spark, SF, "documents").union(spark.createDataFrame(near + sized + [(3000, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_join(docs, cell_shingles=cell).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_join(docs, **cells).collect()}
     assert got == components(docs.select("doc_id", "text").collect())
 
 
@@ -450,3 +450,75 @@ def test_suffix_shares_leave_out_the_own_fold(spark):
     for i, h, known, _ in rows:
         seen = [y for _, o, k, y in rows if k and not (known and int(o[1]) % 5 == int(h[1]) % 5)]
         assert got[i] == pytest.approx((sum(seen) + 0.25 * 20) / (len(seen) + 20))
+
+
+def contaminated_by_hand(text, items):
+    """The contract's rule on word lists: 13-word windows of items, shorter items whole; 5 % of words hit."""
+    split = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    words, hit = split(text), set()
+    for item in items:
+        own = split(item)
+        size = min(13, len(own))
+        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+        for i in range(len(words) - size + 1 if size else 0):
+            if tuple(words[i : i + size]) in windows:
+                hit |= set(range(i, i + size))
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def test_pipeline_equals_brute_force(spark, duck):
+    import corpus_pipeline
+
+    from lociform.llm import language_id as LI
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r for r in table(spark, SF, "documents").collect()}
+    frame = lambda ids: spark.createDataFrame([rows[k] for k in ids], table(spark, SF, "documents").schema)
+    ids = lambda name, kept: sorted(r["doc_id"] for r in stages[name](spark, frame(kept), SF).collect())
+
+    kept = sorted(r[0] for r in duck.execute(f"select doc_id from ({llm.oracle_sql()['op1_quality_rules']}) where kept").fetchall())
+    assert ids("quality_rules", list(rows)) == kept
+    model = LI.train(frame(kept).filter(LI.learning_rows("doc_id")))
+    told = [k for k in kept if (lambda p: p[0] != "und" and p[1] >= 0.5)(model.predict(rows[k]["text"]))]
+    assert ids("language_id", kept) == told and len(told) > 0.9 * len(kept)
+    first = sorted(k for k, (_, c) in components([rows[k] for k in told]).items() if k == c)
+    assert ids("jaccard_join", told) == first and len(first) < len(told)
+    items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
+    clean = [k for k in first if not contaminated_by_hand(rows[k]["text"], items)]
+    assert ids("decontamination", first) == clean
+    sizes = collections.Counter()
+    for k in clean:
+        sizes[rows[k]["source"]] += len((rows[k]["text"] or "").encode().split())
+    goal = filled(sizes)
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert sorted(got) == clean
+    for source, size in sizes.items():
+        own = [got[k] for k in clean if rows[k]["source"] == source]
+        assert all(r["source_size"] == size and r["target"] == pytest.approx(float(goal[source])) and r["taken"] <= 2 * r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+
+
+def test_contaminated_documents_are_found(spark):
+    items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
+    for r in decontaminate(table(spark, SF, "documents"), table(spark, SF, "benchmark")).join(table(spark, SF, "documents").select("doc_id", "text"), "doc_id").collect():
+        assert r["contaminated"] == contaminated_by_hand(r["text"], items)
+
+
+def test_hubs_and_common_keys_are_broadcast(spark):
+    """Components of a graph with hubs and long chains, against a plain union of sets."""
+    from lociform.llm.components import connected
+
+    draw = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in draw.integers(0, 400, (200, 2))] + [(1000, i) for i in range(1001, 2001)] + [(i, i + 1) for i in range(3000, 3030)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
