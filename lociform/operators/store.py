@@ -16,7 +16,7 @@ POLICIES = ("FAIL", "KEEP_FIRST", "KEEP_LAST")
 
 
 def duplicates(rows: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
-    """Keys that occur more than once, with their count and the line of the second one's earliest candidate."""
+    """Keys that occur more than once, with their count and their first and last line."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first_line"), F.max(order).alias("last_line")).filter("n > 1")
 
 

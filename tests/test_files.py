@@ -159,6 +159,17 @@ def test_entry_without_training_data_operators(tmp_path):
     assert said.returncode == 0 and "False" in said.stdout, said.stderr
 
 
+def test_entry_without_a_library_of_the_training_data_operators():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; print(any(k.startswith('op') for k in e.queries()), len(e.queries()) > 80)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0 and "False True" in said.stdout, said.stderr
+
+
 def test_edits_and_chain_files(spark, tmp_path):
     rows = from_lines(spark.createDataFrame([(ROWS[0], 1), (ROWS[1], 2)], "value string, line_no long"), header())
     got = rows.select(transform.sample_entries(F.get("samples", F.lit(0)), F.col("format")).alias("e")).first()["e"]
