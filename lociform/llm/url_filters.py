@@ -107,16 +107,28 @@ FOLDS, STRENGTH = 5, 20.0
 SUFFIXES = (1, 2, 3)
 
 
-def _with_statistics(df: DataFrame, labels: int, total: int, before: Column) -> DataFrame:
-    """df with share{labels} and common{labels}: statistics of the suffix of so many labels. before: the share that few urls lean on."""
-    here = F.substring_index("host", ".", -labels)
-    each = [F.coalesce(F.sum(F.when(F.col("fold") == k, x)), F.lit(0.0)) for x in (F.col("label").isNotNull().cast("double"), F.col("label")) for k in range(FOLDS)]
-    found = df.groupBy(here.alias("suffix")).agg(F.count("*").alias("urls"), F.array(*each[:FOLDS]).alias("known_in"), F.array(*each[FOLDS:]).alias("blocked_in"))
-    met = meet(df.withColumn("suffix", here), found, "suffix", F.col("urls") * HOT_KEYS > total)
-    # A labelled row does without its own fold; the rest of the table is all that others see.
-    others = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) - F.when(F.col("label").isNotNull(), F.get(xs, F.col("fold"))).otherwise(0.0)
-    share = (others(F.col("blocked_in")) + before * STRENGTH) / (others(F.col("known_in")) + STRENGTH)
-    return met.withColumns({f"share{labels}": share, f"common{labels}": F.log1p(F.col("urls") / total)}).drop("suffix", "urls", "known_in", "blocked_in")
+def host_statistics(base: DataFrame, total: int, share: float) -> DataFrame:
+    """host, urls and, for each suffix length k: common{k}, share{k} and known_share{k}, the share for a labelled url of the host.
+
+    base: host, fold and label. All is worked out over distinct hosts, so a host that very many urls have is one row.
+    share: the share of blocked urls in the whole table, on which that of the shortest suffix leans.
+    """
+    hosts = cut(base.groupBy("host", "fold").agg(F.count("*").alias("urls"), F.count("label").cast("double").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")))
+    n, kept = hosts.count(), ["host", "fold", "urls", "known", "blocked"]
+    before = {"share": F.lit(share), "known_share": F.lit(share)}
+    for labels in SUFFIXES:
+        here = F.substring_index("host", ".", -labels)
+        in_fold = lambda what: F.array(*[F.sum(F.when(F.col("fold") == k, F.col(what)).otherwise(0.0)) for k in range(FOLDS)])
+        found = hosts.groupBy(here.alias("suffix")).agg(F.sum("urls").alias("all_urls"), F.count("*").alias("hosts"), in_fold("known").alias("known_in"), in_fold("blocked").alias("blocked_in"))
+        met = meet(hosts.withColumn("suffix", here), found, "suffix", F.col("hosts") * HOT_KEYS > n)
+        whole = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+        others = lambda xs: whole(xs) - F.get(xs, F.col("fold"))
+        leaning = lambda part, prior: (part(F.col("blocked_in")) + prior * STRENGTH) / (part(F.col("known_in")) + STRENGTH)
+        made = {f"share{labels}": leaning(whole, before["share"]), f"known_share{labels}": leaning(others, before["known_share"]), f"common{labels}": F.log1p(F.col("all_urls") / total)}
+        hosts = cut(met.select(*kept, *[c.alias(k) for k, c in made.items()]))
+        kept += made
+        before = {k: F.col(f"{k}{labels}") for k in before}
+    return hosts.drop("fold", "known", "blocked")
 
 
 def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, sample_urls: int = 20_000, trees: int = 12, depth: int = 4, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -134,10 +146,9 @@ def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     if not n or blocked in (0, n):
         rest = F.lit("block" if n and blocked == n else "allow")
         return base.select(F.col("id").alias(key), "host", "path", "rule", F.coalesce("known", rest).alias("verdict"), F.lit(None).cast("double").alias("blocked_score"))
-    share = F.lit(blocked / n)
-    for labels in SUFFIXES:
-        base = _with_statistics(base, labels, total, share)
-        share = F.col(f"share{labels}")
+    hosts = host_statistics(base, total, blocked / n)
+    base = meet(base, hosts, "host", F.col("urls") * HOT_KEYS > total)
+    base = base.withColumns({f"share{k}": F.when(F.col("label").isNotNull(), F.col(f"known_share{k}")).otherwise(F.col(f"share{k}")) for k in SUFFIXES})
     inputs = [*features, *(f"{what}{labels}" for labels in SUFFIXES for what in ("share", "common"))]
     inputs = [i for i in inputs if only is None or i in only]
     base = cut(VectorAssembler(inputCols=inputs, outputCol="features").transform(base).select("id", "mark", "host", "path", "rule", "known", "label", "features"))

@@ -446,10 +446,18 @@ def test_suffix_shares_leave_out_the_own_fold(spark):
 
     rows = [(i, f"h{i % 7}.a.com", i % 3 == 0, i % 2) for i in range(60)]
     df = spark.createDataFrame([(i, h, float(y) if known else None, int(h[1]) % 5) for i, h, known, y in rows], "id long, host string, label double, fold int")
-    got = {r["id"]: r["share2"] for r in U._with_statistics(df, 2, 60, F.lit(0.25)).collect()}
-    for i, h, known, _ in rows:
-        seen = [y for _, o, k, y in rows if k and not (known and int(o[1]) % 5 == int(h[1]) % 5)]
-        assert got[i] == pytest.approx((sum(seen) + 0.25 * 20) / (len(seen) + 20))
+    got = {r["host"]: r for r in U.host_statistics(df, 60, 0.25).collect()}
+    for h in {h for _, h, _, _ in rows}:
+        for name, all_of in (("share", True), ("known_share", False)):
+            seen = [y for _, o, k, y in rows if k and (all_of or int(o[1]) % 5 != int(h[1]) % 5)]
+            want = 0.25
+            for _ in range(2):  # the last label, then the last two: both are those of all hosts
+                want = (sum(seen) + want * 20) / (len(seen) + 20)
+            assert got[h][f"{name}2"] == pytest.approx(want)
+        own = [y for _, o, k, y in rows if k and o == h]
+        assert got[h]["share3"] == pytest.approx((sum(own) + got[h]["share2"] * 20) / (len(own) + 20)) and got[h]["known_share3"] == pytest.approx(got[h]["known_share2"])
+        assert got[h]["common3"] == pytest.approx(math.log1p(sum(o == h for _, o, _, _ in rows) / 60))
+
 
 
 def contaminated_by_hand(text, items):
