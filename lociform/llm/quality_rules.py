@@ -5,7 +5,8 @@ no user function runs. Every text is read whole.
 
 Defined cases: a null text has no words, so every measure is 0, base_failed is true and kept false.
 Empty and blank texts behave alike. Repeated rows are judged one by one. An empty table gives an empty
-result. Columns beside the key and the text never take part, so clashing names do no harm.
+result. Very long texts are read whole; a measure that equals its threshold breaks no rule. Columns beside the key and
+the text never take part, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -70,11 +71,10 @@ def _repeat_words(words: Column) -> Column:
         at = F.flatten(F.transform(hits, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
         return F.size(F.array_distinct(at))
 
-    windows = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda a, i: F.struct(F.concat_ws(" ", a, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
-    )
-    return let(F.array_sort(windows), covered)
+    # Most texts repeat no window: then nothing is sorted.
+    windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda a, i: F.concat_ws(" ", a, F.get(words, i + 1), F.get(words, i + 2)))
+    placed = lambda ws: F.sort_array(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return let(windows, lambda ws: F.when(F.size(F.array_distinct(ws)) == F.size(ws), 0).otherwise(let(placed(ws), covered)))
 
 
 def measures(text: Column) -> Column:
