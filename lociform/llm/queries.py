@@ -16,6 +16,7 @@ from .mixing import mix
 from .quality_classifier import quality_classifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .simhash_dedup import simhash_dedup
+from .spelling_variants import spelling_variants
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filters import url_filter
@@ -66,11 +67,15 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_language_id, op3_token_counts, op4_url_filters, op5_lm_scoring,
         op6_decontamination, op7_toxicity, op8_quality_classifier, op9_mixing, op10_jaccard_join,
-        op11_simhash_dedup,
+        op11_simhash_dedup, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 

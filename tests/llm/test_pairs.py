@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from conftest import SF
 from test_llm import awkward
 
 from lociform.llm import simhash_dedup as S
+from lociform.llm import spelling_variants as S13
 from lociform.llm.common import table
 
 
@@ -106,3 +108,61 @@ def test_simhash_of_awkward_tables(spark):
     assert found[7]["component_id"] == found[None]["component_id"] == 6  # the same words in other letters; a null key is never an id
     with pytest.raises(ValueError):
         S.fingerprint_links(spark.createDataFrame([(1,)], "fp long"), errors=5)
+
+
+def variants(rows, least_length=5, least_count=3):
+    """word: (form, root, n, n_near, form_n), by all edits of every word."""
+    seen = collections.Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            seen[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= least_length and n >= least_count}
+    letters = sorted({c for w in words for c in w})
+    found = {}
+    for w, n in words.items():
+        ends = [(w[:k], w[k:]) for k in range(len(w) + 1)]
+        edits = {a + b[1:] for a, b in ends if b} | {a + c + b[1:] for a, b in ends if b for c in letters} | {a + c + b for a, b in ends for c in letters}
+        near = sorted((x for x in edits & words.keys() if x != w), key=lambda x: (-words[x], x))
+        is_form = bool(near) and words[near[0]] >= 2 * n
+        found[w] = [near[0] if is_form else None, w, n, len(near), words[near[0]] if is_form else None]
+    for w, own in found.items():
+        while found[own[1]][0] is not None:
+            own[1] = found[own[1]][0]
+    return {w: tuple(x) for w, x in found.items()}
+
+
+def told(df):
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block_words", [400, 1])
+def test_variants_equal_brute_force(spark, block_words):
+    """Also with blocks so small that all are subdivided to the last."""
+    rng = np.random.default_rng(2)
+    stems = ["aaaaa", "banana", "anagram", "élèves", "repetition", "zz" * 40, "x" * 300]
+    made = []
+    for stem in stems:
+        for _ in range(25):
+            at, kind, letter = int(rng.integers(len(stem))), rng.integers(3), "abzÿ"[rng.integers(4)]
+            word = [stem[:at] + stem[at + 1 :], stem[:at] + letter + stem[at + 1 :], stem[:at] + letter + stem[at:]][kind]
+            made += [word] * int(rng.integers(1, 9))
+        made += [stem] * 40 + [stem.upper()] * 3
+    rows = [(r[0], r[1]) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    rows += [(i, ", ".join(made[i::50])) for i in range(50)] + [(None, "Kettles kettles kettles kettle"), (None, None), (7, ""), (8, "1 2 ab")] * 2
+    want = variants(rows)
+    assert sum(w[0] is not None for w in want.values()) > 30 and any(w[1] != x and w[0] != w[1] for x, w in want.items())
+    assert told(S13.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_words=block_words)) == want
+
+
+def test_variants_of_awkward_tables(spark):
+    docs = awkward(spark).selectExpr("*", "'x' as word", "'x' as block", "map('a', 1) as tags")
+    assert S13.spelling_variants(docs.limit(0)).count() == 0
+    assert told(S13.spelling_variants(docs, least_length=3, least_count=2))["one"][2] == 3
+
+
+def test_root_of_a_chain(spark):
+    rows = [(f"w{i}", f"w{i + 1}") for i in range(21)] + [("v", "w9")]
+    got = S13.roots(spark.createDataFrame(rows, "word string, form string")).collect()
+    assert {tuple(r) for r in got} == {(w, "w21") for w, _ in rows}
