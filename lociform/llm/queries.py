@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import decontaminate
@@ -17,6 +18,7 @@ from .quality_classifier import quality_classifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .simhash_dedup import simhash_dedup
 from .spelling_variants import spelling_variants
+from .token_alignment import token_alignment
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filters import url_filter
@@ -67,6 +69,12 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    return token_alignment(table(spark, sf_dir, "documents"), *files, shown=digest).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -75,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_language_id, op3_token_counts, op4_url_filters, op5_lm_scoring,
         op6_decontamination, op7_toxicity, op8_quality_classifier, op9_mixing, op10_jaccard_join,
-        op11_simhash_dedup, op13_spelling_variants,
+        op11_simhash_dedup, op12_token_alignment, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 

@@ -1,10 +1,12 @@
 """SimHash, token alignment and spelling variants against brute force, and on awkward tables."""
 
 import collections
+import hashlib
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from conftest import SF
@@ -12,6 +14,7 @@ from test_llm import awkward
 
 from lociform.llm import simhash_dedup as S
 from lociform.llm import spelling_variants as S13
+from lociform.llm import token_alignment as TA
 from lociform.llm.common import table
 
 
@@ -166,3 +169,57 @@ def test_root_of_a_chain(spark):
     rows = [(f"w{i}", f"w{i + 1}") for i in range(21)] + [("v", "w9")]
     got = S13.roots(spark.createDataFrame(rows, "word string, form string")).collect()
     assert {tuple(r) for r in got} == {(w, "w21") for w, _ in rows}
+
+
+FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def aligned(rows):
+    """The result of the alignment, token by token, with the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.decoders import ByteLevel
+
+    first, second = Tokenizer.from_file(FILES[0]), sentencepiece.SentencePieceProcessor(model_file=FILES[1])
+    first.encode_special_tokens = True
+    codes, docs = TA.byte_letters(), []
+    assert sorted(codes.values()) == list(range(256)) and all(ByteLevel().decode([c]) == chr(b) for c, b in codes.items() if b < 128)
+    for key, text in rows:
+        a = first.encode(" " + text, add_special_tokens=False) if text else None
+        ids = [a.ids if text else [], second.encode(text) if text else []]
+        parts = [[bytes(codes[c] for c in t) for t in (a.tokens if text else [])], [bytes([int(p[3:-1], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(second.id_to_piece, ids[1])]]
+        if not text or any(b"".join(p) != b" " + text.encode() for p in parts):
+            docs.append((key, [], [], [], ""))
+            continue
+        spans = [[(sum(map(len, p[:i])), sum(map(len, p[: i + 1]))) for i in range(len(p))] for p in parts]
+        links = [(x, y) for x, (s, e) in zip(ids[0], spans[0], strict=True) for y, (u, v) in zip(ids[1], spans[1], strict=True) if s < v and u < e]
+        cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        inside = lambda side, lo, hi: ",".join(str(i) for i, (_, e) in zip(ids[side], spans[side], strict=True) if lo < e <= hi)  # noqa: B023, E731
+        docs.append((key, *ids, links, ";".join(f"{inside(0, lo, hi)}|{inside(1, lo, hi)}" for lo, hi in zip([0, *cuts], cuts, strict=False))))
+    counts = collections.Counter(pair for d in docs for pair in set(d[3]))
+    most = collections.Counter()
+    for (x, _), n in counts.items():
+        most[x] = max(most[x], n)
+    return sorted(((k, len(a), len(b), groups.count("|"), len(links), sum(counts[p] == most[p[0]] for p in links), sum(counts[p] for p in links), groups) for k, a, b, links, groups in docs), key=str)
+
+
+@pytest.mark.parametrize("common", [1_000_000, 200, 0])
+def test_alignment_equals_brute_force(spark, common):
+    rows = [(r[0], r[1]) for r in table(spark, SF, "documents").select("doc_id", "text").collect() if len(r[1] or "") < 1_500]
+    rows += [(None, "Grüße, e\u0301t\u00e9\n\tno"), (1, None), (2, ""), (3, "a \u2581 b"), (4, "<s> </s> <|endoftext|> <0x41>"), (5, "  two  spaces "), (5, "  two  spaces "), (6, "\x00\U0001f600日本"), (7, " "), (8, "\u2581")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = TA.token_alignment(docs, *FILES, common=common)
+    found = sorted((tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")) for r in got.collect()), key=str)
+    assert found == aligned(rows)
+
+
+def test_alignment_query_and_awkward_tables(spark):
+    docs = awkward(spark).selectExpr("*", "'x' as row", "'x' as pairs", "'x' as n_best", "map('a', 1) as tags")
+    got = {r["doc_id"]: r for r in TA.token_alignment(docs, *FILES).collect()}
+    assert TA.token_alignment(docs.limit(0), *FILES).count() == 0
+    assert all(tuple(got[k])[1:] == (0, 0, 0, 0, 0, 0, "") for k in (1, 2, 8)) and got[4]["n_a"] == 60_001 and got[4]["n_links"] == got[4]["n_a"] + got[4]["n_b"] - got[4]["n_groups"]
+    from lociform.llm import queries
+
+    digests = {r["doc_id"]: r["groups_sha256"] for r in queries.op12_token_alignment(spark, SF).collect()}
+    whole = {r["doc_id"]: r["groups"] for r in TA.token_alignment(table(spark, SF, "documents"), *FILES).collect()}
+    assert digests == {k: hashlib.sha256(g.encode()).hexdigest() if g else "" for k, g in whole.items()}
