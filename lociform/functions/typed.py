@@ -10,6 +10,16 @@ from . import grammar as G
 _SPARK_TYPE = {"Integer": "bigint", "Float": "double", "Flag": "boolean", "Character": "string", "String": "string"}
 
 
+def decimal_ok(value: Column) -> Column:
+    """True where text is a decimal whose scale fits into 32 bits: neither the exponent alone nor with the decimal places goes beyond."""
+    exponent = F.substring_index(F.lower(value), "e", -1).try_cast("bigint")
+    mantissa = F.substring_index(F.lower(value), "e", 1)
+    places = F.when(mantissa.contains("."), F.length(mantissa) - F.instr(mantissa, ".")).otherwise(0)
+    fits = lambda x: x.between(-(1 << 31), (1 << 31) - 1)
+    scaled = F.coalesce(fits(exponent) & fits(places - exponent), F.lit(False))
+    return value.rlike(G.DECIMAL) & F.when(value.contains("e") | value.contains("E"), scaled).otherwise(True)
+
+
 def is_missing(value: Column) -> Column:
     return value.isNull() | (value == ".")
 
@@ -19,7 +29,7 @@ def element_ok(value: Column, kind: str) -> Column:
     if kind == "Integer":
         return value.rlike(G.INTEGER) & value.try_cast("bigint").isNotNull()
     if kind == "Float":
-        return value.rlike(G.DECIMAL)
+        return decimal_ok(value)
     if kind == "Character":
         return F.length(value) == 1
     if kind == "Flag":
@@ -58,7 +68,7 @@ def strict(value: Column, kind: str, is_list: bool = False) -> Column:
 
 def qual_ok(raw: Column) -> Column:
     """True for a missing value or a decimal."""
-    return F.coalesce((raw == ".") | (raw == "") | raw.rlike(G.DECIMAL), F.lit(True))
+    return F.coalesce((raw == ".") | (raw == "") | decimal_ok(raw), F.lit(True))
 
 
 def strict_qual(raw: Column) -> Column:
@@ -67,31 +77,32 @@ def strict_qual(raw: Column) -> Column:
 
 
 def qual(raw: Column) -> Column:
-    """QUAL as a double; null if missing or no decimal."""
-    return F.when((raw != "") & raw.rlike(G.DECIMAL), raw.try_cast("double"))
+    """QUAL as a double; null if missing or no decimal. A decimal beyond a double's range is infinite or zero: its text keeps all digits."""
+    return F.when((raw != "") & decimal_ok(raw), raw.try_cast("double"))
 
 
 def decimal_text(raw: Column) -> Column:
-    """The canonical text of a decimal: plain where its exponent allows, else with an E; null if raw is no decimal."""
+    """The canonical text of a decimal: plain where its exponent allows, else with an E; null if raw is no decimal or its exponent too large."""
     part = lambda i: F.regexp_extract(raw, r"\A([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?\z", i)
     split = F.struct(
         part(1).alias("sign"), F.regexp_replace(F.concat(part(2), part(3)), r"\A0+(?=\d)", "").alias("digits"),
-        (F.length(part(3)) - F.coalesce(F.regexp_replace(part(4), r"\A\+", "").try_cast("int"), F.lit(0))).alias("scale"),
+        (F.length(part(3)) - F.when(part(4) == "", F.lit(0)).otherwise(part(4).try_cast("bigint"))).alias("scale"),
     )
 
     def text(x: Column) -> Column:
-        digits, scale, size = x["digits"], x["scale"], F.length(x["digits"])
+        digits, scale, size = x["digits"], x["scale"], F.length(x["digits"]).cast("long")
         shift = size - 1 - scale  # exponent of the first digit
         sign = F.when((x["sign"] == "-") & (digits != "0"), "-").otherwise("")
-        whole = F.when(size > scale, F.substring(digits, F.lit(1), size - scale)).otherwise("0")
-        rest = F.when(size > scale, F.substring(digits, size - scale + 1, scale)).otherwise(F.lpad(digits, F.greatest(scale, F.lit(0)), F.lit("0")))
+        before, after = (size - scale).cast("int"), scale.cast("int")
+        whole = F.when(size > scale, F.substring(digits, F.lit(1), before)).otherwise("0")
+        rest = F.when(size > scale, F.substring(digits, before + 1, after)).otherwise(F.lpad(digits, F.greatest(after, F.lit(0)), F.lit("0")))
         plain = F.when(scale == 0, digits).otherwise(F.concat(whole, F.lit("."), rest))
-        more = F.substring(digits, F.lit(2), size)
+        more = F.substring(digits, F.lit(2), F.length(digits))
         science = F.concat(F.substring(digits, 1, 1), F.when(more != "", F.concat(F.lit("."), more)).otherwise(""), F.lit("E"), F.when(shift >= 0, "+").otherwise(""), shift.cast("string"))
         return F.concat(sign, F.when((scale >= 0) & (shift >= -6), plain).otherwise(science))
 
     # Text in plain notation without leading zeros is canonical already.
-    return F.when(raw.rlike(r"\A-?(0|[1-9]\d*)(\.\d{1,6})?\z") & ~raw.rlike(r"\A-0(\.0*)?\z"), raw).when(raw.rlike(G.DECIMAL), _let(split, text))
+    return F.when(raw.rlike(r"\A-?(0|[1-9]\d*)(\.\d{1,6})?\z") & ~raw.rlike(r"\A-0(\.0*)?\z"), raw).when(decimal_ok(raw), _let(split, text))
 
 
 def _let(value: Column, body) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.genotypes import store_genotype, store_genotype_error
@@ -15,37 +15,52 @@ from ..sources.header import Header
 POLICIES = ("FAIL", "KEEP_FIRST", "KEEP_LAST")
 
 
-def duplicates(rows: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
-    """Keys that occur more than once, with their count and their first and last line."""
+def _place(rows: DataFrame, order: str | None) -> Column:
+    """Where a record stands: the column `order`, or its line, within its file where there are files."""
+    if order is not None:
+        return F.col(order)
+    return F.struct("file", "line_no") if "file" in rows.columns else F.col("line_no")
+
+
+def duplicates(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Keys that occur more than once, with their count and their first and last line (of several files: file and line)."""
+    order = _place(rows, order)
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first_line"), F.max(order).alias("last_line")).filter("n > 1")
 
 
-def dedupe(rows: DataFrame, keys: list[str], policy: str = "FAIL", order: str = "line_no") -> DataFrame:
+def dedupe(rows: DataFrame, keys: list[str], policy: str = "FAIL", order: str | None = None) -> DataFrame:
     """One row for each key: the first or the last by `order`, which no two rows of a key share. FAIL raises if a key is repeated.
 
+    Without `order` it is the line number, and of records of several files the file by name and then the line.
+
     A hash aggregate finds the order of the row to keep, combining before the shuffle, so that a key with very many rows sends
     one row a task; its result is joined back for the columns that are read. Without other columns there is no join.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {', '.join(POLICIES)}")
-    pick = F.min(order) if policy != "KEEP_LAST" else F.max(order)
-    out = rows.groupBy(*keys).agg(pick.alias(order), *([F.count("*").alias("n")] if policy == "FAIL" else []))
+    place = _place(rows, order)
+    own = [order] if order is not None else [c for c in ("file", "line_no") if c in rows.columns]
+    pick = F.min(place) if policy != "KEEP_LAST" else F.max(place)
+    out = rows.groupBy(*keys).agg(pick.alias("place"), *([F.count("*").alias("n")] if policy == "FAIL" else []))
     if policy == "FAIL":
         out = out.filter(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("Duplicate key: "), F.to_json(F.struct(*keys)))).cast("boolean")).otherwise(True)).drop("n")
-    if set(rows.columns) == {*keys, order}:
-        return out.select(*rows.columns)
-    kept = out.select(*[F.col(c).alias(f"kept_{c}") for c in (*keys, order)])
-    return rows.join(kept, reduce(and_, [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in (*keys, order)]), "left_semi")
+    parts = {c: F.col("place")[c] if len(own) > 1 else F.col("place") for c in own}
+    if set(rows.columns) == {*keys, *own}:
+        return out.withColumns(parts).select(*rows.columns)
+    kept = out.select(*[F.col(c).alias(f"kept_{c}") for c in keys], *[p.alias(f"kept_{c}") for c, p in parts.items()])
+    return rows.join(kept, reduce(and_, [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in (*keys, *own)]), "left_semi")
 
 
 class VariantStore:
     """Two views of records, each with its own duplicate policy: one row per (chrom, pos), and one per ID.
 
-    A record that loses its locus may still be the one of its ID.
+    A record that loses its locus may still be the one of its ID. Malformed lines, which PERMISSIVE mode keeps, are no records.
     """
 
     def __init__(self, header: Header, records: DataFrame, locus_policy: str = "FAIL", id_policy: str = "FAIL"):
         self.header = header
+        if "error" in records.columns:
+            records = records.filter(F.col("error").isNull())
         self.by_locus = dedupe(records, ["chrom", "pos"], locus_policy)
         self.by_id = dedupe(records.withColumn("id", F.explode("ids")), ["id"], id_policy)
 

@@ -25,26 +25,30 @@ def line(n_samples: int) -> Column:
     """A record's line, from the columns of from_lines."""
     filters = F.when(F.size("filters") > 0, F.array_join("filters", ";")).when(F.col("filters_applied"), "PASS").otherwise(".")
     parts = [F.col("chrom"), F.col("pos").cast("string"), _joined(F.col("ids"), ";"), F.col("ref"), _joined(F.col("alts"), ","), F.coalesce(T.decimal_text(F.col("qual_raw")), F.lit(".")), filters, info_field(F.col("info"))]
-    head = F.concat_ws("\t", *parts)
+    head = F.concat(parts[0], *[x for p in parts[1:] for x in (F.lit("\t"), p)])  # null if a field is, unlike concat_ws
     if not n_samples:
         return head
     samples = F.transform("samples", lambda s: F.array_join(F.transform(F.col("format"), lambda k, i: F.coalesce(F.get(s, i), F.lit("."))), ":"))
-    return F.when(F.size("format") > 0, F.concat_ws("\t", head, F.array_join("format", ":"), F.array_join(samples, "\t"))).otherwise(head)
+    return F.when(F.size("format") > 0, F.concat(head, F.lit("\t"), F.array_join("format", ":"), F.lit("\t"), F.array_join(samples, "\t"))).otherwise(head)
 
 
-def write_guard(n_samples: int) -> Column:
+def write_guard(n_samples: int, error: bool = True) -> Column:
     """Code of what forbids to write a record; null if nothing does.
 
-    QUAL and INFO are read here, so what is malformed in them shows, as it does in any other reading.
+    The record's own `error` comes first (error: rows have that column), so a line that PERMISSIVE mode has kept is never
+    written; who mends such a record sets `error` to null. QUAL and INFO are read here, so what is malformed in them
+    shows, as it does in any other reading.
     """
+    own = [F.col("error")] if error else []
     found = (
-        F.when(F.lit(n_samples == 0) & ((F.size("format") > 0) | (F.size("samples") > 0)), "SAMPLES_UNDECLARED")
+        F.when(F.col("chrom").isNull(), "CHROM_EMPTY").when(F.col("pos").isNull(), "POS_EMPTY")
+        .when(F.lit(n_samples == 0) & ((F.size("format") > 0) | (F.size("samples") > 0)), "SAMPLES_UNDECLARED")
         .when(F.size("samples") != n_samples, "SAMPLE_COUNT").when((F.size("samples") > 0) & (F.size("format") == 0), "FORMAT_EMPTY")
         .when(F.col("ref").isNull() | (F.col("ref") == ""), "REF_EMPTY").when(~T.qual_ok(F.col("qual_raw")), "QUAL_NUMBER")
         .when(F.col("info_raw").rlike(r"\s"), info_error(info(F.col("info_raw"))))
     )
     # One `when` may end without a code (INFO with whitespace that it drops), so the last check stands on its own.
-    return F.coalesce(found, F.when(line(n_samples).rlike("[\n\r]"), "LINE_TERMINATOR"))
+    return F.coalesce(*own, found, F.when(line(n_samples).rlike("[\n\r]"), "LINE_TERMINATOR"), F.when(line(n_samples).isNull(), "FIELD_NULL"))
 
 
 def validate(rows: DataFrame) -> DataFrame:
@@ -117,7 +121,7 @@ def sample_format_warnings(header: Header) -> Column:
 def render(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
     """`value` lines of rows; a record that must not be written is an error. check: also validate header and rows."""
     n = len(header.samples)
-    guard = write_guard(n)
+    guard = write_guard(n, "error" in rows.columns)
     if check:
         validate_header(header)
         rows = validate(rows)

@@ -126,7 +126,7 @@ DERIVED: dict[str, Derived] = {
     "genotype_counts_of_columns": Derived("lineitem", (_s(L), _s(f"{S} % 5 + 1")), lambda a, p: N.expected_values(F.lit("G"), a.cast("int"), p.cast("int")), _pick(S, _N, f"{_N} * ({_N} + 1) // 2", f"{_N} * ({_N} + 1) * ({_N} + 2) // 6", f"{_N} * ({_N} + 1) * ({_N} + 2) * ({_N} + 3) // 24", f"{_N} * ({_N} + 1) * ({_N} + 2) * ({_N} + 3) * ({_N} + 4) // 120")),
     "ploidy_of_columns": Derived("lineitem", (_cat(f"repeat('0/', cast({L} - 1 as int))", _s(_B)),), lambda t: F.concat(N.ploidy(t).cast("string"), N.gt_index_ok(t, F.array(F.lit("C"))).cast("string")), _cat(_s(L), f"case when {_B} <= 1 then 'true' else 'false' end")),
     "sv_codes_of_columns": Derived("lineitem", (_cat(_SV1, _SV2),), lambda t: F.concat(A.sv_valid(t).cast("string"), F.lit(" "), _joined(A.sv_reserved(t))), f"concat(case when {P} % 6 >= 4 then 'false' else case {S} % 6 when 0 then 'true' when 1 then case when {P} % 6 in (0, 1) then 'true' else 'false' end when 2 then case when {P} % 6 = 2 then 'true' else 'false' end when 3 then 'true' else 'false' end end, ' ', case when {P} % 6 = 4 then 'NULL' else {_SV1} end, case {S} % 6 when 0 then '' when 1 then '+ME' when 2 then '+TANDEM' when 5 then '+DEL' else '+NULL' end)"),
-    "bad_records_of_columns": Derived("lineitem", (_line(pos=f"case when {S} % 5 = 0 then concat('-', {_s(O)}) else {_s(O)} end", ref=f"case when {L} = 3 then 'X' else 'A' end", alt=_pick(P, "'C'", "'C,GT'", "'.,C'"), filters=f"case when {O} % 4 = 0 then '0' else 'q10' end"),), None, f"case when {S} % 5 = 0 then 'POS_NEGATIVE' when {L} = 3 then 'REF_GRAMMAR' when {P} % 3 = 2 then 'ALT_MISSING_COMBINED' when {O} % 4 = 0 then 'FILTER_ZERO' end", _on_records(lambda: F.col("error"))),
+    "bad_records_of_columns": Derived("lineitem", (_line(pos=f"case when {S} % 5 = 0 then concat('-', {_s(O)}) else {_s(O)} end", ref=f"case when {L} = 3 then 'X' else 'A' end", alt=_pick(P, "'C'", "'C,GT'", "'.,C'"), filters=f"case when {O} % 4 = 0 then '0' else 'q10' end"),), None, f"case when {S} % 5 = 0 and {O} > 0 then 'POS_NEGATIVE' when {L} = 3 then 'REF_GRAMMAR' when {P} % 3 = 2 then 'ALT_MISSING_COMBINED' when {O} % 4 = 0 then 'FILTER_ZERO' end", _on_records(lambda: F.col("error"))),
     "content_warnings_of_columns": Derived("lineitem", (_line(filters=_pick(P, "'PASS'", "'s50'"), info=_cat("'DP='", _pick(S, _s(Q), "'x'", _cat(_s(Q), "','", _s(L))), f"case when {L} = 2 then ';ZZ=1' else '' end")),), None, f"concat_ws(',', case when {P} % 2 = 1 then 'FILTER_UNDECLARED:s50' end, case when {L} = 2 then 'INFO_UNDECLARED:ZZ' end, case {S} % 3 when 1 then 'INFO_TYPE:DP' when 2 then 'INFO_COUNT:DP' end)", _on_records(lambda: F.array_join(writer.content_warnings(B.header()), ","))),
     "sample_warnings_of_columns": Derived("lineitem", (_line(s1=_cat("'0/'", _s(_B), "':'", _pick(P, _s(Q), "'x'", "'.'"))),), None, f"concat_ws(',', case when {P} % 3 = 1 then 'FORMAT_TYPE' end, case when {_B} = 2 then 'GT_INDEX' end)", _on_records(lambda: F.get(writer.sample_format_warnings(B.header()), F.lit(0)))),
     "write_guards_of_columns": Derived("lineitem", (_line(qual=_pick(P, _s(Q), "'.'", _cat(_s(Q), "'q'")), info=f"case when {S} % 3 = 0 then concat('A=', {_s(L)}, ' ', {_s(Q)}) else 'DB' end"),), None, f"case when {P} % 3 = 2 then 'QUAL_NUMBER' when {S} % 3 = 0 then 'INFO_CHARACTER' end", _on_records(lambda: writer.write_guard(2))),
