@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.header import Header
-from .writer import write_vcf
+from .writer import PLACE, guarded_columns, save_lines, write_vcf
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,48 @@ def remove_info(entries: Column, key: str) -> Column:
     return F.filter(entries, lambda e: e["key"] != key)
 
 
+def _evaluated(rows: DataFrame) -> DataFrame:
+    """rows with each column evaluated here, once for all that read it: a generator, which projections are not merged across."""
+    return rows.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).alias("r")).select("r.*")
+
+
+def fan_out(header: Header, records: DataFrame, steps: list[Transformation], check: bool = False) -> tuple[list[Header], DataFrame]:
+    """The headers of all outputs of a chain, and one DataFrame of their lines with `output`, the number of the output: see `writer.guarded`.
+
+    A record is parsed once and goes through the steps once; each step takes its line as the record stands after it. A step edits
+    columns; one that leaves out the columns that it does not know, or adds up rows, cannot be fanned out.
+    """
+    if not steps:
+        raise ValueError("at least one transformation is needed")
+    headers, made, records = [], [], _evaluated(records)
+    for k, step in enumerate(steps):
+        header, records = step.header(header), step.rows(records)
+        if not set(made) <= set(records.columns):
+            raise ValueError(f"step {k} drops columns that it does not know: use chain")
+        records = _evaluated(records)
+        place = [c for c in PLACE if c in records.columns]
+        own = guarded_columns(records, header, check)
+        line = F.struct(F.lit(k).alias("output"), *place, own["guard"].alias("guard"), own["value"].alias("value"))
+        made.append(f"output__{k}")
+        records = records.withColumn(made[-1], line if step.keep is None else F.when(step.keep, line))
+        headers.append(header)
+    outputs = records.select(F.explode(F.array_compact(F.array(*made))).alias("o"))
+    return headers, outputs.select("o.*")
+
+
+def write_fan_out(header: Header, records: DataFrame, steps: list[Transformation], folders: list[str], check: bool = False, single: bool = False, sort: bool = False) -> None:
+    """All outputs of a chain in one job: each record is read and parsed once and written to the folders that keep it.
+
+    Lines stay in the partitions and the order in which their records come, as `read_vcf` gives them; sort: see `writer.save_lines`.
+    """
+    if len(steps) != len(folders):
+        raise ValueError("one folder for each output")
+    headers, lines = fan_out(header, records, steps, check)
+    save_lines(lines, headers, folders, single, sort)
+
+
 def write_chain(outputs: list[tuple[Header, DataFrame]], folders: list[str], check: bool = False, single: bool = False) -> None:
-    """Write each output of `chain` to its folder. What the outputs share is kept between them, so that text is parsed once for all."""
+    """Write each output of `chain` to its folder, with a job and a pass over the text for each. `write_fan_out` needs one for all."""
     if len(outputs) != len(folders):
         raise ValueError("one folder for each output")
     for (header, rows), folder in zip(outputs, folders, strict=True):

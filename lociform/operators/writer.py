@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import grammar as G
 from ..functions import typed as T
 from ..functions.genotypes import expected_values, gt_index_ok, ploidy
 from ..functions.record import alt_error, format_error, info, info_error, let, sample_property
+from ..sources import datasource
 from ..sources.header import Header, header_lines, validate_header
 
 
@@ -51,19 +54,23 @@ def write_guard(n_samples: int, error: bool = True) -> Column:
     return F.coalesce(*own, found, F.when(line(n_samples).rlike("[\n\r]"), "LINE_TERMINATOR"), F.when(line(n_samples).isNull(), "FIELD_NULL"))
 
 
-def validate(rows: DataFrame) -> DataFrame:
-    """rows with `invalid`: the code of the first check that an edited record fails."""
+def invalid() -> Column:
+    """The code of the first check that an edited record fails; null for a valid one."""
     filters = F.col("filters")
     bad_filter = F.exists(filters, lambda x: x.rlike(r"\s") | x.isin("0", "PASS", "."))
     samples = F.exists("samples", lambda s: F.exists(F.zip_with("format", s, lambda k, v: v.isNull() | (v == "") | v.rlike("[\t\r\n]") | ((k != "GLE") & v.contains(":"))), lambda x: x))
-    return rows.withColumn(
-        "invalid",
+    return (
         F.when(F.col("chrom").rlike(r"\s") | (F.col("chrom") == ""), "CHROM").when(F.col("pos") < 0, "POS").when(~F.col("ref").rlike(G.REF), "REF")
         .when(F.exists("ids", lambda x: x.rlike(r"[\s;]")) | (F.size(F.array_distinct("ids")) < F.size("ids")), "ID").when(alt_error(F.col("alts")).isNotNull(), "ALT")
-        .when(bad_filter, "FILTER").when(info_error(F.col("info")).isNotNull(), "INFO").when(format_error(F.col("format")).isNotNull(), "FORMAT").when(samples, "SAMPLE"),
+        .when(bad_filter, "FILTER").when(info_error(F.col("info")).isNotNull(), "INFO").when(format_error(F.col("format")).isNotNull(), "FORMAT").when(samples, "SAMPLE")
     )
 
 
+def validate(rows: DataFrame) -> DataFrame:
+    """rows with `invalid`."""
+    return rows.withColumn("invalid", invalid())
+
+
 def _type_of(header: Header, section: str, key: Column, prop: str) -> Column:
     known = [x for i, p in header.entries[section].items() if i is not None and p.get(prop) is not None for x in (F.lit(i), F.lit(p[prop]))]
     return F.create_map(*known)[key] if known else F.lit(None).cast("string")
@@ -118,35 +125,57 @@ def sample_format_warnings(header: Header) -> Column:
     return F.transform("samples", lambda s: F.array_join(F.array_compact(F.concat(odd(s), whole(s))), ","))
 
 
-def render(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
-    """`value` lines of rows; a record that must not be written is an error. check: also validate header and rows."""
+#: Columns that tell where a record was read, in the order in which they count.
+PLACE = ("file", "line_no")
+
+
+def guarded_columns(rows: DataFrame, header: Header, check: bool = False) -> dict[str, Column]:
+    """guard: what forbids to write a record of rows, or null; value: its line, or null."""
     n = len(header.samples)
     guard = write_guard(n, "error" in rows.columns)
     if check:
         validate_header(header)
-        rows = validate(rows)
-        guard = F.coalesce(F.concat(F.lit("invalid "), F.col("invalid")), guard)
+        guard = F.coalesce(F.concat(F.lit("invalid "), invalid()), guard)
+    return {"guard": guard, "value": F.when(guard.isNull(), line(n))}
+
+
+def guarded(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
+    """`value` lines of rows, or null and a `guard` code for a record that must not be written; where it was read passes through.
+
+    check: also validate header and rows.
+    """
+    made = rows.withColumns(guarded_columns(rows, header, check))
+    return made.select(*[c for c in PLACE if c in rows.columns], "guard", "value")
+
+
+def render(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
+    """`value` lines of rows; a record that must not be written is an error. check: also validate header and rows."""
+    made = guarded(rows, header, check)
     said = F.concat(F.lit("Cannot write record: "), F.col("guard"))
-    made = rows.withColumn("guard", guard).withColumn("value", F.when(F.col("guard").isNull(), line(n)).otherwise(F.raise_error(said).cast("string")))
-    return made.select(*[c for c in ("line_no",) if c in rows.columns], "value")
+    value = F.when(F.col("guard").isNull(), F.col("value")).otherwise(F.raise_error(said).cast("string"))
+    return made.select(*[c for c in ("line_no",) if c in rows.columns], value.alias("value"))
 
 
-def write_vcf(rows: DataFrame, header: Header, folder: str, check: bool = False, single: bool = False) -> None:
-    """Text files below folder, each a whole file with its own header, in the order of line_no; single: one file.
+def save_lines(lines: DataFrame, headers: list[Header], folders: list[str], single: bool = False, sort: bool = True, mode: str = "overwrite") -> None:
+    """Write the rows of `guarded`, with `output` (which of the folders) if there are several, by the sink of the `vcf` format: in one job.
 
-    Sorting by range keeps each file's lines together in order; only `single` brings all lines to one task.
+    Each file has its output's header; an output without a line has a file with nothing else. The job commits as a whole: a record
+    that must not be written fails it with the least place among such records, and a task that is lost leaves nothing behind.
+    sort: lines are put in the order of file and line number, within a file and from file to file; Spark reads the rows twice for
+    that, once to find the ranges. Without it rows stay where they are, and that is the same order if they come from `read_vcf` and
+    nothing has shuffled them. single: one file for each output, sorted by the one task that all lines go to.
     """
-    lines = render(rows, header, check)
-    if "line_no" in lines.columns:
-        lines = lines.repartitionByRange(1, "line_no").sortWithinPartitions("line_no") if single else lines.repartitionByRange("line_no").sortWithinPartitions("line_no")
-    elif single:
-        lines = lines.coalesce(1)
-    head = header_lines(header)
+    datasource.register(lines.sparkSession)
+    order = [c for c in ("output", *PLACE) if c in lines.columns]
+    ranged = sort and order[-1:] == ["line_no"]
+    by = lines.repartition(1) if single else lines.repartitionByRange(*order) if ranged else lines
+    options = {"paths": json.dumps(folders), "headers": json.dumps([header_lines(h) for h in headers])}
+    (by.sortWithinPartitions(*order) if order and (single or ranged) else by).write.format("vcf").options(**options).mode(mode).save()
 
-    def with_header(batches):
-        import pyarrow as pa
 
-        yield pa.RecordBatch.from_arrays([pa.array(head)], names=["value"])
-        yield from batches
+def write_vcf(rows: DataFrame, header: Header, folder: str, check: bool = False, single: bool = False, sort: bool = True) -> None:
+    """Text files below folder, each a whole file with its own header, in the order of file and line_no; single: one file. See `save_lines`.
 
-    lines.select("value").mapInArrow(with_header, "value string").write.mode("overwrite").text(folder)
+    Sorting by range keeps each file's lines together in order; only `single` brings all lines to one task.
+    """
+    save_lines(guarded(rows, header, check), [header], [folder], single, sort)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..functions import record as R
 from ..functions import typed as T
+from . import datasource
+from .files import listed
 from .header import FormatError, Header, parse_header
 
 #: What the codes of malformed lines say.
@@ -22,6 +25,7 @@ MESSAGES = {
     "FORMAT_GT_FIRST": "GT is not the first FORMAT key", "SAMPLE_TOO_LONG": "a sample has more values than FORMAT has keys",
 }
 MODES = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
+Out = TypeVar("Out")
 
 
 def rsid_skip(parts: Column) -> Column:
@@ -129,18 +133,46 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("file"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))], names=["file", "header_lines", "columns", "error"])
 
 
-def read_vcf(spark: SparkSession, path: str, rsids_only: bool = False, mode: str = "FAILFAST") -> tuple[Header, DataFrame]:
-    """Header and records (with file and line_no) of uncompressed files: one, a folder or a glob whose name ends in `.vcf`.
+def read_vcf(spark: SparkSession, path: str, rsids_only: bool = False, mode: str = "FAILFAST", line_numbers: bool = True, split_bytes: int = 128 << 20) -> tuple[Header, DataFrame]:
+    """Header and records of uncompressed files: one, a folder or a glob whose name ends in `.vcf`. Text is read once, by the `vcf` data source.
 
-    Each file's own header is checked and left out. All must have the same columns; the header that is returned is that of
-    the first file by name (`read_header` gives any other one). FAILFAST raises at the first bad line that a task meets;
-    `require_good` raises at the first one of the files.
+    The planner checks each file's header and cuts the rest to ranges of `split_bytes`; all files must have the same columns, and the
+    header that is returned is that of the first file by name. Records have their file and line_no; without line_numbers, range
+    and nth tell their place. Only where a file has several ranges do line numbers need the lines of each to be counted first.
+    rsids_only is pushed into the source. FAILFAST raises at the first bad line that a task meets; `checked` raises at the first one
+    of the files, in the same pass as what reads the records.
     """
+    _named(path)
+    datasource.register(spark)
+    header = datasource.header_of(path)  # an error of the first file has its own message
+    source = lambda schema: spark.read.format("vcf").schema(schema).option("splitBytes", split_bytes).option("rsidsOnly", rsids_only).load(path)
+    lines = source("file string, range long, nth long, line_no long, value string")
+    if line_numbers and any(size > split_bytes for _, size in listed(path)):  # a file of one range has its numbers from the source
+        ranges = source(datasource.COUNTS)  # a row per range
+        before = F.sum("lines").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+        heads = F.first("header").over(Window.partitionBy("file").orderBy("range"))
+        starts = ranges.select("file", "range", (F.coalesce(before, F.lit(0)) + heads).alias("before"))
+        lines = lines.join(_few(starts, lines), ["file", "range"]).select("value", "file", (F.col("nth") + F.col("before")).alias("line_no"))
+    return header, from_lines(lines.select("value", "file", *(["line_no"] if line_numbers else ["range", "nth"])), header, rsids_only, mode)
+
+
+def _named(path: str) -> None:
+    if not path.rstrip("/").endswith(".vcf"):
+        raise FormatError(f"Not a .vcf file: {path}")
+
+
+def _few(small: DataFrame, scan: DataFrame) -> DataFrame:
+    """A table with a row per range: broadcast, unless there may be too many of them."""
+    return F.broadcast(small) if scan.rdd.getNumPartitions() <= _BLOCKS else small
+
+
+def read_text(spark: SparkSession, path: str, rsids_only: bool = False, mode: str = "FAILFAST") -> tuple[Header, DataFrame]:
+    """`read_vcf` by Spark's own text reader, for stores that only Spark can open. Headers are found by passes over the text."""
     if not path.rstrip("/").endswith(".vcf"):
         raise FormatError(f"Not a .vcf file: {path}")
     heads = header_texts(spark, path).mapInArrow(_checked, "file string, header_lines long, columns string, error string")
     first, last, errors = heads.agg(F.min("columns"), F.max("columns"), F.min(F.when(F.col("error").isNotNull(), F.struct("file", "error")))).first()
-    header = read_header(spark, path)  # an error of the first file has its own message
+    header = read_header(spark, path)
     if errors is not None:
         raise FormatError(f"{errors['file']}: {errors['error']}")
     if first != last:
@@ -160,6 +192,37 @@ def first_failure(rows: DataFrame) -> FormatError | None:
     return FormatError(f"{MESSAGES[found['error']]} ({found['error']})", found["line_no"] if "line_no" in place else None, "data")
 
 
+#: Columns that tell where a line stands, in the order in which they count.
+_PLACE = ("file", "line_no", "range", "nth")
+
+
+def watched(rows: DataFrame, name: str = "records") -> tuple[DataFrame, Observation]:
+    """rows of PERMISSIVE mode, and what the next action over them tells: `records`, `first` (place and error of the first bad line), and a count of each error's code."""
+    seen, bad = Observation(name), F.col("error").isNotNull()
+    place = [c for c in _PLACE if c in rows.columns]
+    counts = [F.count_if(F.coalesce(F.col("error") == code, F.lit(False))).alias(code) for code in MESSAGES]
+    return rows.observe(seen, F.count(F.lit(1)).alias("records"), F.min(F.when(bad, F.struct(*place, "error"))).alias("first"), *counts), seen
+
+
+def checked(rows: DataFrame, action: Callable[[DataFrame], Out]) -> Out:
+    """action(rows), or the error of the first bad line of the first file, at any partitioning and with no other pass over the text.
+
+    Malformed lines do not reach the action.
+    """
+    seen_rows, seen = watched(rows)
+    out = action(seen_rows.filter(F.col("error").isNull()))
+    first = seen.get["first"]
+    if first is not None:
+        raise failure_of(first)
+    return out
+
+
+def failure_of(found: Row) -> FormatError:
+    own = found.asDict()
+    where = f"{own['file']}: " if own.get("file") else ""
+    return FormatError(f"{where}{MESSAGES[own['error']]} ({own['error']})", own.get("line_no"), "data")
+
+
 def require_good(rows: DataFrame) -> DataFrame:
     """rows of PERMISSIVE mode, or the error of their first bad line: a pass of its own that reads nothing but structure."""
     failure = first_failure(rows)
