@@ -1,6 +1,7 @@
 """Operator 12: alignment of two tokenizers' tokens of the same texts, and how often tokens are linked over the corpus.
 
-1. A task encodes texts with both vocabularies, in runs of about `_RUN` bytes, and works on the bytes that each token stands for.
+1. A task encodes texts with both vocabularies, in runs of about `_RUN` characters, and works on the bytes that each token stands for.
+   The libraries encode a pre-token, which no merge reaches over, once and not each time that it occurs.
    With arrays over a whole run: cumulative sums are the tokens' ends; where ends of both sides meet (`intersect1d`) is a cut, and
    a token's place among the cuts (`searchsorted`) is its group; a token of the first side overlaps a range of tokens of the
    other one, which `repeat` expands to links. A text's links are kept as distinct pairs with their times, in a table.
@@ -20,18 +21,24 @@ empty result; other columns take no part, whatever their names.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_text, most_frequent, written
+from .common import most_frequent, written
+from .token_counts import pre_tokens
 
-#: Bytes of the texts that a task aligns at once; a longer text makes a run of its own.
-_RUN = 1_000_000
+#: Characters of the texts that a task aligns at once; a longer text makes a run of its own. Characters of pre-tokens that it remembers.
+_RUN, _REMEMBERED = 200_000, 4_000_000
+#: Before a space with a printable ASCII character after it, a byte-level vocabulary always begins a new pre-token.
+_START = re.compile(" (?=[!-~])")
 _LINKS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<int>"
 
 
@@ -42,12 +49,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@dataclass
 class Coder:
-    """encode: the ids of each text. pieces: the bytes of each id."""
+    """A vocabulary: `pieces` are the bytes of each id. Called with texts, it gives the ids of a space and each text.
 
-    encode: Callable[[list[str]], list[list[int]]]
-    pieces: list[bytes]
+    Ids are 32-bit integers in a row, or None where their bytes are not the text's. parts: cuts a text where no merge reaches over;
+    each part is encoded, with a space before it, once and not each time that it occurs, until _REMEMBERED characters are known.
+    faithful: false for texts whose parts are not the text itself.
+    """
+
+    def __init__(self, pieces: list[bytes], parts: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], faithful: Callable[[str], bool] = lambda text: True):
+        self.pieces, self.parts, self.encode, self.faithful = pieces, parts, encode, faithful
+        self.known, self.wrong, self.size = {}, set(), 0
+
+    def __call__(self, texts: list[str]) -> list[bytes | None]:
+        if self.size > _REMEMBERED:
+            self.known, self.wrong, self.size = {}, set(), 0
+        cut = [self.parts(t) for t in texts]
+        new = list({p for ps in cut for p in ps if p not in self.known})
+        for p, ids in zip(new, self.encode(new), strict=True):
+            self.known[p] = array("i", ids).tobytes()
+            if b"".join(map(self.pieces.__getitem__, ids)) != b" " + p.encode():
+                self.wrong.add(p)
+        self.size += sum(map(len, new))
+        good = [self.faithful(t) and self.wrong.isdisjoint(ps) for t, ps in zip(texts, cut, strict=True)]
+        return [b"".join(map(self.known.__getitem__, ps)) if ok else None for ps, ok in zip(cut, good, strict=True)]
 
 
 def byte_level(file: str) -> Coder:
@@ -60,7 +85,11 @@ def byte_level(file: str) -> Coder:
     pieces = [b""] * coder.get_vocab_size()
     for entry, i in coder.get_vocab().items():
         pieces[i] = bytes(letters[c] for c in entry)
-    return Coder(lambda texts: [e.ids for e in coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], pieces)
+
+    def encode(parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in coder.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+
+    return Coder(pieces, _START.split, encode)
 
 
 def word_pieces(file: str) -> Coder:
@@ -70,7 +99,12 @@ def word_pieces(file: str) -> Coder:
     coder = sentencepiece.SentencePieceProcessor(model_file=file)
     names = [(coder.id_to_piece(i), coder.is_byte(i)) for i in range(coder.get_piece_size())]
     pieces = [bytes([int(p[3:-1], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in names]
-    return Coder(lambda texts: coder.encode(texts, num_threads=1), pieces)
+    bare = [coder.piece_to_id("▁")]  # what an empty pre-token stands for
+
+    def encode(parts: list[str]) -> list[list[int]]:
+        return [ids if p else bare for p, ids in zip(parts, coder.encode(parts, num_threads=1), strict=True)]
+
+    return Coder(pieces, pre_tokens, encode, lambda text: "▁" not in text)  # a mark in the text comes back as a space
 
 
 class Aligner:
@@ -85,16 +119,15 @@ class Aligner:
     def __call__(self, texts: list[str | None]) -> tuple:
         """The columns of _LINKS."""
         used = [k for k, t in enumerate(texts) if t]
-        coded = [c.encode([texts[k] for k in used]) if used else [] for c in (self.a, self.b)]
-        whole = [b" " + texts[k].encode() for k in used]
-        good = [n for n, w in enumerate(whole) if all(b"".join(map(c.pieces.__getitem__, ids[n])) == w for c, ids in zip((self.a, self.b), coded, strict=True))]
+        coded = [c([texts[k] for k in used]) for c in (self.a, self.b)]
+        good = [n for n in range(len(used)) if all(ids[n] is not None for ids in coded)]
         a, b = ([ids[n] for n in good] for ids in coded)
         counts = np.zeros((4, len(texts)), np.int64)
         groups, pairs, times = [""] * len(texts), np.zeros(0, np.int32), np.zeros(0, np.int32)
         offsets = np.zeros(len(texts) + 1, np.int32)
         if good:
             rows = np.array(used)[good]
-            made, shown, pair_of, pairs, times = self.aligned(a, b, np.array([len(whole[n]) for n in good]))
+            made, shown, pair_of, pairs, times = self.aligned(a, b)
             counts[:, rows] = made
             for k, text in zip(rows.tolist(), shown, strict=True):
                 groups[k] = text
@@ -102,12 +135,12 @@ class Aligner:
         lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32))) for x in (pairs, times)]
         return *(pa.array(c) for c in counts), pa.array(groups, pa.string()), *lists
 
-    def aligned(self, a: list[list[int]], b: list[list[int]], size: np.ndarray) -> tuple:
+    def aligned(self, a: list[bytes], b: list[bytes]) -> tuple:
         """Counts (a, b, groups, links by text), the groups as text, and the distinct pairs: their text, pair and times."""
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in y for i in x), np.int64, n.sum()) for y, n in ((a, n_a), (b, n_b)))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in (a, b))
+        ids_a, ids_b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (a, b))
         ends_a, ends_b = (np.cumsum(sizes[ids]) for sizes, ids in zip(self.sizes, (ids_a, ids_b), strict=True))
-        text_ends = np.cumsum(size)
+        text_ends = ends_a[np.cumsum(n_a) - 1]
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         n_groups = np.diff(np.searchsorted(cuts, text_ends, "right"), prepend=0)
@@ -135,32 +168,26 @@ class Aligner:
         return [b"".join(map(self.shown.__getitem__, entry[s:e].tolist()))[:-1].decode() for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-def _joined(parts: list[tuple]) -> tuple:
-    return tuple(pa.concat_arrays([p[i] for p in parts]) for i in range(len(parts[0])))
-
-
 def token_links(docs: DataFrame, file_a: str, file_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`), pairs and times; one row per row of docs.
 
     pairs: the distinct linked ids of the text, each as a times the size of the second vocabulary plus b; times: how many links each has.
     """
 
-    def score(batches: Iterator[list]) -> Iterator[tuple]:
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *T.StructType.fromDDL(_LINKS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = Aligner(byte_level(file_a), word_pieces(file_b))
-        for texts in batches:
-            run, size, done = [], 0, []
-            for t in texts:
-                run.append(t)
-                size += len(t or "")
-                if size >= _RUN:
-                    done.append(align(run))
-                    run, size = [], 0
-            if run or not done:
-                done.append(align(run))
-            yield _joined(done)
-
-    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_text(named, ["key"], "text", _LINKS, score, "string")
+        for b in batches:
+            stops = pc.cumulative_sum(pc.fill_null(pc.utf8_length(b.column(1)), 0)).to_numpy() if b.num_rows else np.zeros(0, np.int64)
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + _RUN, "right")))
+                own = b.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([own.column(0), *align(own.column(1).to_pylist())], names=schema.names)
+                at = to
+
+    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pair_counts(links: DataFrame, b_size: int, salts: int = 16) -> DataFrame:
