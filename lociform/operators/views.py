@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.record import sample_property
+from ..functions.genotypes import diploid, render
+from ..functions.record import gt_text, sample_property
 from ..sources.header import Header
 
 
@@ -22,6 +23,17 @@ def genotypes_long(header: Header, rows: DataFrame) -> DataFrame:
     return each.select(*place, "sample_idx", F.get(names, F.col("sample_idx")).alias("sample_name"), sample_property(F.col("sample"), F.col("format"), "GT").alias("gt"), pairs.alias("properties"))
 
 
+def genotype_counts(rows: DataFrame) -> DataFrame:
+    """(sample_idx, genotype, n): how often each sample has each diploid genotype; null for calls that are not diploid.
+
+    Calls are counted by their text and alleles first, in each task; only the few distinct ones are read as genotypes.
+    """
+    # The outer form: the inner one filters by the size of the list first, which would take the samples apart twice.
+    each = rows.select("ref", "alts", "format", F.posexplode_outer("samples_raw").alias("sample_idx", "sample")).filter("sample_idx is not null")
+    calls = each.select("sample_idx", "ref", "alts", gt_text(F.col("sample"), F.col("format")).alias("gt")).groupBy("sample_idx", "ref", "alts", "gt").agg(F.count("*").alias("n"))
+    return calls.groupBy("sample_idx", render(diploid(F.col("gt"), F.col("ref"), F.col("alts"))).alias("genotype")).agg(F.sum("n").alias("n"))
+
+
 def register_views(spark: SparkSession, header: Header, rows: DataFrame, prefix: str = "") -> list[str]:
     """Temporary views variants, genotypes, header_entries, header_raw and header_columns, each with the prefix; their names are returned."""
     made = {

@@ -107,22 +107,44 @@ def content_warnings(header: Header) -> Column:
     return F.concat(undeclared(F.col("filters"), "FILTER", "FILTER_UNDECLARED:"), undeclared(keys, "INFO", "INFO_UNDECLARED:"), undeclared(F.col("format"), "FORMAT", "FORMAT_UNDECLARED:"), F.array_compact(F.transform("info", misfit)))
 
 
-def format_warning(header: Header, key: Column, value: Column, n_alts: Column, gt: Column) -> Column:
-    """Code of what is odd about one sample value; null if nothing is."""
-    kind, want = _type_of(header, "FORMAT", key, "Type"), expected_values(_type_of(header, "FORMAT", key, "Number"), n_alts, ploidy(gt))
+def _declared_format(header: Header) -> Column:
+    """What the header declares about each FORMAT key of a record: looked up once a record, not once a value."""
+    return F.transform("format", lambda k: F.struct(_type_of(header, "FORMAT", k, "Type").alias("kind"), _type_of(header, "FORMAT", k, "Number").alias("number")))
+
+
+def format_warning(kind: Column, number: Column, key: Column, value: Column, n_alts: Column, gt: Column) -> Column:
+    """Code of what is odd about one sample value of a declared type and number; null if nothing is. gt: the sample's genotype."""
     values = F.when(key == "GLE", F.array(value)).otherwise(F.split(value, ",", -1))
-    return (
-        F.when(value == ".", None).when(F.exists(values, lambda v: v == ""), "FORMAT_EMPTY").when(F.size(values) != want, "FORMAT_COUNT")
-        .when(F.exists(values, lambda v: ~_fits(v, kind)), "FORMAT_TYPE")
+    odd = lambda vs: (
+        F.when(F.array_contains(vs, ""), "FORMAT_EMPTY").when(F.size(vs) != expected_values(number, n_alts, ploidy(gt)), "FORMAT_COUNT")
+        .when(F.exists(vs, lambda v: ~_fits(v, kind)), "FORMAT_TYPE")
     )
+    # One value where one is declared is the common case, and needs no list.
+    one = (number == "1") & (value != "") & ~value.contains(",")
+    return F.when(value == ".", None).when(one, F.when(~_fits(value, kind), "FORMAT_TYPE")).otherwise(let(values, odd))
+
+
+#: Genotypes of the reference and the first alternative allele, the common case.
+_FIRST_TWO = r"\A[01.]([/|][01.])*\z"
 
 
 def sample_format_warnings(header: Header) -> Column:
     """For each sample the codes of its values' oddities, joined by commas: also values that are missing or too many, and a GT that names no allele."""
-    gt = lambda s: sample_property(s, F.col("format"), "GT")
-    odd = lambda s: F.transform(F.col("format"), lambda k, i: F.when(F.get(s, i).isNull(), "SAMPLE_MISSING").otherwise(format_warning(header, k, F.get(s, i), F.size("alts"), gt(s))))
-    whole = lambda s: F.array(F.when(F.size(s) > F.size("format"), "SAMPLE_EXTRA"), F.when(~gt_index_ok(gt(s), F.col("alts")), "GT_INDEX"))
-    return F.transform("samples", lambda s: F.array_join(F.array_compact(F.concat(odd(s), whole(s))), ","))
+    n_alts = F.size("alts")
+    # What the header declares about each FORMAT key: looked up once a record, not once a value.
+    declared = F.transform("format", lambda k: F.struct(k.alias("key"), _type_of(header, "FORMAT", k, "Type").alias("kind"), _type_of(header, "FORMAT", k, "Number").alias("number")))
+
+    def of_sample(s: Column, gt: Column, keys: Column) -> Column:
+        def of_value(v: Column, d: Column) -> Column:
+            odd = format_warning(d["kind"], d["number"], d["key"], v, n_alts, gt)
+            return F.when(d.isNotNull(), F.when(v.isNull(), "SAMPLE_MISSING").otherwise(odd))
+
+        known = (n_alts > 0) & gt.rlike(_FIRST_TWO)
+        whole = F.array(F.when(F.size(s) > F.size("format"), "SAMPLE_EXTRA"), F.when(~F.when(known, True).otherwise(gt_index_ok(gt, F.col("alts"))), "GT_INDEX"))
+        return F.array_join(F.array_compact(F.concat(F.zip_with(s, keys, of_value), whole)), ",")
+
+    gt = lambda s: F.struct(sample_property(s, F.col("format"), "GT").alias("gt"))
+    return let(declared, lambda keys: F.transform("samples", lambda s: let(gt(s), lambda g: of_sample(s, g["gt"], keys))))
 
 
 #: Columns that tell where a record was read, in the order in which they count.

@@ -253,11 +253,7 @@ def info_depth_by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genotypes_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = from_lines(B.lineitem_lines(spark, sf_dir), B.header())
-    # The outer form: the inner one filters by the size of the list first, which would take the samples apart twice.
-    each = rows.select("ref", "alts", "format", F.posexplode_outer("samples_raw").alias("sample_idx", "sample")).filter("sample_idx is not null")
-    called = each.select("sample_idx", "ref", "alts", R.gt_text(F.col("sample"), F.col("format")).alias("gt"))
-    return called.groupBy("sample_idx", N.render(N.diploid(F.col("gt"), F.col("ref"), F.col("alts"))).alias("genotype")).agg(F.count("*").alias("n"))
+    return views.genotype_counts(from_lines(B.lineitem_lines(spark, sf_dir), B.header()))
 
 
 def genotypes_long_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
