@@ -320,14 +320,14 @@ class Lookup:
         return (total[size] - total[size - (stop - first)]).tolist(), np.bincount(where[start], minlength=len(texts)), gram[start], np.diff(np.append(start, len(gram)))
 
 
-def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, depth: int = DEPTH, common_words: int = 100_000, common_grams: int = 1_000_000) -> DataFrame:
+def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, depth: int = DEPTH, common_words: int = 100_000, common_grams: int = 1_000_000, common_bytes: int = 64) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte, one row per row of docs."""
     spark = docs.sparkSession
     counts = cut(gather(docs, text, F.coalesce(fold(key, folds) != held, F.lit(False)), depth).groupBy("gram", "word").agg(F.sum("n").alias("n")))
     words = counts.filter("word is not null").select("word", "n")
     total, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = {bytes(w): n for w, n in words.orderBy(F.desc("n"), "word").limit(common_words).toArrow().select(["word", "n"]).to_pandas().itertuples(index=False)}
-    least = min(common.values(), default=0)
+    common = {bytes(w): n for w, n in words.filter(F.octet_length("word") <= common_bytes).orderBy(F.desc("n"), "word").limit(common_words).toArrow().select(["word", "n"]).to_pandas().itertuples(index=False)}
+    others = (F.col("n") <= min(common.values())) | (F.octet_length("word") > common_bytes) if common else F.lit(True)
     logs = {w: math.log10(n + 0.5) for w, n in common.items()}
     scores = gram_scores(counts.filter("gram is not null").select("gram", "n"), depth)
     is_common = most_frequent(scores, common_grams)
@@ -367,7 +367,7 @@ def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
 
     made = "n_tokens long, hits long, part double, rare array<struct<word binary, times long>>, bytes long, near double, grams array<struct<gram long, times long>>"
     scored = cut(map_text(marked, ["key", "held_out", "row"], "body", made, flat))
-    rare = scored.select("row", F.inline("rare")).join(words.filter(F.col("n") <= least), "word")
+    rare = scored.select("row", F.inline("rare")).join(words.filter(others), "word")
     rest = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(0.5))).alias("gain"))
     far = scores.filter(~is_common).select("gram", "log10")
     deep = scored.select("row", F.inline("grams")).join(far, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("far"))

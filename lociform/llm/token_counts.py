@@ -5,9 +5,9 @@ a word start: a text's count is the sum over its pre-tokens (a run of spaces wit
 
 1. Tasks count their pre-tokens, Spark adds them up: a table with a row for each distinct pre-token of the corpus.
 2. The library splits each of these once; the table keeps the number of pieces, no ids.
-3. Each document's pre-token frequencies are joined to the table and summed. The `common` most frequent pre-tokens travel
-   with the tasks, which sum them where the text is; the others are listed by document and joined by a shuffle. None of them
-   is frequent, so no key of that join is hot.
+3. Each document's pre-token frequencies are joined to the table and summed. The `common` most frequent pre-tokens, as far as they
+   have no more than `common_bytes`, travel with the tasks, which sum them where the text is; the others are listed by document and
+   joined by a shuffle. A frequent long pre-token may make a hot key there, of as many rows as documents hold it: Spark splits those.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows and null keys are counted one by one; very long
 texts are counted whole; a count of just `limit` is not over it; extra columns of any name take no part; an empty table
@@ -74,12 +74,12 @@ def counted(pieces: DataFrame, model_file: str) -> DataFrame:
     return pieces.mapInArrow(split, "piece string, n long, tokens long")
 
 
-def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", limit: int = 4096, common: int = 1_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text", limit: int = 4096, common: int = 1_000_000, common_bytes: int = 64) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
     body = F.col(f"`{text}`").cast("string")
     vocabulary = written(counted(distinct_pre_tokens(docs.select(body)), model_file))
-    is_common = most_frequent(vocabulary, common)
-    near = vocabulary.filter(is_common).select("piece", "tokens").toArrow()  # `common` rows at most
+    is_common = (F.octet_length("piece") <= common_bytes) & most_frequent(vocabulary, common)
+    near = vocabulary.filter(is_common).select("piece", "tokens").toArrow()  # `common` rows of `common_bytes` at most
     sent = docs.sparkSession.sparkContext.broadcast((near.column("piece").to_pylist(), near.column("tokens").to_pylist()))
 
     def score(batches: Iterator[list]) -> Iterator[tuple]:

@@ -74,8 +74,8 @@ def test_tokens_equal_the_library(spark):
     coder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for docs in (awkward(spark), table(spark, SF, "documents")):
         want = {r["doc_id"]: len(coder.encode(r["text"] or "")) for r in docs.select("doc_id", "text").collect()}
-        for common in (1_000_000, 50, 0):  # all pre-tokens where the text is, some, none
-            got = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), common=common).collect()
+        for common, most_bytes in ((1_000_000, 64), (50, 64), (1_000_000, 3), (0, 64)):  # all pre-tokens where the text is, some, short ones, none
+            got = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), common=common, common_bytes=most_bytes).collect()
             assert len(got) == docs.count() and all(r["n_tokens"] == want[r["doc_id"]] for r in got)
 
 
@@ -530,3 +530,23 @@ def test_hubs_and_common_keys_are_broadcast(spark):
         root[y] = x
     got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_long_words_do_not_travel_with_the_tasks(spark, monkeypatch):
+    """Words and pre-tokens of 100 kB, and frequent ones at that: they are joined, and results stay."""
+    from pyspark import SparkContext
+
+    long = ["".join(chr(97 + (i * k) % 26) for k in range(100_000)) for i in range(1, 12)]
+    rows = [(i, " ".join([long[i % 11], long[0], "and some short words", long[0]])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sizes.append(sum(len(x) for part in value if isinstance(part, (list, dict)) for x in part if isinstance(x, (str, bytes)))), send(self, value))[1])
+    import sentencepiece
+
+    coder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got == {i: len(coder.encode(t)) for i, t in rows}
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    here, there = ({r["doc_id"]: tuple(r)[1:] for r in L.lm_score(docs, common_bytes=b).select(columns).collect()} for b in (64, 1_000_000))
+    assert all(here[k] == pytest.approx(there[k]) and here[k][1] > 0 for k in here)
+    assert sizes[0] < 1_000 and len(sizes) == 3 and sizes[1] < 1_000 < sizes[2]
