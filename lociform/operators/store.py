@@ -79,6 +79,24 @@ class VariantStore:
         out.header, out.by_locus, out.by_id = header, spark.read.parquet(f"{folder}/locus"), spark.read.parquet(f"{folder}/id")
         return out
 
+    def save_tables(self, name: str, buckets: int = 64, folder: str | None = None) -> VariantStore:
+        """Write both views as tables of the catalog (below folder, or in the warehouse), in buckets of their key, and return a store that reads them.
+
+        A bulk lookup then shuffles its keys to the buckets and leaves the store where it is; a lookup of one key reads one bucket, and
+        of that only row groups whose Bloom filter of IDs, or range of positions, may hold it.
+        """
+        for view, part, keys in ((self.by_locus, "locus", ["chrom", "pos"]), (self.by_id, "id", ["id"])):
+            blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in keys if k == "id"}
+            where = {"path": f"{folder}/{part}"} if folder else {}
+            view.repartition(buckets, *keys).write.options(**blooms, **where).bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(f"{name}_{part}")
+        return VariantStore.open_tables(self.by_locus.sparkSession, self.header, name)
+
+    @classmethod
+    def open_tables(cls, spark: SparkSession, header: Header, name: str) -> VariantStore:
+        out = cls.__new__(cls)
+        out.header, out.by_locus, out.by_id = header, spark.table(f"{name}_locus"), spark.table(f"{name}_id")
+        return out
+
     def positions(self) -> DataFrame:
         return self.by_locus
 

@@ -9,16 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.header import Header
+from .records import RecordFunction, each_record
 from .writer import PLACE, guarded_columns, save_lines, write_vcf
 
 
 @dataclass(frozen=True)
 class Transformation:
-    """header: an edit of the header. rows: an edit of the records. keep: which records go to this output (null: all)."""
+    """header: an edit of the header. rows: an edit of the records. keep: which records go to this output (null: all).
+
+    each: Python code that sees single records after `rows`, edits them, and keeps them from this output by returning False; see
+    `records.each_record`.
+    """
 
     header: Callable[[Header], Header] = lambda h: h
     rows: Callable[[DataFrame], DataFrame] = lambda df: df
     keep: Column | None = None
+    each: RecordFunction | None = None
+
+    def applied(self, k: int, header: Header, records: DataFrame) -> tuple[Header, DataFrame, Column | None]:
+        """The header and all records after this step, the k-th, and which of them go to its output."""
+        header, records, keep = self.header(header), self.rows(records), self.keep
+        if self.each is not None:
+            records = each_record(records, header, self.each, flag=f"kept__{k}")
+            keep = F.col(f"kept__{k}") if keep is None else keep & F.col(f"kept__{k}")
+        return header, records, keep
 
 
 def chain(header: Header, records: DataFrame, steps: list[Transformation]) -> list[tuple[Header, DataFrame]]:
@@ -26,9 +40,9 @@ def chain(header: Header, records: DataFrame, steps: list[Transformation]) -> li
     if not steps:
         raise ValueError("at least one transformation is needed")
     out = []
-    for step in steps:
-        header, records = step.header(header), step.rows(records)
-        out.append((header, records if step.keep is None else records.filter(step.keep)))
+    for k, step in enumerate(steps):
+        header, records, keep = step.applied(k, header, records)
+        out.append((header, records if keep is None else records.filter(keep)))
     return out
 
 
@@ -58,7 +72,7 @@ def fan_out(header: Header, records: DataFrame, steps: list[Transformation], che
         raise ValueError("at least one transformation is needed")
     headers, made, records = [], [], _evaluated(records)
     for k, step in enumerate(steps):
-        header, records = step.header(header), step.rows(records)
+        header, records, keep = step.applied(k, header, records)
         if not set(made) <= set(records.columns):
             raise ValueError(f"step {k} drops columns that it does not know: use chain")
         records = _evaluated(records)
@@ -66,7 +80,7 @@ def fan_out(header: Header, records: DataFrame, steps: list[Transformation], che
         own = guarded_columns(records, header, check)
         line = F.struct(F.lit(k).alias("output"), *place, own["guard"].alias("guard"), own["value"].alias("value"))
         made.append(f"output__{k}")
-        records = records.withColumn(made[-1], line if step.keep is None else F.when(step.keep, line))
+        records = records.withColumn(made[-1], line if keep is None else F.when(keep, line))
         headers.append(header)
     outputs = records.select(F.explode(F.array_compact(F.array(*made))).alias("o"))
     return headers, outputs.select("o.*")

@@ -17,7 +17,7 @@ import json
 import operator
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -89,8 +89,13 @@ class VariantReader(D.DataSourceReader):
         return all(value is not None and _COMPARE[kind](value, other) for n, kind, other in self.filters if n == name)
 
     def partitions(self) -> list[Range]:
+        return self._ranges(lambda file: True) or [Range("", 0, 0, 0, 0, 0)]
+
+    def _ranges(self, wanted: Callable[[str], bool]) -> list[Range]:
         out, columns = [], None
         for file, size in listed(self.path):
+            if not wanted(file):
+                continue
             lines, first = header_lines_of(file)
             try:
                 head = parse_header(lines)
@@ -102,7 +107,7 @@ class VariantReader(D.DataSourceReader):
             if self._passes("file", file):
                 starts = range(first, max(size, first + 1), self.split)
                 out += [Range(file, first, s, min(s + self.split, size), head.lines, len(columns)) for s in starts]
-        return out or [Range("", 0, 0, 0, 0, 0)]
+        return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.file:
@@ -169,6 +174,22 @@ def _text(values: list) -> pa.Array:
         return pa.array([v if v is None else v.decode(errors="replace") for v in values], pa.string())
 
 
+class VariantStreamReader(VariantReader, D.DataSourceStreamReader):
+    """Files of a folder as they come, each whole, in the order of their names: a later file must have a later name."""
+
+    def initialOffset(self) -> dict:
+        return {"last": ""}
+
+    def latestOffset(self) -> dict:
+        return {"last": max((file for file, _ in listed(self.path)), default="")}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        return [r for r in self._ranges(lambda file: start["last"] < file <= end["last"]) if r.file]
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 @dataclass
 class Written(D.WriterCommitMessage):
     """What a task has written: (output, partition, temporary file), how many lines, and the least bad place (file, line number, code)."""
@@ -291,6 +312,9 @@ class VariantSource(D.DataSource):
     def reader(self, schema: StructType) -> VariantReader:
         return VariantReader(schema, self.options)
 
+    def streamReader(self, schema: StructType) -> VariantStreamReader:
+        return VariantStreamReader(schema, {"splitBytes": str(1 << 62), **self.options})  # a file is a range: its lines have their numbers
+
     def writer(self, schema: StructType, overwrite: bool) -> VariantWriter:
         return VariantWriter(self.options, overwrite)
 

@@ -105,7 +105,7 @@ class Header:
 
     def contig_length(self, id_: str) -> int:
         got = (self.entry("contig", id_) or {}).get("length", "")
-        if not re.fullmatch(r"[+-]?\d+", got):
+        if not re.fullmatch(r"[+-]?[0-9]+", got):
             raise FormatError(f"Contig {id_} has no numeric length")
         return int(got)
 
@@ -154,8 +154,25 @@ class Header:
             raise FormatError("pedigreeDB must be within angle brackets")
         return replace(self, raw=(*self.raw, (no_line_end(key), no_line_end(value))))
 
+    def without_raw(self, key: str, value: str | None = None) -> Header:
+        """A header without this value of the key, or without the key."""
+        return replace(self, raw=tuple((k, v) for k, v in self.raw if k != key or value not in (None, v)))
+
+    def with_pedigree(self, properties: dict[str, str]) -> Header:
+        """A header with one more PEDIGREE entry; they need no ID, and equal ones may stand beside each other."""
+        for k, v in properties.items():
+            no_line_end(k), no_line_end(v)
+        return replace(self, pedigree=(*self.pedigree, dict(properties)))
+
+    def without_pedigree(self, properties: dict[str, str]) -> Header:
+        """A header without the first PEDIGREE entry that has just these properties."""
+        if properties not in self.pedigree:
+            return self
+        at = self.pedigree.index(properties)
+        return replace(self, pedigree=self.pedigree[:at] + self.pedigree[at + 1 :])
+
     def with_file_format(self, text: str) -> Header:
-        if not re.match(G.FILE_FORMAT.replace(r"\z", r"\Z"), text):
+        if not re.match(G.FILE_FORMAT.replace(r"\z", r"\Z"), text, re.ASCII):
             raise FormatError(f"Not a supported file format: {text}")
         return replace(self, file_format=text)
 
@@ -178,7 +195,7 @@ def entry_warnings(section: str, props: dict[str, str]) -> list[str]:
     """What is odd about an entry, as codes."""
     out = [] if "ID" in props else ["ID_MISSING"]
     if section in _TYPES:
-        if not re.fullmatch(r"\d+|[ARG.]", props.get("Number", "")):
+        if not re.fullmatch(r"[0-9]+|[ARG.]", props.get("Number", "")):
             out.append("NUMBER_INVALID")
         if props.get("Type") not in _TYPES[section]:
             out.append("TYPE_INVALID")
@@ -186,7 +203,7 @@ def entry_warnings(section: str, props: dict[str, str]) -> list[str]:
             out.append("FLAG_NUMBER")
     if section == "contig":
         out += [] if "assembly" in props else ["ASSEMBLY_MISSING"]
-        out += [] if re.fullmatch(r"[+-]?\d+", props.get("length", "")) else ["LENGTH_INVALID"]
+        out += [] if re.fullmatch(r"[+-]?[0-9]+", props.get("length", "")) else ["LENGTH_INVALID"]
     elif section != "PEDIGREE" and not re.fullmatch('".*"', props.get("Description", ""), re.DOTALL):
         out.append("DESCRIPTION_UNQUOTED")
     if section == "INFO":
