@@ -87,9 +87,9 @@ def _on_records(result: Callable[[], Column]) -> Callable[[DataFrame], DataFrame
     return lambda rows: from_lines(rows.select("value"), B.header()).select(result().cast("string").alias("result"))
 
 
-def _line(pos: str = _s(O), ref: str = "'A'", alt: str = "'C'", qual: str = "'9.5'", filters: str = "'PASS'", info: str = "'DP=1'", keys: str = "'GT:DP'", s1: str = "'0/1:3'", s2: str = "'0/0:4'") -> str:
+def _line(pos: str = _s(O), ids: str = "'.'", ref: str = "'A'", alt: str = "'C'", qual: str = "'9.5'", filters: str = "'PASS'", info: str = "'DP=1'", keys: str = "'GT:DP'", s1: str = "'0/1:3'", s2: str = "'0/0:4'") -> str:
     tab = "chr(9)"
-    fields = ("'chr1'", pos, "'.'", ref, alt, qual, filters, info, keys, s1, s2)
+    fields = ("'chr1'", pos, ids, ref, alt, qual, filters, info, keys, s1, s2)
     return _cat(*[x for f in fields for x in (tab, f)][1:])
 
 

@@ -17,6 +17,7 @@ from ..operators import store, transform, views, writer
 from ..sources.header import FormatError, entry_warnings, quote, split_properties, unquote
 from ..sources.scan import from_lines
 from . import bridge as B
+from . import columns
 from .derived import DERIVED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,13 +375,26 @@ TABLE_QUERIES: dict[str, tuple[Query, str]] = {
     "transform_chain_out1": (transform_chain_out1, _EDITED.format(_orders_line("o_custkey + 10", "concat('DP=', o_orderkey % 97, ';DB')"), "where o_orderkey % 2 = 0")),
     "transform_chain_out2": (transform_chain_out2, _EDITED.format(_orders_line("(o_custkey + 10) * 2", "'DB'"), "")),
     "roundtrip_identity": (roundtrip_identity, _EDITED.format(B.ORDERS_LINE, "")),
+    "sql_functions_of_columns": (
+        columns.sql_functions_of_columns,
+        "select concat('chr', l_suppkey % 5 + 1) as chrom, case l_partkey % 4 when 0 then 'PASSED' when 2 then 'NONE' else 'FAILED' end as status, count(*) as n, cast(sum(cast(l_quantity as int)) as bigint) as depth, cast(sum(case when l_linenumber % 2 = 0 then 1 else 0 end) as bigint) as flagged, cast(sum(case when l_partkey % 5 = 1 then 1 else 0 end) as bigint) as called from lineitem group by 1, 2",
+    ),
+    "dedupe_over_files": (
+        columns.dedupe_over_files,
+        "select concat('chr', o_custkey % 5 + 1) as chrom, o_custkey as pos, file, line_no from (select o_custkey, concat('f', o_orderkey % 3) as file, o_orderkey // 3 as line_no, row_number() over (partition by o_custkey order by o_orderkey % 3, o_orderkey // 3) as place from orders) where place = 1",
+    ),
+    "user_code_of_columns": (columns.user_code_of_columns, "select o_orderkey as line_no, 2 * o_custkey + case when o_orderkey % 2 = 0 then 2 else 1 end as pos from orders where o_orderkey % 3 <> 0"),
+    "fan_out_lines": (
+        columns.fan_out_lines,
+        "select 0 as output, line_no, value from (" + _EDITED.format(_orders_line("o_custkey + 10", "concat('DP=', o_orderkey % 97, ';DB')"), "where o_orderkey % 2 = 0") + ") union all select 1, line_no, value from (" + _EDITED.format(_orders_line("(o_custkey + 10) * 2", "'DB'"), "") + ")",
+    ),
     "sample_edit": (sample_edit, _EDITED.format(B.ORDERS_LINE.split("'GT:DP'")[0] + "'GT:GQ', chr(9), case when o_orderkey % 2 = 0 then '0|1' else '1/1' end, ':.', chr(9), '0/0:50')", "")),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {k: c.query for k, c in (CASES | DERIVED).items()} | {k: q for k, (q, _) in TABLE_QUERIES.items()}
+    return {k: c.query for k, c in (CASES | DERIVED | columns.COLUMNS).items()} | {k: q for k, (q, _) in TABLE_QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: c.sql() for k, c in (CASES | DERIVED).items()} | {k: s for k, (_, s) in TABLE_QUERIES.items()}
+    return {k: c.sql() for k, c in (CASES | DERIVED | columns.COLUMNS).items()} | {k: s for k, (_, s) in TABLE_QUERIES.items()}
