@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.header import Header
 from .records import RecordFunction, each_record
-from .writer import PLACE, guarded_columns, save_lines, write_vcf
+from .writer import PLACE, save_lines, with_lines, write_vcf
 
 
 @dataclass(frozen=True)
@@ -77,10 +77,10 @@ def fan_out(header: Header, records: DataFrame, steps: list[Transformation], che
             raise ValueError(f"step {k} drops columns that it does not know: use chain")
         records = _evaluated(records)
         place = [c for c in PLACE if c in records.columns]
-        own = guarded_columns(records, header, check)
-        line = F.struct(F.lit(k).alias("output"), *place, own["guard"].alias("guard"), own["value"].alias("value"))
         made.append(f"output__{k}")
-        records = records.withColumn(made[-1], line if keep is None else F.when(keep, line))
+        guard, value = f"guard__{k}", f"value__{k}"
+        line = F.struct(F.lit(k).alias("output"), *place, F.col(guard).alias("guard"), F.col(value).alias("value"))
+        records = with_lines(records, header, check, guard, value).withColumn(made[-1], line if keep is None else F.when(keep, line)).drop(guard, value)
         headers.append(header)
     outputs = records.select(F.explode(F.array_compact(F.array(*made))).alias("o"))
     return headers, outputs.select("o.*")

@@ -35,13 +35,14 @@ def line(n_samples: int) -> Column:
     return F.when(F.size("format") > 0, F.concat(head, F.lit("\t"), F.array_join("format", ":"), F.lit("\t"), F.array_join(samples, "\t"))).otherwise(head)
 
 
-def write_guard(n_samples: int, error: bool = True) -> Column:
+def write_guard(n_samples: int, error: bool = True, text: Column | None = None) -> Column:
     """Code of what forbids to write a record; null if nothing does.
 
     The record's own `error` comes first (error: rows have that column), so a line that PERMISSIVE mode has kept is never
     written; who mends such a record sets `error` to null. QUAL and INFO are read here, so what is malformed in them
-    shows, as it does in any other reading.
+    shows, as it does in any other reading. text: the record's line, if there is a column of it already.
     """
+    text = line(n_samples) if text is None else text
     own = [F.col("error")] if error else []
     found = (
         F.when(F.col("chrom").isNull(), "CHROM_EMPTY").when(F.col("pos").isNull(), "POS_EMPTY")
@@ -51,7 +52,7 @@ def write_guard(n_samples: int, error: bool = True) -> Column:
         .when(F.col("info_raw").rlike(r"\s"), info_error(info(F.col("info_raw"))))
     )
     # One `when` may end without a code (INFO with whitespace that it drops), so the last check stands on its own.
-    return F.coalesce(*own, found, F.when(line(n_samples).rlike("[\n\r]"), "LINE_TERMINATOR"), F.when(line(n_samples).isNull(), "FIELD_NULL"))
+    return F.coalesce(*own, found, F.when(text.isNull(), "FIELD_NULL").when(text.rlike("[\n\r]"), "LINE_TERMINATOR"))
 
 
 def invalid() -> Column:
@@ -151,14 +152,15 @@ def sample_format_warnings(header: Header) -> Column:
 PLACE = ("file", "line_no")
 
 
-def guarded_columns(rows: DataFrame, header: Header, check: bool = False) -> dict[str, Column]:
-    """guard: what forbids to write a record of rows, or null; value: its line, or null."""
+def with_lines(rows: DataFrame, header: Header, check: bool = False, guard: str = "guard", value: str = "value") -> DataFrame:
+    """rows with two more columns: what forbids to write a record, or null, and its line, or null. The line is made once for both."""
     n = len(header.samples)
-    guard = write_guard(n, "error" in rows.columns)
+    found = write_guard(n, "error" in rows.columns, F.col(f"`{value}`"))
     if check:
         validate_header(header)
-        guard = F.coalesce(F.concat(F.lit("invalid "), invalid()), guard)
-    return {"guard": guard, "value": F.when(guard.isNull(), line(n))}
+        found = F.coalesce(F.concat(F.lit("invalid "), invalid()), found)
+    made = rows.withColumn(value, line(n)).withColumn(guard, found)
+    return made.withColumn(value, F.when(F.col(f"`{guard}`").isNull(), F.col(f"`{value}`")))
 
 
 def guarded(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
@@ -166,8 +168,7 @@ def guarded(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
 
     check: also validate header and rows.
     """
-    made = rows.withColumns(guarded_columns(rows, header, check))
-    return made.select(*[c for c in PLACE if c in rows.columns], "guard", "value")
+    return with_lines(rows, header, check).select(*[c for c in PLACE if c in rows.columns], "guard", "value")
 
 
 def render(rows: DataFrame, header: Header, check: bool = False) -> DataFrame:
