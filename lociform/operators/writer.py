@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +74,18 @@ def validate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("invalid", invalid())
 
 
-def _type_of(header: Header, section: str, key: Column, prop: str) -> Column:
-    known = [x for i, p in header.entries[section].items() if i is not None and p.get(prop) is not None for x in (F.lit(i), F.lit(p[prop]))]
-    return F.create_map(*known)[key] if known else F.lit(None).cast("string")
+def declarations(header: Header, section: str) -> Callable[[Column], Column]:
+    """What a header declares in a section, by ID: a struct of kind and number; null for an ID that it does not declare.
 
-
-def _declared(header: Header, section: str) -> list[str]:
-    return [i for i in header.entries[section] if i is not None]
+    One constant, whatever the number of entries: buckets by a hash of the ID, so that a lookup reads an entry or two. A header of
+    many thousand entries makes a plan no larger and a lookup no slower than one of a few.
+    """
+    known = {i: p for i, p in header.entries[section].items() if i is not None}
+    buckets: list[dict] = [{} for _ in range(max(1, len(known)))]
+    for i, props in known.items():
+        buckets[zlib.crc32(i.encode()) % len(buckets)][i] = {"kind": props.get("Type"), "number": props.get("Number")}
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string, struct<kind: string, number: string>>>")
+    return lambda key: F.get(table, F.pmod(F.crc32(key), F.lit(len(buckets))).cast("int"))[key]
 
 
 def _fits(value: Column, kind: Column) -> Column:
@@ -90,12 +97,12 @@ def _fits(value: Column, kind: Column) -> Column:
 
 def content_warnings(header: Header) -> Column:
     """Codes `WHAT:key` of undeclared keys and of values that do not fit what the header declares."""
-    undeclared = lambda keys, section, code: F.transform(F.filter(keys, lambda k: ~k.isin(_declared(header, section))), lambda k: F.concat(F.lit(code), k))
+    of = {section: declarations(header, section) for section in ("FILTER", "INFO", "FORMAT")}
+    undeclared = lambda keys, section, code: F.transform(F.filter(keys, lambda k: of[section](k).isNull()), lambda k: F.concat(F.lit(code), k))
     keys = F.transform("info", lambda e: e["key"])
 
     def misfit(e: Column) -> Column:
-        declared = F.struct(_type_of(header, "INFO", e["key"], "Type").alias("kind"), _type_of(header, "INFO", e["key"], "Number").alias("number"))
-        return let(declared, lambda d: odd(e, d["kind"], d["number"]))
+        return let(of["INFO"](e["key"]), lambda d: odd(e, d["kind"], d["number"]))
 
     def odd(e: Column, kind: Column, number: Column) -> Column:
         want = expected_values(number, F.size("alts"), F.lit(2))
@@ -133,7 +140,8 @@ def sample_format_warnings(header: Header) -> Column:
     """For each sample the codes of its values' oddities, joined by commas: also values that are missing or too many, and a GT that names no allele."""
     n_alts = F.size("alts")
     # What the header declares about each FORMAT key: looked up once a record, not once a value.
-    declared = F.transform("format", lambda k: F.struct(k.alias("key"), _type_of(header, "FORMAT", k, "Type").alias("kind"), _type_of(header, "FORMAT", k, "Number").alias("number")))
+    of = declarations(header, "FORMAT")
+    declared = F.transform("format", lambda k: let(of(k), lambda d: F.struct(k.alias("key"), d["kind"].alias("kind"), d["number"].alias("number"))))
 
     def of_sample(s: Column, gt: Column, keys: Column) -> Column:
         def of_value(v: Column, d: Column) -> Column:
@@ -142,7 +150,7 @@ def sample_format_warnings(header: Header) -> Column:
 
         known = (n_alts > 0) & gt.rlike(_FIRST_TWO)
         whole = F.array(F.when(F.size(s) > F.size("format"), "SAMPLE_EXTRA"), F.when(~F.when(known, True).otherwise(gt_index_ok(gt, F.col("alts"))), "GT_INDEX"))
-        return F.array_join(F.array_compact(F.concat(F.zip_with(s, keys, of_value), whole)), ",")
+        return F.array_join(F.concat(F.zip_with(s, keys, of_value), whole), ",")  # nulls are left out
 
     gt = lambda s: F.struct(sample_property(s, F.col("format"), "GT").alias("gt"))
     return let(declared, lambda keys: F.transform("samples", lambda s: let(gt(s), lambda g: of_sample(s, g["gt"], keys))))

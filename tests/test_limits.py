@@ -68,3 +68,20 @@ def test_decimals_at_their_limits(spark):
     assert got["1e2147483647"]["text"] == "1E+2147483647" and got["1e0000000000000000000001"]["text"] == "1E+1" and got["10.5e-2147483646"]["text"] == "1.05E-2147483645" and got["-1.e-7"]["text"] == "-1E-7"
     guard = records(spark, GOOD.replace("9.5", "1e99999999999"), GOOD.replace("9.5", "1e400")).select(writer.write_guard(2).alias("g"), "qual").collect()
     assert [r["g"] for r in guard] == ["QUAL_NUMBER", None] and guard[0]["qual"] is None and guard[1]["qual"] == float("inf")  # a double's limit; the text is kept
+
+
+def test_a_header_of_very_many_declarations(spark):
+    """Plans and lookups do not grow with the header, and codes are those of a small one."""
+    import time
+
+    more = [f'##INFO=<ID=K{i},Number={i % 3},Type={"Integer" if i % 2 else "String"},Description="d">' for i in range(20_000)]
+    first, *rest = HEADER_TEXT.split("\n")
+    from lociform.sources.header import parse_header
+
+    head = parse_header([first, *more, *rest])
+    lines = [GOOD.replace("DP=1", x) for x in ("DP=1;K7=5;K8=a,b", "DP=x;K7=y;NONE=1", "K19999=1,2;K20000=1;AF=1,2", "DB=1;K3")]
+    rows = from_lines(spark.createDataFrame([(x, i) for i, x in enumerate(lines * 2_500, 1)], "value string, line_no long"), head)
+    began = time.time()
+    got = rows.select((F.col("line_no") % 4).alias("k"), F.array_join(writer.content_warnings(head), " ").alias("w"), F.array_join(writer.sample_format_warnings(head), "|").alias("s")).distinct().collect()
+    assert {r["k"]: r["w"] for r in got} == {1: "", 2: "INFO_UNDECLARED:NONE INFO_TYPE:DP INFO_TYPE:K7", 3: "INFO_UNDECLARED:K20000 INFO_COUNT:K19999 INFO_COUNT:AF", 0: "INFO_FLAG_VALUE:DB INFO_EMPTY:K3"}
+    assert {r["s"] for r in got} == {"|"} and time.time() - began < 60
