@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from ..functions import alleles as A
 from ..functions import genotypes as N
 from ..functions import typed as T
 from ..functions.sql import register_functions
+from ..functions.variant import info_variant, variant_info
 from ..operators import records, store, transform, writer
 from ..sources.header import entry_warnings, split_properties
 from ..sources.scan import from_lines
 from . import bridge as B
-from .derived import _A, _B, _SEP, Derived, L, O, P, Q, S, _cat, _in_tasks, _line, _on_records, _pick, _s
+from .derived import _A, _B, _SEP, DERIVED, Derived, L, O, P, Q, S, _cat, _in_tasks, _line, _on_records, _pick, _s
 
 
 def _warned(text: str) -> str:
@@ -118,6 +121,17 @@ COLUMNS: dict[str, Derived] = {
 }
 
 
+def _by_variant(rows: DataFrame) -> DataFrame:
+    """Five reserved keys of INFO, which is a VARIANT column first."""
+    v, text = F.col("v"), lambda xs: F.array_join(xs.cast("array<string>"), "+", "NULL")
+    got = lambda key: variant_info(v, key)
+    shown = F.concat_ws(" ", text(got("SVLEN")), got("END").cast("string"), text(got("MATEID")), F.coalesce(got("DB"), F.lit(False)).cast("string"), text(got("CNADJ")))
+    return rows.select(info_variant(F.col("value")).alias("v")).select(shown.alias("result"))
+
+
+COLUMNS["reserved_info_by_variant"] = replace(DERIVED["reserved_info_of_columns"], apply=None, on_lines=_by_variant)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_lines(B.orders_lines(spark, sf_dir), B.header())
 

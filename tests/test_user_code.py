@@ -159,3 +159,17 @@ def test_allele_grammar():
     bad = ["", "G]chr17:198982]", "R", "A\n", "<a b>", "<a,b>", "A[1:2", "A[1:2]", "..", ".A.", "A*", "**", "G[1:[", "A[1[A[1[", "<>", "[1[A]", "A-", "]1]A.."]
     assert [a for a in good if not pattern.match(a)] == [] and [a for a in bad if pattern.match(a)] == []
     assert not any(pattern.match(a) for a in ("G[٣:1[",))
+
+
+def test_info_as_a_variant(spark):
+    from lociform.functions import reserved
+    from lociform.functions.grammar import RESERVED_INFO
+    from lociform.functions.variant import info_variant, variant_info, variant_text
+
+    texts = [".", "DB", "DP=3;DB;AF=0.1,0.2", "DP=1;DP=2", "DP=;AN=1", "A=b=c;SVLEN=-5,,7", ";DP=4;", "=1;DP=5", 'AA="x\\y";1000G', "AN=1,2;DB;DB", "SVLEN=x;END=9223372036854775808", "AA=a\x01b", "MATEID=a,b;H2", "DP=.", "AF=,"]
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string").select("raw", info_variant(F.col("raw")).alias("v"))
+    for key in RESERVED_INFO:
+        same = variant_info(F.col("v"), key).eqNullSafe(reserved.info(record.info(F.col("raw")), key, strict=False))
+        assert rows.filter(~same).collect() == [], key
+    assert rows.filter(~variant_text(F.col("v"), "A").eqNullSafe(record.info_text(record.info(F.col("raw")), "A"))).count() == 0
+    assert rows.select(variant_info(F.col("v"), "DP", "Integer", True).alias("d")).filter("raw = 'DP=1;DP=2'").first()["d"] == [1, 2]
