@@ -65,13 +65,13 @@ class Coder:
         if self.size > _REMEMBERED:
             self.known, self.wrong, self.size = {}, set(), 0
         cut = [self.parts(t) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in self.known})
+        new = list(set().union(*cut).difference(self.known))
         for p, ids in zip(new, self.encode(new), strict=True):
             self.known[p] = array("i", ids).tobytes()
             if b"".join(map(self.pieces.__getitem__, ids)) != b" " + p.encode():
                 self.wrong.add(p)
         self.size += sum(map(len, new))
-        good = [self.faithful(t) and self.wrong.isdisjoint(ps) for t, ps in zip(texts, cut, strict=True)]
+        good = [self.faithful(t) and (not self.wrong or self.wrong.isdisjoint(ps)) for t, ps in zip(texts, cut, strict=True)]
         return [b"".join(map(self.known.__getitem__, ps)) if ok else None for ps, ok in zip(cut, good, strict=True)]
 
 
