@@ -1,6 +1,6 @@
 """Variant text as a data source of Spark: `spark.read.format("vcf")` and `df.write.format("vcf")`, in batch and on streams.
 
-Reading. The planner lists the files, reads each header once from the file's first bytes and cuts the rest into ranges of bytes; a
+Reading. The planner (or `read_vcf` for it, by the option `files`) lists the files, reads each header once from the file's first bytes and cuts the rest into ranges of bytes; a
 task reads the lines that begin in its range. A schema names the columns that are wanted (SCHEMA has them all), and no other is
 made. With the option `pushFilters`, filters on `file`, `chrom` and `pos` are pushed down: files are left out when planning, lines
 before they are taken apart. Spark keeps what was pushed for all queries of a loaded DataFrame, so such a one is for one query; that
@@ -54,6 +54,26 @@ def whole_number(text: bytes) -> int | None:
     return value if -(1 << 63) <= value < 1 << 63 else None
 
 
+def survey(path: str, wanted: Callable[[str], bool] = lambda file: True) -> tuple[Header | None, list[tuple[str, int, int, int, int]]]:
+    """The first file's header, and of each file: path, size, where its records begin, lines of its header, and columns.
+
+    Each header is read once, from the file's first bytes, and checked; all must have the same columns.
+    """
+    first, out = None, []
+    files = [(file, size) for file, size in listed(path) if wanted(file)]
+    for file, size in files:
+        lines, at = header_lines_of(file)
+        try:
+            head = parse_header(lines)
+        except FormatError as e:
+            raise e if len(files) == 1 else FormatError(f"{file}: {e}") from None
+        if first is not None and head.columns != first.columns:
+            raise FormatError("The files have different columns")
+        first = first or head
+        out.append((file, size, at, head.lines, len(head.columns)))
+    return first, out
+
+
 @dataclass
 class Range(D.InputPartition):
     """Bytes of a file: `first` is where its records begin, `header` how many lines are before that."""
@@ -72,6 +92,7 @@ class VariantReader(D.DataSourceReader):
         self.fields = pa.schema([pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
         self.path, self.split = options["path"], int(options.get("splitBytes", 128 << 20))
         self.rsids_only, self.pushes = (options.get(x, "false").lower() == "true" for x in ("rsidsOnly", "pushFilters"))
+        self.surveyed = json.loads(options["files"]) if "files" in options else None
         self.filters: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
@@ -92,22 +113,9 @@ class VariantReader(D.DataSourceReader):
         return self._ranges(lambda file: True) or [Range("", 0, 0, 0, 0, 0)]
 
     def _ranges(self, wanted: Callable[[str], bool]) -> list[Range]:
-        out, columns = [], None
-        for file, size in listed(self.path):
-            if not wanted(file):
-                continue
-            lines, first = header_lines_of(file)
-            try:
-                head = parse_header(lines)
-            except FormatError as e:
-                raise FormatError(f"{file}: {e}") from None
-            if columns not in (None, head.columns):
-                raise FormatError("The files have different columns")
-            columns = head.columns
-            if self._passes("file", file):
-                starts = range(first, max(size, first + 1), self.split)
-                out += [Range(file, first, s, min(s + self.split, size), head.lines, len(columns)) for s in starts]
-        return out
+        files = self.surveyed if self.surveyed is not None else survey(self.path, wanted)[1]
+        kept = [f for f in files if self._passes("file", f[0])]
+        return [Range(file, first, s, min(s + self.split, size), lines, columns) for file, size, first, lines, columns in kept for s in range(first, max(size, first + 1), self.split)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.file:
@@ -326,9 +334,3 @@ def register(spark: SparkSession) -> None:
     """Make the format known to a session, and let filters reach it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VariantSource)
-
-
-def header_of(path: str) -> Header:
-    """The header of one file, or of the first by name, from its first bytes."""
-    files = listed(path)
-    return parse_header(header_lines_of(files[0][0])[0] if files else [])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -13,7 +14,6 @@ from ..functions import grammar as G
 from ..functions import record as R
 from ..functions import typed as T
 from . import datasource
-from .files import listed
 from .header import FormatError, Header, parse_header
 
 #: What the codes of malformed lines say.
@@ -136,7 +136,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_vcf(spark: SparkSession, path: str, rsids_only: bool = False, mode: str = "FAILFAST", line_numbers: bool = True, split_bytes: int = 128 << 20) -> tuple[Header, DataFrame]:
     """Header and records of uncompressed files: one, a folder or a glob whose name ends in `.vcf`. Text is read once, by the `vcf` data source.
 
-    The planner checks each file's header and cuts the rest to ranges of `split_bytes`; all files must have the same columns, and the
+    Each file's header is read once, from its first bytes, and checked; the rest is cut to ranges of `split_bytes`. All files must have the same columns, and the
     header that is returned is that of the first file by name. Records have their file and line_no; without line_numbers, range
     and nth tell their place. Only where a file has several ranges do line numbers need the lines of each to be counted first.
     rsids_only is pushed into the source. FAILFAST raises at the first bad line that a task meets; `checked` raises at the first one
@@ -144,10 +144,13 @@ def read_vcf(spark: SparkSession, path: str, rsids_only: bool = False, mode: str
     """
     _named(path)
     datasource.register(spark)
-    header = datasource.header_of(path)  # an error of the first file has its own message
-    source = lambda schema: spark.read.format("vcf").schema(schema).option("splitBytes", split_bytes).option("rsidsOnly", rsids_only).load(path)
+    header, files = datasource.survey(path)
+    if header is None:
+        raise FormatError("The file is empty", 0, "metadata")  # a folder without files
+    options = {"splitBytes": split_bytes, "rsidsOnly": rsids_only, "files": json.dumps(files)}
+    source = lambda schema: spark.read.format("vcf").schema(schema).options(**options).load(path)
     lines = source("file string, range long, nth long, line_no long, value string")
-    if line_numbers and any(size > split_bytes for _, size in listed(path)):  # a file of one range has its numbers from the source
+    if line_numbers and any(size - first > split_bytes for _, size, first, _, _ in files):  # a file of one range has its numbers from the source
         ranges = source(datasource.COUNTS)  # a row per range
         before = F.sum("lines").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
         heads = F.first("header").over(Window.partitionBy("file").orderBy("range"))

@@ -81,7 +81,7 @@ def test_writer_reads_quality_and_info(spark):
     rows = from_lines(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, line_no long"), header())
     guards = rows.select(writer.write_guard(2).alias("g"), "line_no").orderBy("line_no").collect()
     assert [r["g"] for r in guards] == ["QUAL_NUMBER", "INFO_CHARACTER", None, None]
-    with pytest.raises(Exception, match="QUAL_NUMBER"):
+    with pytest.raises(Exception, match="QUAL_NUMBER|INFO_CHARACTER"):  # whichever task is first
         writer.render(rows, header()).collect()
 
 
