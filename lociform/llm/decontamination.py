@@ -7,8 +7,10 @@ backwards together through the ranks of a wavelet matrix; occurrences are locate
 suffix positions; their spans are merged per document. No training text is shuffled or collected, and documents are
 scanned once, whatever the benchmark's size is.
 
-The benchmark streams through the driver in blocks of at most `block_words` words (a longer item is a block of its own),
-one at a time; each is broadcast, and a task holds one block at a time too and merges the blocks' spans where the document is.
+The benchmark's items are dealt to blocks of about `block_words` words by a hash (a longer item makes its block longer); a task works out a
+block's distinct windows, which become a row of a table. A benchmark of one block, whose size is thus known, is broadcast. The blocks of a larger
+one stay in files of the shared folder: the driver sees their names alone, and a task reads them one after the other for each of its batches,
+holds one at a time and merges the blocks' spans where the document is. They are opened with pyarrow (local, hdfs, s3, gs, abfs).
 
 Defined cases: a null or wordless text has no words, no hits and the digest of no items; benchmark rows
 with a null item_id or without words are ignored; items with equal text or repeated ids count once per id;
@@ -22,11 +24,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_text
+from .common import arrow_fields, map_text, written
 
 WINDOW = 13
 #: Bytes that separate words become spaces; A-Z become a-z. Bytes from 0x80 are parts of words.
@@ -115,30 +121,45 @@ class FMIndex:
         return out
 
 
+BLOCK = "words array<binary>, names array<string>, lengths array<int>, patterns array<int>, holding array<int>, holders array<int>"
+
+
+def windows_of(items: list[tuple[str, list[bytes]]], size: int = WINDOW) -> list:
+    """The values of BLOCK for some items: their vocabulary and names, and each distinct window's length, words and holders.
+
+    A word's number is its place in the vocabulary plus 2; a window's row of `size` numbers begins with zeros if it is shorter.
+    """
+    vocabulary: dict[bytes, int] = {}
+    holders: dict[tuple[int, ...], set[int]] = {}
+    names = sorted({name for name, _ in items})
+    place = {name: i for i, name in enumerate(names)}
+    for name, words in items:
+        ids = [vocabulary.setdefault(w, len(vocabulary) + 2) for w in words]
+        for a in range(max(1, len(ids) - size + 1)):
+            holders.setdefault(tuple(ids[a : a + size]), set()).add(place[name])
+    rows = np.zeros((len(holders), size), np.int32)
+    for row, w in enumerate(holders):
+        rows[row, size - len(w) :] = w
+    held = [sorted(h) for h in holders.values()]
+    return [list(vocabulary), names, np.array([len(w) for w in holders], np.int32), rows.ravel(), np.array([len(h) for h in held], np.int32), np.array([i for h in held for i in h], np.int32)]
+
+
 class Windows:
-    """The distinct windows of a block of benchmark items over the block's own vocabulary."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[int]] = {}
-        self.names = sorted({name for name, _ in items})
-        place = {name: i for i, name in enumerate(self.names)}
-        for name, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]
-            for a in range(max(1, len(ids) - size + 1)):
-                holders.setdefault(tuple(ids[a : a + size]), set()).add(place[name])
-        self.lengths = np.array([len(w) for w in holders], np.int64)
-        self.patterns = np.zeros((len(holders), size), np.int64)
-        for row, w in enumerate(holders):
-            self.patterns[row, size - len(w) :] = w
-        self.holders = [np.array(sorted(h), np.int64) for h in holders.values()]
-        self.shortest = int(self.lengths.min()) if holders else 0
+    """A block of the benchmark, from a table with a row of BLOCK."""
+
+    def __init__(self, row: pa.Table, size: int = WINDOW):
+        words, self.names = row.column("words")[0].as_py(), row.column("names")[0].as_py()
+        self.vocabulary = {w: i + 2 for i, w in enumerate(words)}
+        lengths, patterns, holding, self.held_by = (row.column(c)[0].values.to_numpy().astype(np.int64) for c in ("lengths", "patterns", "holding", "holders"))
+        self.lengths, self.patterns = lengths, patterns.reshape(-1, size)
+        self.held_at = np.concatenate([[0], np.cumsum(holding)])
+        self.shortest = int(lengths.min())
 
     def spans(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
         """First and end of each occurrence, counted over the words of all docs in a row, and the items of each doc."""
         none, found = np.zeros(0, np.int64), [set() for _ in docs]
         total = sum(map(len, docs))
-        if not len(self.lengths) or not total:
+        if not total:
             return none, none, found
         get = self.vocabulary.get
         starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
@@ -168,7 +189,7 @@ class Windows:
         at = index.locate(rows)
         at = from_[at]
         for d, w in set(zip(owner[at].tolist(), which.tolist(), strict=True)):
-            found[d].update(self.holders[w].tolist())
+            found[d].update(self.held_by[self.held_at[w] : self.held_at[w + 1]].tolist())
         return at, at + self.lengths[which], found
 
 
@@ -204,16 +225,27 @@ def merged(hit: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _judge(blocks: list[Broadcast]):
+def _judge(one: Broadcast | None, files: list[str]):
     """Per batch: n_words, hit spans (merged, as flat list of first and end), names of items."""
+    sent: list[Windows] = []
+
+    def blocks() -> Iterator[Windows]:
+        if one is not None:
+            if not sent:
+                sent.append(Windows(one.value))
+            yield sent[0]
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as opened:
+                for row in pq.ParquetFile(opened).iter_batches(batch_size=1):
+                    yield Windows(pa.Table.from_batches([row]))
 
     def score(batches: Iterator[list]) -> Iterator[tuple]:
         for texts in batches:
             docs = [words_of(t) for t in texts]
             starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
             hit, names = np.zeros(starts[-1], bool), [set() for _ in docs]
-            for sent in blocks:
-                block = sent.value
+            for block in blocks():
                 for some in shards(docs):
                     at, end, found = block.spans(docs[some])
                     edge = np.zeros(starts[some.stop] - starts[some.start] + 1, np.int32)
@@ -222,36 +254,58 @@ def _judge(blocks: list[Broadcast]):
                     hit[starts[some.start] : starts[some.stop]] |= np.cumsum(edge)[:-1] > 0
                     for held, more in zip(names[some], found, strict=True):
                         held.update(block.names[i] for i in more)
-                if len(blocks) > 1:  # a broadcast keeps what it has read; with many blocks a task would hold them all
-                    del block
-                    vars(sent).pop("_value", None)
             yield [len(d) for d in docs], merged(hit, starts), [sorted(n) for n in names]
 
     return score
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items with words, block by block; the driver holds one block at a time."""
-    block, held = [], 0
-    item, text = F.col(f"`{item}`"), F.col(f"`{text}`")
-    rows = benchmark.filter(item.isNotNull() & text.isNotNull()).select(item.cast("string"), text.cast("string").cast("binary"))
-    for name, body in rows.toLocalIterator():  # a partition at a time
-        words = words_of(bytes(body))
-        if not words:
-            continue
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((name, words))
-        held += len(words)
-    yield block
+def _items(batches: Iterator[list]) -> Iterator[tuple]:
+    for texts in batches:
+        own = [words_of(t) for t in texts]
+        yield [b" ".join(w) for w in own], [len(w) for w in own]
+
+
+def _building(fields: pa.Schema):
+    """A row of fields, those of BLOCK, for each block of rows (block, name, said) that are sorted by block."""
+
+    def row(items: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(windows_of(items), fields, strict=True)], names=fields.names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, items = None, []
+        for b in batches:
+            for own, name, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != block and items:
+                    yield row(items)
+                    items = []
+                block = own
+                items.append((name, said.split()))
+        if items:
+            yield row(items)
+
+    return build
+
+
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> tuple[DataFrame, int]:
+    """A table with a row of BLOCK for each block of the benchmark that has an item, and the number of blocks."""
+    name = F.col(f"`{item}`")
+    rows = benchmark.filter(name.isNotNull()).select(name.cast("string").alias("name"), F.col(f"`{text}`").cast("string").alias("body"))
+    items = map_text(rows, ["name"], "body", "said binary, n long", _items).filter("n > 0").distinct()
+    parts = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // block_words))
+    dealt = items.select(F.pmod(F.xxhash64("name", "said"), F.lit(parts)).alias("block"), "name", "said")
+    build = _building(arrow_fields(T.StructType.fromDDL(BLOCK)))
+    return written(dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(build, BLOCK)), parts
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """The kept columns of docs with n_words, spans (words first, end, first, end ...) and items (names), a row per row."""
-    send = docs.sparkSession.sparkContext.broadcast
-    blocks = [send(Windows(b)) for b in benchmark_blocks(benchmark, item, item_text, block_words)]
-    return map_text(docs, keep, text, "n_words long, spans array<long>, items array<string>", _judge(blocks))
+    blocks, parts = benchmark_blocks(benchmark, item, item_text, block_words)
+    one, files = None, []
+    if parts > 1:
+        files = sorted(blocks.inputFiles())
+    elif (row := blocks.toArrow()).num_rows:  # one row, of a benchmark of block_words words at most
+        one = docs.sparkSession.sparkContext.broadcast(row)
+    return map_text(docs, keep, text, "n_words long, spans array<long>, items array<string>", _judge(one, files))
 
 
 def hit_words(spans) -> object:

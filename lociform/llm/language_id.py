@@ -2,7 +2,8 @@
 
 Features are TF-IDF weights of character n-grams (one to three code points of the lower-cased text), hashed
 to a fixed number of slots. A multinomial logistic regression is trained by follow-the-regularised-leader
-with elastic-net penalties on at most `sample_docs` labelled documents (the first by a hash of key and text), and its
+with elastic-net penalties on at most `sample_docs` labelled documents (the first by a hash of key and text) and the first
+`label_docs` of each label, so that a rare language is learned too. Its
 probabilities are calibrated by one temperature on a part of the sample that training left out. Document
 frequencies are counted over all learning rows, and every whole text is scored.
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import is_fold, map_text, mark_of, sample_cutoff
@@ -135,13 +136,18 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out[:SLOTS], int(out[SLOTS])
 
 
-def train(learn: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 3000) -> Model:
-    """A model from the rows of learn with a label."""
+def train(learn: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 3000, label_docs: int = 30) -> Model:
+    """A model from the rows of learn with a label: a sample of sample_docs texts and of each label's label_docs ones, so that none is missing."""
     name, body = F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")
     learn = learn.filter(F.col(f"`{label}`").isNotNull()).select(mark_of(name, body).alias("mark"), body.alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
     seen, rows = document_frequencies(learn, "text")
     idf = np.log((1 + rows) / (1 + seen)) + 1
-    last = sample_cutoff(learn.select("mark"), sample_docs)
+    marks = learn.select("mark", "label")
+    last = sample_cutoff(marks.select("mark"), sample_docs)
+    first_of = Window.partitionBy("label").orderBy("mark")
+    # A row a label: the model has a class for each, so this table is smaller than what travels with the tasks.
+    least = marks.distinct().withColumn("place", F.row_number().over(first_of)).filter(F.col("place") <= label_docs).groupBy("label").agg(F.max("mark").alias("least"))
+    chosen = learn.join(F.broadcast(least), "label").filter(F.col("mark") <= F.greatest(F.lit(last), "least"))
 
     def featurise(batches: Iterator[list]) -> Iterator[tuple]:
         for texts in batches:
@@ -151,10 +157,10 @@ def train(learn: DataFrame, key: str = "doc_id", text: str = "text", label: str
                 made.append((at.astype(np.uint16).tobytes(), x.astype(np.float32).tobytes()))
             yield [m[0] for m in made], [m[1] for m in made]
 
-    picked = map_text(learn.filter(F.col("mark") <= F.lit(last)), ["mark", "label"], "text", "slots binary, vals binary", featurise, "string")
+    picked = map_text(chosen, ["mark", "label"], "text", "slots binary, vals binary", featurise, "string")
     # Rows that are alike count once; of those that differ in the label alone each counts.
     alike = picked.groupBy("mark", "label").agg(F.first("slots").alias("slots"), F.first("vals").alias("vals"))
-    got = sorted((r for r in alike.collect() if r["slots"]), key=lambda r: (r["mark"], r["label"]))  # sample_docs marks at most
+    got = sorted((r for r in alike.collect() if r["slots"]), key=lambda r: (r["mark"], r["label"]))  # sample_docs marks at most, and label_docs for each label
     names = tuple(sorted({r["label"] for r in got}))
     if not names:
         return Model((), np.zeros((SLOTS, 0)), idf, 1.0)

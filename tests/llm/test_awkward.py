@@ -84,6 +84,35 @@ def test_benchmark_in_blocks(spark):
     assert met.count() == docs.count() and met.filter("size(spans) > 0").first()["tags"] == {"a": 1}
 
 
+def test_benchmark_blocks_are_built_and_read_in_tasks(spark, monkeypatch):
+    """Equal texts under many names, a long item, short ones and repeated rows over many blocks; the driver sees names of files alone."""
+    from pyspark.sql import DataFrame
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[a : a + n]) for a, n in ((0, 13), (5, 40), (100, 3), (200, 1), (210, 150), (20, 14))]
+    items = [(f"i{k}", texts[k % len(texts)]) for k in range(60)] + [("i0", texts[0]), ("i1", "another text of i1"), (None, "w7"), ("none", None), ("blank", " - ")]
+    docs = [(1, " ".join(words)), (2, "x " + texts[2].upper() + " x"), (3, "w200"), (4, texts[4][:-5]), (5, None), (6, "w0 w1"), (7, "another, text of i1!")]
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+    def found(block_words):
+        return {r["doc_id"]: (r["n_words"], r["spans"], r["items"]) for r in find_overlap(docs, bench, ["doc_id"], block_words=block_words).collect()}
+
+    whole = found(100_000)
+    assert [k for k, r in sorted(whole.items()) if r[2]] == [1, 2, 3, 4, 7] and len(whole[1][2]) == 60 and whole[7][2] == ["i1"]
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    assert all(found(n) == whole for n in (1, 30, 500))
+
+
+def test_rare_languages_are_learned(spark):
+    said = {"aa": "the quick brown fox and the lazy dog", "bb": "der schnelle braune fuchs und der faule hund", "cc": "zxq vkk jjw qqy zzk wvx"}
+    rows = [(i, " ".join(said[x].split()[i % 3 :]) + f" {i}", x) for i in range(1_500) for x in (("cc",) if i % 60 == 0 else ("aa", "bb"))]
+    docs = spark.createDataFrame([(k, t, x) for k, (_, t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = language_id(docs, sample_docs=40).join(docs, "doc_id").filter("held_out").collect()
+    assert {r["lang"] for r in got} == set(said) and all(r["lang_pred"] == r["lang"] for r in got)
+    assert not any(r["lang_pred"] == "cc" for r in language_id(docs.filter("lang <> 'cc'"), sample_docs=40).collect())
+
+
 def test_shards_of_a_batch(spark, monkeypatch):
     from lociform.llm import decontamination as D
 
