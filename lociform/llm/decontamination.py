@@ -1,7 +1,7 @@
 """Operator 6: benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents of about `_SHARD` words in a task. Words become numbers of the benchmark's vocabulary; a word
-outside it ends a run, and runs shorter than the shortest window cannot hold one, so the index is built
+A shard is a run of documents of about `_SHARD` bytes in a task, which holds the words of one shard at a time
+and splits texts anew for each block of a larger benchmark. Words become numbers of the benchmark's vocabulary; a word outside it ends a run, and runs shorter than the shortest window cannot hold one, so the index is built
 over the remaining runs only: exact, and small where training text is clean. All windows are searched
 backwards together through the ranks of a wavelet matrix; occurrences are located by walking to sampled
 suffix positions; their spans are merged per document. No training text is shuffled or collected, and documents are
@@ -193,19 +193,20 @@ class Windows:
         return at, at + self.lengths[which], found
 
 
-#: Words of documents that one index covers (a longer document is a shard of its own).
-_SHARD = 1_000_000
+#: Bytes of texts whose words a task holds at once, for which there is an index (a longer text is a shard of its own).
+_SHARD = 2_000_000
 
 
-def shards(docs: list[list[bytes]]) -> Iterator[slice]:
+def shards(texts: list[bytes | None]) -> Iterator[slice]:
     start, held = 0, 0
-    for i, d in enumerate(docs):
-        if held and held + len(d) > _SHARD:
+    for i, t in enumerate(texts):
+        size = len(t or b"")
+        if held and held + size > _SHARD:
             yield slice(start, i)
             start, held = i, 0
-        held += len(d)
-    if docs:
-        yield slice(start, len(docs))
+        held += size
+    if texts:
+        yield slice(start, len(texts))
 
 
 def merged(hit: np.ndarray, starts: np.ndarray) -> list[list[int]]:
@@ -242,19 +243,26 @@ def _judge(one: Broadcast | None, files: list[str]):
 
     def score(batches: Iterator[list]) -> Iterator[tuple]:
         for texts in batches:
-            docs = [words_of(t) for t in texts]
-            starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-            hit, names = np.zeros(starts[-1], bool), [set() for _ in docs]
+            runs, starts, hits = list(shards(texts)), [], []
+            n_words, names = [], [set() for _ in texts]
             for block in blocks():
-                for some in shards(docs):
-                    at, end, found = block.spans(docs[some])
-                    edge = np.zeros(starts[some.stop] - starts[some.start] + 1, np.int32)
+                for k, some in enumerate(runs):
+                    docs = [words_of(t) for t in texts[some]]
+                    if k == len(hits):
+                        n_words += map(len, docs)
+                        starts.append(np.concatenate([[0], np.cumsum(n_words[some])]).astype(np.int64))
+                        hits.append(np.zeros(starts[k][-1], bool))
+                    at, end, found = block.spans(docs)
+                    edge = np.zeros(starts[k][-1] + 1, np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, end, -1)
-                    hit[starts[some.start] : starts[some.stop]] |= np.cumsum(edge)[:-1] > 0
+                    hits[k] |= np.cumsum(edge)[:-1] > 0
                     for held, more in zip(names[some], found, strict=True):
                         held.update(block.names[i] for i in more)
-            yield [len(d) for d in docs], merged(hit, starts), [sorted(n) for n in names]
+            if not hits:  # no block
+                yield [len(words_of(t)) for t in texts], [[] for _ in texts], [[] for _ in texts]
+                continue
+            yield n_words, [spans for hit, at in zip(hits, starts, strict=True) for spans in merged(hit, at)], [sorted(n) for n in names]
 
     return score
 

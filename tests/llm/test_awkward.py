@@ -125,6 +125,36 @@ def test_shards_of_a_batch(spark, monkeypatch):
     assert D.merged(np.array([0, 1, 1, 1, 1, 0, 0, 1, 1, 1, 0], bool), starts) == [[1, 3], [], [0, 2, 4, 5], [0, 1], [0, 1]]
 
 
+def test_words_are_held_for_a_shard_at_a_time(monkeypatch):
+    """A task of decontamination never holds the words of all texts of a batch; the result is that of one shard."""
+    from lociform.llm import decontamination as D
+
+    texts = [b"a b c d e", None, b"", b"x " * 50 + b"c d e", b"c d e", b"d e c d e"] * 20
+    held, seen = [], D.Windows.spans
+    monkeypatch.setattr(D.Windows, "spans", lambda self, docs: (held.append(sum(map(len, docs))), seen(self, docs))[1])
+    import pyarrow as pa
+
+    fields = D.arrow_fields(D.T.StructType.fromDDL(D.BLOCK))
+    row = pa.Table.from_arrays([pa.array([v], type=f.type) for v, f in zip(D.windows_of([("i", [b"c", b"d", b"e"])]), fields, strict=True)], names=fields.names)
+    (whole,) = D._judge(type("Sent", (), {"value": row}), [])(iter([texts]))
+    assert len(held) == 1 and held[0] == sum(whole[0]) and whole[1][3] == [50, 53] and whole[1][5] == [2, 5] and whole[2][:3] == [["i"], [], []]
+    held.clear()
+    monkeypatch.setattr(D, "_SHARD", 200)
+    assert list(D._judge(type("Sent", (), {"value": row}), [])(iter([texts]))) == [whole] and max(held) <= 100 < sum(held) == sum(whole[0])
+    assert list(D._judge(None, [])(iter([texts]))) == [(whole[0], [[] for _ in texts], [[] for _ in texts])]
+
+
+def test_runs_of_a_batch():
+    import pyarrow as pa
+
+    from lociform.llm.common import runs
+
+    texts = [b"abc", None, b"de", b"", b"x" * 40, b"y", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], names=["k", "body"])
+    got = [r.column(1).to_pylist() for r in runs(iter([batch, batch.slice(0, 0), batch.slice(2)]), 1, 4)]
+    assert got == [texts[:2], texts[2:4], texts[4:5], texts[5:], texts[2:4], texts[4:5], texts[5:]]
+
+
 def test_no_checkpoint_folder_on_a_cluster():
     from types import SimpleNamespace
 
