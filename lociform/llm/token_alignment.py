@@ -1,7 +1,7 @@
 """Operator 12: alignment of two tokenizers' tokens of the same texts, and how often tokens are linked over the corpus.
 
 1. A task encodes texts with both vocabularies, in runs of about `_RUN` characters, and works on the bytes that each token stands for.
-   The libraries encode a pre-token, which no merge reaches over, once and not each time that it occurs.
+   The libraries encode a pre-token, which no merge reaches over, once and not each time that it occurs, many in one call.
    With arrays over a whole run: cumulative sums are the tokens' ends; where ends of both sides meet (`intersect1d`) is a cut, and
    a token's place among the cuts (`searchsorted`) is its group; a token of the first side overlaps a range of tokens of the
    other one, which `repeat` expands to links. A text's links are kept as distinct pairs with their times, in a table.
@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from .token_counts import pre_tokens
 
 #: Characters of the texts that a task aligns at once; a longer text makes a run of its own. Characters of pre-tokens that it remembers.
 _RUN, _REMEMBERED = 200_000, 4_000_000
+#: Pre-tokens that a byte-level vocabulary encodes at once.
+_IN_A_ROW = 256
 #: Before a space with a printable ASCII character after it, a byte-level vocabulary always begins a new pre-token.
 _START = re.compile(" (?=[!-~])")
 _LINKS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<int>"
@@ -54,23 +56,32 @@ class Coder:
 
     Ids are 32-bit integers in a row, or None where their bytes are not the text's. parts: cuts a text where no merge reaches over;
     each part is encoded, with a space before it, once and not each time that it occurs, until _REMEMBERED characters are known.
+    encode: orders a list of parts as it likes and gives all their ids in a row and how many each part has.
     faithful: false for texts whose parts are not the text itself.
     """
 
-    def __init__(self, pieces: list[bytes], parts: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], faithful: Callable[[str], bool] = lambda text: True):
+    def __init__(self, pieces: list[bytes], parts: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[list[int], list[int]]], faithful: Callable[[str], bool] = lambda text: True):
         self.pieces, self.parts, self.encode, self.faithful = pieces, parts, encode, faithful
         self.known, self.wrong, self.size = {}, set(), 0
 
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of parts, and which parts' bytes they do not give back: all are compared at once, and one by one only where those differ."""
+        ids, counts = self.encode(new)
+        packed, stops = np.array(ids, np.int32).tobytes(), np.cumsum(counts) * 4
+        self.known.update(zip(new, map(packed.__getitem__, map(slice, [0, *stops.tolist()], stops.tolist())), strict=True))
+        self.size += sum(map(len, new))
+        made = [*map(self.pieces.__getitem__, ids)]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])[np.concatenate([[0], stops // 4])]
+        joined, said = b"".join(made), [*map(str.encode, new)]
+        if joined != b" " + b" ".join(said) or (np.diff(ends) != np.fromiter(map(len, said), np.int64, len(said)) + 1).any():
+            self.wrong.update(p for p, x, a, b in zip(new, said, ends.tolist(), ends[1:].tolist(), strict=False) if joined[a:b] != b" " + x)
+
     def __call__(self, texts: list[str]) -> list[bytes | None]:
         if self.size > _REMEMBERED:
             self.known, self.wrong, self.size = {}, set(), 0
         cut = [self.parts(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        for p, ids in zip(new, self.encode(new), strict=True):
-            self.known[p] = array("i", ids).tobytes()
-            if b"".join(map(self.pieces.__getitem__, ids)) != b" " + p.encode():
-                self.wrong.add(p)
-        self.size += sum(map(len, new))
+        if new := list(set().union(*cut).difference(self.known)):
+            self.learn(new)
         good = [self.faithful(t) and (not self.wrong or self.wrong.isdisjoint(ps)) for t, ps in zip(texts, cut, strict=True)]
         return [b"".join(map(self.known.__getitem__, ps)) if ok else None for ps, ok in zip(cut, good, strict=True)]
 
@@ -86,8 +97,30 @@ def byte_level(file: str) -> Coder:
     for entry, i in coder.get_vocab().items():
         pieces[i] = bytes(letters[c] for c in entry)
 
-    def encode(parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in coder.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+    def each(parts: list[str]) -> tuple[list[int], list[int]]:
+        ids = [e.ids for e in coder.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        return [*chain.from_iterable(ids)], [*map(len, ids)]
+
+    sizes = np.array([len(p) for p in pieces], np.int64)
+
+    def encode(parts: list[str]) -> tuple[list[int], list[int]]:
+        # Parts that begin with printable ASCII are encoded in a row, as the texts have them; a part's ids are those up to its last byte.
+        ids, counts = each(others := [p for p in parts if not "!" <= p[:1] <= "~"])
+        plain = [p for p in parts if "!" <= p[:1] <= "~"]
+        parts[:] = others + plain
+        for at in range(0, len(plain), _IN_A_ROW):
+            some = plain[at : at + _IN_A_ROW]
+            (row,) = coder.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            own = row.ids
+            ends = np.cumsum(sizes[own])
+            stops = np.cumsum([len(p.encode()) + 1 for p in some])
+            last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+            more = np.diff(last, prepend=-1).tolist()
+            if ends[-1] != stops[-1] or (ends[last] != stops).any():  # a vocabulary that changes the text
+                own, more = each(some)
+            ids += own
+            counts += more
+        return ids, counts
 
     return Coder(pieces, _START.split, encode)
 
@@ -101,8 +134,9 @@ def word_pieces(file: str) -> Coder:
     pieces = [bytes([int(p[3:-1], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in names]
     bare = [coder.piece_to_id("▁")]  # what an empty pre-token stands for
 
-    def encode(parts: list[str]) -> list[list[int]]:
-        return [ids if p else bare for p, ids in zip(parts, coder.encode(parts, num_threads=1), strict=True)]
+    def encode(parts: list[str]) -> tuple[list[int], list[int]]:
+        ids = [ids if p else bare for p, ids in zip(parts, coder.encode(parts, num_threads=1), strict=True)]
+        return [*chain.from_iterable(ids)], [*map(len, ids)]
 
     return Coder(pieces, pre_tokens, encode, lambda text: "▁" not in text)  # a mark in the text comes back as a space
 

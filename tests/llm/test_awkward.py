@@ -155,6 +155,36 @@ def test_runs_of_a_batch():
     assert got == [texts[:2], texts[2:4], texts[4:5], texts[5:], texts[2:4], texts[4:5], texts[5:]]
 
 
+def test_pre_tokens_are_encoded_in_a_row(monkeypatch):
+    """The byte-level library gets many new pre-tokens in one string; ids, and which parts are not given back, are those of whole texts."""
+    import tokenizers
+
+    from lociform.llm import token_alignment as TA
+
+    file, given = public_tokenizers.path("byte_bpe_50k.json"), []
+    library = tokenizers.Tokenizer.from_file(file)
+    library.encode_special_tokens = True
+
+    class Counting:
+        encode_special_tokens = True
+        get_vocab, get_vocab_size = staticmethod(library.get_vocab), staticmethod(library.get_vocab_size)
+
+        @staticmethod
+        def encode_batch_fast(texts, **settings):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **settings)
+
+    monkeypatch.setattr(tokenizers.Tokenizer, "from_file", staticmethod(lambda file: Counting))
+    coder = TA.byte_level(file)
+    texts = [" ".join(f"w{k}x{k * k} it's {k}%" for k in range(400)), "a  b\n c\t d \u00a0e", " \n x", "", " ", "\u00e9t\u00e9 \u4e2d\u6587 ok", "<|endoftext|> b <|endoftext|>", "e\u0301 \u0301a \U0001f600 z ", "x" * 3000 + " y"]
+    want = [library.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert [list(memoryview(x).cast("i")) for x in coder(texts)] == want
+    assert len(given) < 30 < len(coder.known) and not coder.wrong
+    pieces = [b" a", b" b", b"b ", b"c"]
+    odd = TA.Coder(pieces, lambda t: t.split(" "), lambda parts: ([{"a": 0, "b": 1, "b c": 2, "c": 3, "d": 0}[p] for p in parts], [1] * len(parts)))
+    assert [x is not None for x in odd(["a b", "c a", "b", "d"])] == [True, False, True, False] and odd.wrong == {"c", "d"}
+
+
 def test_no_checkpoint_folder_on_a_cluster():
     from types import SimpleNamespace
 
