@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_fields, cut, fold, is_fold, map_text, most_frequent
+from .common import RUN_BYTES, arrow_fields, cut, fold, is_fold, map_text, most_frequent, runs
 
 DEPTH = 4
 END = 10  # the byte that ends a text and stands before it
@@ -40,6 +41,8 @@ END = 10  # the byte that ends a text and stands before it
 _CHUNK = 2_000_000
 #: Bytes that a task scores, and grams of which it weighs the nodes, at once.
 _PIECE, _RUN = 500_000, 70_000
+#: Rows of counts that a task hands on at once.
+_ROWS = 100_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -128,11 +131,13 @@ def _gather(depth: int):
             return out, np.bincount(at, np.concatenate([times, n, np.zeros(len(more), np.int64)])).astype(np.int64)
 
         def counted() -> Iterator[list]:
-            yield [grams, [None] * len(grams), times]
-            names = list(words)
-            yield [[None] * len(names), names, [words[w] for w in names]]
+            for k in range(0, max(1, len(grams)), _ROWS):
+                some = grams[k : k + _ROWS]
+                yield [some, [None] * len(some), times[k : k + _ROWS]]
+            for some in batched(words.items(), _ROWS):
+                yield [[None] * len(some), *zip(*some, strict=True)]
 
-        for b in batches:
+        for b in runs(batches, 0):
             for t, learned in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = words_of(t)
                 (texts if learned else others).append(own)
@@ -366,7 +371,7 @@ def lm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: in
             yield *whole, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pairs)
 
     made = "n_tokens long, hits long, part double, rare array<struct<word binary, times long>>, bytes long, near double, grams array<struct<gram long, times long>>"
-    scored = cut(map_text(marked, ["key", "held_out", "row"], "body", made, flat))
+    scored = cut(map_text(marked, ["key", "held_out", "row"], "body", made, flat, most=RUN_BYTES))
     rare = scored.select("row", F.inline("rare")).join(words.filter(others), "word")
     rest = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(0.5))).alias("gain"))
     far = scores.filter(~is_common).select("gram", "log10")

@@ -185,6 +185,32 @@ def test_pre_tokens_are_encoded_in_a_row(monkeypatch):
     assert [x is not None for x in odd(["a b", "c a", "b", "d"])] == [True, False, True, False] and odd.wrong == {"c", "d"}
 
 
+def test_language_model_tasks_take_and_give_bounded_batches(monkeypatch):
+    """Texts of a batch become Python objects in runs, and counts are handed on in batches of at most _ROWS rows that add up to the same."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = [b"a few words %d of text %d" % (k, k * k) for k in range(300)] + [None, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([k % 3 > 0 for k in range(302)])], names=["body", "learned"])
+
+    def given():
+        out = [list(zip(*map(list, part), strict=True)) for part in L._gather(4)(iter([batch]))]
+        total = Counter()
+        for part in out:
+            for gram, word, n in part:
+                total[gram, word] += n
+        return [len(part) for part in out], total
+
+    many, whole = given()
+    assert len(many) == 2 and max(many) > 64
+    taken, runs = [], L.runs
+    monkeypatch.setattr(L, "_ROWS", 64)
+    monkeypatch.setattr(L, "runs", lambda batches, column: (taken.append(b.num_rows) or b for b in runs(batches, column, 500)))
+    few, parts = given()
+    assert max(few) <= 64 and parts == whole and max(taken) < 40 and sum(taken) == 302
+
+
 def test_no_checkpoint_folder_on_a_cluster():
     from types import SimpleNamespace
 
