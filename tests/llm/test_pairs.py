@@ -12,6 +12,7 @@ import xxhash
 from conftest import SF
 from test_llm import awkward
 
+from lociform.llm import jaccard_join as J
 from lociform.llm import simhash_dedup as S
 from lociform.llm import spelling_variants as S13
 from lociform.llm import token_alignment as TA
@@ -223,3 +224,50 @@ def test_alignment_query_and_awkward_tables(spark):
     digests = {r["doc_id"]: r["groups_sha256"] for r in queries.op12_token_alignment(spark, SF).collect()}
     whole = {r["doc_id"]: r["groups"] for r in TA.token_alignment(table(spark, SF, "documents"), *FILES).collect()}
     assert digests == {k: hashlib.sha256(g.encode()).hexdigest() if g else "" for k, g in whole.items()}
+
+
+def shuffled(spark, work):
+    """Bytes that work writes to shuffles."""
+    so_far = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = so_far()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return so_far() - before
+
+
+def unlike(rng, n, words=400):
+    return [" ".join(f"w{x}" for x in rng.integers(0, 50_000, words)) for _ in range(n)]
+
+
+def test_branches_are_shuffled_packed(spark):
+    """Documents without partners: nine bytes for each of their 150 branches, and what rows and digests take."""
+    rng = np.random.default_rng(11)
+    docs = spark.createDataFrame(list(enumerate(unlike(rng, 1_500))), "doc_id long, text string").repartition(3).localCheckpoint()
+    written = shuffled(spark, lambda: J.jaccard_join(docs).write.format("noop").mode("overwrite").save())
+    assert written < 2_000 * 1_500
+
+
+def test_a_shared_passage_makes_no_candidates(spark, monkeypatch):
+    """Texts share a fifth of their words in one passage: some branches, but fewer than partners have in common."""
+    rng = np.random.default_rng(12)
+    passage, near = unlike(rng, 1, 80)[0], unlike(rng, 1)[0]
+    texts = [f"{passage} {x}" for x in unlike(rng, 600, 320)] + [near, f"{near} end", f"start {near}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, verified = [], J._verified
+    monkeypatch.setattr(J, "_verified", lambda d, mark, body, classes, *rest: seen.append(classes.select("digest").distinct().count()) or verified(d, mark, body, classes, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_join(docs).collect()}
+    assert got == {k: min(k, 600) for k in range(603)}
+    assert seen[0] < 60
+
+
+def test_common_branches_and_equal_sets_of_many_tasks(spark):
+    """Groups larger than what a task sends on, with equal sets in every partition."""
+    rng = np.random.default_rng(13)
+    texts = [t for _, t in near_copies(rng, groups=3, copies=30)] * 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in enumerate(t.split() for t in texts[:90])}
+    linked = np.array([[100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for b in sets] for a in sets])
+    label = components(linked)
+    assert 1 < len(set(label.tolist())) < 80
+    assert {r["doc_id"]: r["component_id"] for r in J.jaccard_join(docs).collect()} == {i: label[i % 90] for i in range(360)}
