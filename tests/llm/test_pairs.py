@@ -271,3 +271,16 @@ def test_common_branches_and_equal_sets_of_many_tasks(spark):
     label = components(linked)
     assert 1 < len(set(label.tolist())) < 80
     assert {r["doc_id"]: r["component_id"] for r in J.jaccard_join(docs).collect()} == {i: label[i % 90] for i in range(360)}
+
+
+def test_representatives_that_stay_are_not_shuffled(spark):
+    """One text in ten is a copy or a repeated row; the others stay where they are."""
+    rng = np.random.default_rng(14)
+    texts = unlike(rng, 1_000)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2_000 + i, texts[i]) for i in range(60)] + [(i, texts[i]) for i in range(60, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    alone = shuffled(spark, lambda: J.jaccard_join(docs).write.format("noop").mode("overwrite").save())
+    kept = []
+    written = shuffled(spark, lambda: kept.extend(J.representatives(docs).collect()))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == list(enumerate(texts))
+    assert written - alone < sum(map(len, texts)) / 3
