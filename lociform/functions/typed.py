@@ -62,8 +62,13 @@ def convertible(value: Column, kind: str, is_list: bool = False) -> Column:
 
 def strict(value: Column, kind: str, is_list: bool = False) -> Column:
     """`convert`, but text that has not the type's grammar is an error."""
-    said = F.concat(F.lit("Not of type "), F.lit(kind), F.lit(": "), value)
-    return F.when(convertible(value, kind, is_list), convert(value, kind, is_list)).otherwise(F.raise_error(said).cast(f"array<{_SPARK_TYPE[kind]}>" if is_list else _SPARK_TYPE[kind]))
+    made = f"array<{_SPARK_TYPE[kind]}>" if is_list else _SPARK_TYPE[kind]
+
+    def typed(v: Column) -> Column:
+        said = F.concat(F.lit("Not of type "), F.lit(kind), F.lit(": "), v)
+        return F.when(convertible(v, kind, is_list), convert(v, kind, is_list)).otherwise(F.raise_error(said).cast(made))
+
+    return _let(value, typed)  # the value may be long to work out, and stands here many times
 
 
 def qual_ok(raw: Column) -> Column:

@@ -114,7 +114,7 @@ DERIVED: dict[str, Derived] = {
     "likelihood_lists_of_columns": Derived("lineitem", (_pick(P, _cat("'0/1:0:-'", _s(Q), "','", _s(L), "'|1:-'", _s(S), "':'", _s(Q)), _cat("'0/1:0:-'", _s(Q), "','", _s(L), "'|1:-'", _s(S)), _cat("'0/1:x'", _s(L), "':'", _s(Q))),), lambda t: _joined(R.sample_values(t, F.split(F.lit("GT:GLE:DP"), ":"))), _pick(P, _cat("'0/1+0:-'", _s(Q), "','", _s(L), "'|1:-'", _s(S), "'+'", _s(Q)), _cat("'0/1+0:-'", _s(Q), "','", _s(L), "'|1:-'", _s(S), "'+.'"), _cat("'0/1+x'", _s(L), "'+'", _s(Q)))),
     "info_repeated_keys_of_columns": Derived("lineitem", (_cat("'DP='", _s(Q), f"case when {P} % 2 = 0 then ';DB' else '' end", "';AF=0.'", _s(f"{S} % 10"), f"case when {P} % 3 = 0 then concat(';DP=', {_s(L)}, ',') else '' end"),), lambda t: F.concat_ws(" ", *[F.array_join(R.info_values(R.info(t), k), "+") for k in ("DP", "DB", "AF")]), _cat(_s(Q), f"case when {P} % 3 = 0 then concat('+', {_s(L)}, '+.') else '' end", f"case when {P} % 2 = 0 then '  0.' else ' 0.' end", _s(f"{S} % 10"))),
     "info_text_by_key_of_columns": Derived("lineitem", (_pick(P, _cat("'XDP=9;DP='", _s(Q), "';DB'"), _cat("'DP='", _s(Q), "';DP='", _s(L)), "'.'", _cat("'DP;AF=0.'", _s(L)), _cat("'DP='", _s(Q), "',,'", _s(L)), "'DB'"),), lambda t: F.concat_ws(" ", F.coalesce(R.info_text_of(t, "DP"), F.lit("none")), R.info_has(t, "DP").cast("string"), (R.info_text_of(t, "DP").eqNullSafe(R.info_text(R.info(t), "DP"))).cast("string")), _pick(P, _cat(_s(Q), "' true true'"), _cat(_s(Q), "','", _s(L), "' true true'"), "'none false true'", "' true true'", _cat(_s(Q), "',.,'", _s(L), "' true true'"), "'none false true'")),
-    "reserved_info_of_columns": Derived("lineitem", (_cat("'SVLEN=-'", _s(f"{P} + 1"), "','", _s(f"{S} + 1"), "';END='", _s(O), "';MATEID=a'", _s(L), "',b'", _s(L), f"case when {P} % 2 = 0 then ';DB' else '' end", "';CNADJ=.,'", _s(Q)),), lambda t: F.concat_ws(" ", _joined(V.info(R.info(t), "SVLEN")), V.info(R.info(t), "END").cast("string"), _joined(V.info(R.info(t), "MATEID")), F.coalesce(V.info(R.info(t), "DB"), F.lit(False)).cast("string"), _joined(V.info(R.info(t), "CNADJ"))), _cat("'-'", _s(f"{P} + 1"), "'+'", _s(f"{S} + 1"), "' '", _s(O), "' a'", _s(L), "'+b'", _s(L), f"case when {P} % 2 = 0 then ' true ' else ' false ' end", "'NULL+'", _s(Q))),
+    "reserved_info_of_columns": Derived("lineitem", (_cat("'SVLEN=-'", _s(f"{P} + 1"), "','", _s(f"{S} + 1"), "';END='", _s(O), "';MATEID=a'", _s(L), "',b'", _s(L), f"case when {P} % 2 = 0 then ';DB' else '' end", "';CNADJ=.,'", _s(Q)),), lambda t: R.let(R.info(t), lambda i: F.concat_ws(" ", _joined(V.info(i, "SVLEN")), V.info(i, "END").cast("string"), _joined(V.info(i, "MATEID")), F.coalesce(V.info(i, "DB"), F.lit(False)).cast("string"), _joined(V.info(i, "CNADJ")))), _cat("'-'", _s(f"{P} + 1"), "'+'", _s(f"{S} + 1"), "' '", _s(O), "' a'", _s(L), "'+b'", _s(L), f"case when {P} % 2 = 0 then ' true ' else ' false ' end", "'NULL+'", _s(Q))),
     "reserved_format_of_columns": Derived("lineitem", (_cat("'0/1:'", _s(Q), "':'", _s(P), "','", _s(S), _pick(L, "''", "':.'", _cat("':'", _s(L)))),), lambda t: (lambda keys, values: F.concat_ws(" ", V.sample(values, keys, "DP").cast("string"), _joined(V.sample(values, keys, "HQ")), F.coalesce(V.sample(values, keys, "GQ").cast("string"), F.lit("none"))))(F.split(F.lit("GT:DP:HQ:GQ"), ":"), R.sample_values(t, F.split(F.lit("GT:DP:HQ:GQ"), ":"))), _cat(_s(Q), "' '", _s(P), "'+'", _s(S), "' '", _pick(L, "'none'", "'none'", _s(L)))),
     "integer_list_of_columns": Derived("lineitem", (_pick(P, _cat(_s(f"{P} + 1"), "',,-'", _s(f"{S} + 1")), _cat("'+'", _s(L), "',x'"), "'.'", _s(O)),), lambda t: F.when(~T.convertible(t, "Integer", True), "error").otherwise(F.coalesce(_joined(T.convert(t, "Integer", True)), F.lit("none"))), _pick(P, _cat(_s(f"{P} + 1"), "'+NULL+-'", _s(f"{S} + 1")), "'error'", "'none'", _s(O))),
     "allele_type_of_columns": Derived("lineitem", (_pick(P, f"repeat('A', cast({L} as int))", _cat("'<S'", _s(S), "'>'"), _cat("'G]'", _s(P), "':'", _s(S), "']'"), "'*'", _cat("'.'", f"repeat('T', cast({L} as int))")),), lambda a: F.concat(A.primary_type(a), F.lit(" "), F.coalesce(A.allele_length(a).cast("string"), F.lit("-"))), _pick(P, f"concat(case when {L} = 1 then 'SINGLE_BASE ' else 'MULTI_BASE ' end, {_s(L)})", "'SYMBOLIC -'", "'BREAKPOINT -'", "'DELETED -'", _cat("'MULTI_BASE '", _s(f"{L} + 1")))),
