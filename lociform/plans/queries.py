@@ -81,9 +81,9 @@ def _store_gt(gt: Column) -> Column:
 
 
 def _gt_facts(gt: Column) -> Column:
-    g = N.diploid(gt, F.lit("A"), F.array(F.lit("C")))
     said = lambda c, yes: F.when(c, yes).otherwise("-")
-    return F.concat(said(g["phased"], "P"), said(N.is_homozygous(g), "H"), said(N.is_no_call(g), "N"), _text(N.allele_set(g)))
+    shown = lambda g: F.concat(said(g["phased"], "P"), said(N.is_homozygous(g), "H"), said(N.is_no_call(g), "N"), _text(N.allele_set(g)))
+    return R.let(N.diploid(gt, F.lit("A"), F.array(F.lit("C"))), shown)
 
 
 def _made_gt(gt: Column) -> Column:

@@ -85,3 +85,14 @@ def test_a_header_of_very_many_declarations(spark):
     got = rows.select((F.col("line_no") % 4).alias("k"), F.array_join(writer.content_warnings(head), " ").alias("w"), F.array_join(writer.sample_format_warnings(head), "|").alias("s")).distinct().collect()
     assert {r["k"]: r["w"] for r in got} == {1: "", 2: "INFO_UNDECLARED:NONE INFO_TYPE:DP INFO_TYPE:K7", 3: "INFO_UNDECLARED:K20000 INFO_COUNT:K19999 INFO_COUNT:AF", 0: "INFO_FLAG_VALUE:DB INFO_EMPTY:K3"}
     assert {r["s"] for r in got} == {"|"} and time.time() - began < 60
+
+
+def test_plans_hold_what_is_taken_apart_once(spark):
+    """A text is parsed once a row, however many facts are read from it."""
+    from conftest import SF
+
+    import __spark_entry__
+
+    plan = lambda name: __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("genotype_facts").count("[/|](") == 1
+    assert plan("reserved_info_of_columns").count("SVLEN=-") <= 2
